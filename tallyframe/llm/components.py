@@ -1,0 +1,37 @@
+"""Connected components of links, without gathering them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def star(edges: DataFrame, large: bool) -> DataFrame:
+    """Link a node's larger (or its smaller) neighbours to the smallest of all of its neighbours and itself."""
+    both = edges.select("a", "b")
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    joined = both.join(least, "a")
+    if large:
+        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return out.where("a != b").distinct()
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of links (a, b); component: the smallest node that links lead to.
+
+    Alternates large and small stars until the links, each written to the shared folder, no
+    longer change: every node then points to the smallest one.
+    """
+    now, mark = links.where("a != b").select("a", "b").distinct(), None
+    while True:
+        now = materialize(star(star(now, True), False), "stars")
+        row = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+        if tuple(row) == mark:
+            break
+        mark = tuple(row)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -32,7 +32,10 @@ class Settings:
 
 
 def features(text: str, bits: int) -> np.ndarray:
-    """The hashes of the text's words and pairs of neighbouring words, repeated as they occur."""
+    """The hashes of the text's words and pairs of neighbouring words, repeated as they occur.
+
+    Pairs of one word, whichever, are one feature, as are words with one other between them.
+    """
     known = worker_cache().setdefault("word_hashes", {})
     if len(known) > 300_000:
         known.clear()
@@ -47,7 +50,9 @@ def features(text: str, bits: int) -> np.ndarray:
         ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     pairs = (ids[:-1] * SECOND) ^ ids[1:]
     pairs *= SECOND
-    return (np.concatenate((ids, pairs)) >> np.uint64(64 - bits)).astype(np.uint32)
+    pairs[ids[:-1] == ids[1:]] = SECOND  # all words that are said twice share a feature, and
+    again = np.full(int((ids[:-2] == ids[2:]).sum()), ~SECOND)  # those that come back after one other
+    return (np.concatenate((ids, pairs, again)) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 def fit_leader(examples: list[tuple[np.ndarray, int]], s: Settings) -> np.ndarray:

@@ -45,7 +45,7 @@ def features(text: str, bits: int) -> np.ndarray:
     try:
         ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = xxhash.xxh3_64_intdigest(w.encode())
         ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     pairs = (ids[:-1] * SECOND) ^ ids[1:]

@@ -66,7 +66,7 @@ def token_set(text: str, words: int) -> np.ndarray:
     try:
         ids = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     except KeyError:
-        for w in set(found) - known.keys():
+        for w in {w for w in found if w not in known}:
             known[w] = xxhash.xxh3_64_intdigest(w)
         ids = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     n = min(words, len(ids))

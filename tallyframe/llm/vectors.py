@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-PAGE = 64
+PAGE = 256
 FAN = 16
 
 
@@ -84,18 +84,22 @@ def widened(v: np.ndarray, norm2: float) -> np.ndarray:
 
 def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict:
     """An M-tree, loaded from the top: an inner page's entries are routing vectors with their covering radius, distance to the page's own vector and child page."""
-    ints = vectors.astype(np.int64)
     norm2 = float(np.einsum("ij,ij->i", vectors, vectors).max())
     points = widened(vectors, norm2)
     pages: list[dict] = []
+    order: list[np.ndarray] = []  # rows, page by page
+    placed = 0
 
     def grow(members: np.ndarray, parent: np.ndarray | None) -> int:
+        nonlocal placed
         number = len(pages)
         pages.append({})
         own = points[members]
         far = np.zeros(len(members)) if parent is None else np.sqrt(((own - parent) ** 2).sum(1))
         if len(members) <= PAGE:
-            pages[number] = {"leaf": True, "rows": members, "parent": far}
+            pages[number] = {"leaf": True, "first": placed, "last": placed + len(members), "parent": far}
+            order.append(members)
+            placed += len(members)
             return number
         picked, gap, nearest = [], np.full(len(members), np.inf), np.zeros(len(members), np.int64)
         at = int(far.argmax()) if parent is not None else 0
@@ -116,24 +120,26 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict:
         return number
 
     grow(np.arange(len(ids)), None)
-    return {"ids": ids, "ints": ints, "norm2": norm2, "pages": pages}
+    rows = np.concatenate(order)
+    return {"ids": ids[rows], "vectors": vectors[rows], "norm2": norm2, "pages": pages}
 
 
 def search_tree(tree: dict, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
     """Best first: pages wait in a queue by the least distance they can hold; stored distances to a page's vector rule out entries before theirs is computed.
 
-    Bounds are floating point and kept a little wide; scores are integer and exact.
+    Bounds are floating point and kept a little wide. Scores are whole numbers: floating point adds
+    them up exactly below 2 ** 53, and Python's integers do where a sum could come to more.
     """
-    pages, owner, ints, norm2 = tree["pages"], tree["ids"], tree["ints"], tree["norm2"]
-    wide = ints.shape[1]
+    pages, owner, data, norm2 = tree["pages"], tree["ids"], tree["vectors"], tree["norm2"]
+    wide = data.shape[1]
     out_q, out_v, out_s = [], [], []
     for q, raw in zip(ids.tolist(), vectors, strict=True):
         row = np.zeros(wide)
         row[: min(wide, len(raw))] = raw[:wide]
-        whole = row.astype(np.int64)
         point = np.append(row, 0.0)
         q2 = float(row @ row)
-        best: list[tuple[int, int]] = []  # (score, -vec_id), the worst first
+        exact = norm2 < 2.0**52 and q2 < 2.0**52
+        best_s, best_v = np.zeros(0), np.zeros(0, np.int64)  # the best so far, in order
         reach = np.inf
         queue: list[tuple[float, int, float]] = [(0.0, 0, -1.0)]
         while queue:
@@ -143,18 +149,25 @@ def search_tree(tree: dict, ids: np.ndarray, vectors: np.ndarray, k: int) -> tup
             page = pages[number]
             near = np.abs(page["parent"] - to_own) if to_own >= 0 else None
             if page["leaf"]:
-                rows = page["rows"] if near is None else page["rows"][near <= reach]
-                scores = ints[rows] @ whole
-                if len(best) == k:
-                    rows, scores = rows[scores >= best[0][0]], scores[scores >= best[0][0]]
-                for v, s in zip(owner[rows].tolist(), scores.tolist(), strict=True):
-                    if v != q:
-                        if len(best) < k:
-                            heapq.heappush(best, (s, -v))
-                        elif (s, -v) > best[0]:
-                            heapq.heapreplace(best, (s, -v))
-                if len(best) == k:
-                    reach = np.sqrt(max(0.0, q2 + norm2 - 2.0 * best[0][0])) + 1e-6 * (1.0 + np.sqrt(q2 + norm2))
+                rows = slice(page["first"], page["last"])
+                if near is not None and reach < np.inf:
+                    live = np.flatnonzero(near <= reach)
+                    if not len(live):
+                        continue
+                    if 4 * len(live) < len(near):
+                        rows = live + page["first"]
+                vs = owner[rows]
+                scores = data[rows] @ row if exact else np.array([sum(int(x) * int(y) for x, y in zip(v, row, strict=True)) for v in data[rows]], object)
+                kept = vs != q
+                if len(best_s) == k:
+                    kept &= scores >= best_s[-1]
+                if not kept.any():
+                    continue
+                best_s, best_v = np.concatenate((best_s, scores[kept])), np.concatenate((best_v, vs[kept]))
+                top = np.lexsort((best_v, -best_s))[:k]
+                best_s, best_v = best_s[top], best_v[top]
+                if len(best_s) == k:
+                    reach = np.sqrt(max(0.0, q2 + norm2 - 2.0 * float(best_s[-1]))) + 1e-6 * (1.0 + np.sqrt(q2 + norm2))
                 continue
             live = np.arange(len(page["child"])) if near is None else np.flatnonzero(near - page["radius"] <= reach)
             if len(live):
@@ -162,14 +175,13 @@ def search_tree(tree: dict, ids: np.ndarray, vectors: np.ndarray, k: int) -> tup
                 for j, x, low in zip(live.tolist(), d.tolist(), (d - page["radius"][live]).tolist(), strict=True):
                     if low <= reach:
                         heapq.heappush(queue, (max(0.0, low), page["child"][j], x))
-        for s, v in best:
-            out_q.append(q)
-            out_v.append(-v)
-            out_s.append(s)
+        out_q += [q] * len(best_v)
+        out_v += best_v.tolist()
+        out_s += [int(x) for x in best_s]
     return out_q, out_v, out_s
 
 
-def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, block_rows: int = 4096, query_rows: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, block_rows: int = 8192, query_rows: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (long) for the rows whose id is divisible by every.
 
     Components become floor(scale * x); the score is the integer inner product, ties go to the

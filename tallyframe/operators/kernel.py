@@ -344,6 +344,20 @@ class State:
             cr = replace(cr, flags=cr.flags & ~A.CLOSED)
         return dr, cr
 
+    # --- between runs
+
+    def to_plain(self) -> tuple:
+        """The state without its events, in plain tuples."""
+        rows = lambda d: [tuple(vars(x).values()) for x in d.values()]
+        pending = [(k, int(v)) for k, v in self.pending.items()]
+        return rows(self.accounts), rows(self.transfers), pending, sorted(self.orphans), sorted(self.account_times), sorted(self.transfer_times), self.last_account, self.last_transfer, list(self.due)
+
+    @staticmethod
+    def from_plain(x: tuple) -> State:
+        accounts, transfers = ([kind(*r) for r in rows] for kind, rows in ((Account, x[0]), (Transfer, x[1])))
+        pending = {k: PendingStatus(v) for k, v in x[2]}
+        return State({a.id: a for a in accounts}, {t.id: t for t in transfers}, pending, set(x[3]), [], set(x[4]), set(x[5]), x[6], x[7], [tuple(d) for d in x[8]])
+
     # --- time
 
     def next_expiry(self) -> int | None:

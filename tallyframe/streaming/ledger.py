@@ -22,7 +22,7 @@ def results(requests: DataFrame) -> DataFrame:
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = pickle.loads(held.get[0]) if held.exists else State()
+        state = State.from_plain(pickle.loads(held.get[0])) if held.exists else State()
         frame = pd.concat(list(frames)).sort_values(["batch", "idx"], kind="stable")
         rows = []
         for (batch, what), part in frame.groupby(["batch", "what"], sort=False):
@@ -39,8 +39,7 @@ def results(requests: DataFrame) -> DataFrame:
                 todo.append(kind(**values))
             run = state.create_accounts if what == "account" else state.create_transfers
             rows += [(batch, i, at, s) for i, (at, s) in zip(part.idx, run(todo, time), strict=True)]
-        state.events.clear()
-        held.update((pickle.dumps(state),))
+        held.update((pickle.dumps(state.to_plain()),))
         yield pd.DataFrame(rows, columns=["batch", "idx", "timestamp", "status"])
 
     return requests.groupBy("component").applyInPandasWithState(step, OUT, "state binary", "append", GroupStateTimeout.NoTimeout)

@@ -18,7 +18,8 @@ proportion to the prefix. Documents of a class under 16 tokens use single tokens
 
 Shared signatures make candidates; those that size and position rule out are dropped, the others
 are verified on the whole sets. Candidates are linked to one document for each signature first;
-only documents that are still apart then are compared among themselves, so a large group of
+only documents that are still apart then are compared among themselves, and of those only pairs
+whose parity bits do not already rule them out, so a large group of
 near copies costs about a comparison a document and signature, not one a pair.
 
 Token counts cover all documents and no row is sent for a token. Texts are dealt into blocks; a
@@ -43,6 +44,7 @@ from .components import connected
 RARE = 32
 #: Bytes of stored input for each block of texts.
 BLOCK_BYTES = 4 << 20
+PARITY = 16
 SMALL = 4  # size classes under 2 ** SMALL tokens use single tokens
 
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -97,6 +99,13 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(out.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """PARITY words of 64 bits, each bit the parity of the tokens dealt to it: sets that differ in d tokens differ in d bits at most."""
+    at = mixed(tokens ^ P1) % np.uint64(64 * PARITY)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def spare(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
@@ -153,8 +162,8 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, percent: int) -> list[tup
     return out + by_class
 
 
-KINDS = "kind int, doc_id long, n int, key binary, sig long, pos int, slack int, tokens array<long>"
-COLUMNS = ["kind", "doc_id", "n", "key", "sig", "pos", "slack", "tokens"]
+KINDS = "kind int, doc_id long, n int, key binary, sig long, pos int, slack int, tokens array<long>, parity array<long>"
+COLUMNS = ["kind", "doc_id", "n", "key", "sig", "pos", "slack", "tokens", "parity"]
 
 
 def block_count(df: DataFrame) -> int:
@@ -213,7 +222,7 @@ def written(df: DataFrame, words: int, percent: int) -> DataFrame:
         for d, t in zip(texts.column("doc_id").to_pylist(), texts.column("text"), strict=True):
             tokens = token_set(t.as_py(), words)
             key = set_key(tokens) if len(tokens) else None
-            rows.append((0, d, len(tokens), key, None, None, None, None))
+            rows.append((0, d, len(tokens), key, None, None, None, None, None))
             if key is not None and d is not None and (key not in first or d < first[key][0]):
                 first[key] = d, tokens
         for key, (d, tokens) in first.items():
@@ -222,9 +231,9 @@ def written(df: DataFrame, words: int, percent: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(values, tokens >> cut), len(values) - 1)
                 held = np.where(values[at] == tokens >> cut, counts[at], 1)
                 if found := signatures(tokens, held, percent):
-                    rows += [(1, d, n, key, s - (1 << 64) if s >> 63 else s, p, slack, None) for s, p, slack in found]
-                    rows.append((2, d, n, key, None, None, None, tokens.view(np.int64)))
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+                    rows += [(1, d, n, key, s - (1 << 64) if s >> 63 else s, p, slack, None, None) for s, p, slack in found]
+                    rows.append((2, d, n, key, None, None, None, tokens.view(np.int64), parities(tokens)))
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], COLUMNS)
 
     sent = map_arrow(dealt, send, "range long, block long, values binary")
@@ -247,6 +256,13 @@ def possible(percent: int):
     return (F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n") + F.col("n_b"))) & (F.lit(100) * F.least("n", "n_b") >= F.lit(percent) * F.greatest("n", "n_b"))
 
 
+def alike(percent: int):
+    """The parities leave enough tokens in common: with d different bits, i <= (n + m - d) / 2."""
+    d = sum((F.bit_count(F.col("parity")[j].bitwiseXOR(F.col("parity_b")[j])) for j in range(PARITY)), F.lit(0))
+    both = F.col("n") + F.col("n_b")
+    return F.lit(100 + percent) * (both - d) >= F.lit(2 * percent) * both
+
+
 def near_copies(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, and class_id, of every row.
 
@@ -262,7 +278,7 @@ def near_copies(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     # of copies, the document that stands for all
     first = table.where("kind > 0").join(classes.withColumnRenamed("class_id", "doc_id"), ["key", "doc_id"])
     sigs = materialize(first.where("kind = 1").select("sig", "doc_id", "n", "pos", "slack"), "shared")
-    sets = materialize(first.where("kind = 2").select("doc_id", "n", "tokens"), "sets")
+    sets = materialize(first.where("kind = 2").select("doc_id", "n", "tokens", "parity"), "sets")
 
     centres = sigs.groupBy("sig").agg(F.min(F.struct("pos", "n", "doc_id", "slack")).alias("c"), F.max("doc_id").alias("last"), F.min("doc_id").alias("least")).where("last > least")
     centres = centres.select("sig", F.col("c.doc_id").alias("doc_b"), F.col("c.n").alias("n_b"), F.col("c.pos").alias("pos_b"), F.col("c.slack").alias("slack_b"))
@@ -274,9 +290,10 @@ def near_copies(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     part = connected(links).select(F.col("node").alias("doc_id"), "component")
     placed = sigs.join(part, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     apart = placed.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("sig")
-    placed = materialize(placed.join(apart, "sig", "left_semi"), "apart")
-    other = placed.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("n", "pos", "slack", "component")], F.col("doc_id").alias("doc_b"))
-    more = placed.join(other, "sig").where((F.col("doc_id") < F.col("doc_b")) & (F.col("component") != F.col("component_b")) & possible(percent))
+    placed = placed.join(apart, "sig", "left_semi").join(sets.select("doc_id", "parity"), "doc_id")
+    placed = materialize(placed, "apart")
+    other = placed.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("n", "pos", "slack", "component", "parity")], F.col("doc_id").alias("doc_b"))
+    more = placed.join(other, "sig").where((F.col("doc_id") < F.col("doc_b")) & (F.col("component") != F.col("component_b")) & possible(percent) & alike(percent))
     more = more.select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
     links = materialize(links.unionByName(verified(more, sets, percent)), "all_links")
 

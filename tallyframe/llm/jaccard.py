@@ -168,6 +168,8 @@ COLUMNS = ["kind", "doc_id", "n", "key", "sig", "pos", "slack", "tokens", "parit
 
 def block_count(df: DataFrame) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # the planner doesn't know
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(16, min(1 << 20, size // BLOCK_BYTES))
 
 

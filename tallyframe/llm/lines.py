@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices
+from .common import map_arrow, materialize, slices
 
 BLANKS = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -55,7 +55,7 @@ def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: s
     """
     rest = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = keys_of(texts, min_chars).distinct()
+    keys = materialize(keys_of(texts, min_chars).distinct(), "keys")
     many = keys.groupBy("k0", "k1").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
     lost = keys.join(many.select("k0", "k1", "keeper"), ["k0", "k1"]).where("id < keeper")
     lost = lost.groupBy("id").agg(F.collect_list(F.struct("k0", "k1")).alias("lost_"))

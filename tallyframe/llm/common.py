@@ -36,6 +36,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that more than one in so many rows have is hot; there are fewer hot keys than this.
+HOT = 10_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, which has one row for each key and in the column count how many of the total rows have it.
+
+    Hot keys, fewer than HOT whatever the size, are broadcast and their rows stay where they are. The
+    others are shuffled, and none of them brings more than one in HOT of all rows to a task.
+    Both sides are read twice, so they should be written tables. how: inner or left.
+    """
+    hot = F.col(count) * HOT > total
+    few = F.broadcast(keyed.where(hot))
+    rest = rows.join(few.select(on), on, "left_anti").join(keyed.where(~hot), on, how)
+    return rows.join(few, on).unionByName(rest).drop(count)
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, across tasks."""
     module = sys.modules.setdefault("_tallyframe_worker", types.ModuleType("_tallyframe_worker"))

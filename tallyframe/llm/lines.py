@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, slices
+from .common import join_counted, map_arrow, materialize, slices
 
 BLANKS = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -50,14 +50,15 @@ def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: s
     row without doc_id keeps all its lines and counts for none. Rows that repeat a doc_id are
     parts of one document. Columns n_lines and n_dropped of df are replaced.
 
-    Only 24 bytes a distinct long line and document are shuffled to be counted. The lines to
+    Only 24 bytes a distinct long line and document are shuffled to be counted. Lines that a
+    good part of all documents share are broadcast, so no task gets them all. The lines to
     drop are gathered by document and meet the texts in one join on the doc_id.
     """
     rest = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     keys = materialize(keys_of(texts, min_chars).distinct(), "keys")
     many = keys.groupBy("k0", "k1").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = keys.join(many.select("k0", "k1", "keeper"), ["k0", "k1"]).where("id < keeper")
+    lost = join_counted(keys, materialize(many, "many"), ["k0", "k1"], "n", keys.count()).where("id < keeper")
     lost = lost.groupBy("id").agg(F.collect_list(F.struct("k0", "k1")).alias("lost_"))
     names = {c: f"c{i}_" for i, c in enumerate(rest)}
     inner = df.select(*[F.col(c).alias(names[c]) for c in rest], F.col(id_col).cast("long").alias("id"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, worker_cache
+from .common import join_counted, map_arrow, materialize, worker_cache
 from .components import connected
 
 #: Tokens of more documents than this are frequent.
@@ -276,9 +276,10 @@ def near_copies(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     table = written(texts, words, percent)
     docs = table.where("kind = 0").select("doc_id", "n", "key")
-    classes = docs.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    classes = docs.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    classes = materialize(classes, "classes")
     # of copies, the document that stands for all
-    first = table.where("kind > 0").join(classes.withColumnRenamed("class_id", "doc_id"), ["key", "doc_id"])
+    first = table.where("kind > 0").join(classes.select("key", F.col("class_id").alias("doc_id")), ["key", "doc_id"])
     sigs = materialize(first.where("kind = 1").select("sig", "doc_id", "n", "pos", "slack"), "shared")
     sets = materialize(first.where("kind = 2").select("doc_id", "n", "tokens", "parity"), "sets")
 
@@ -300,8 +301,9 @@ def near_copies(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     links = materialize(links.unionByName(verified(more, sets, percent)), "all_links")
 
     part = connected(links).select(F.col("node").alias("class_id"), "component")
-    out = docs.join(classes, "key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     # rows that repeat an id with different texts link the classes of these
-    out = out.join(part, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    out = out.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component")))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    placed = materialize(classes.join(part, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")), "placed")
+    named = join_counted(docs.where("doc_id is not null"), placed, ["key"], "copies", docs.count(), "left")
+    alone = docs.where("doc_id is null").withColumn("class_id", F.col("doc_id")).withColumn("component", F.col("doc_id"))
+    out = named.unionByName(alone)
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))

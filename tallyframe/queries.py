@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.types import Account, AccountFilterFlags, AccountFlags, Transfer, TransferFlags
+from .functions.types import BATCH_MAX, Account, AccountFilterFlags, AccountFlags, TransferFlags
 from .operators import engine, reads
 from .operators.reads import AccountFilter, ChangeEventsFilter, QueryFilter
 from .plans import fast
@@ -343,12 +343,12 @@ def q39_cdc_json_body(spark, d):
     return cdc.body(event_log(spark, d)).select("timestamp", "body")
 
 
-def kernel(spark, d, change: Callable[[DataFrame], DataFrame] = lambda t: t, account_flags: int = 0, first: int = 0):
+def kernel(spark, d, change: Callable[[DataFrame], DataFrame] = lambda t: t, account_flags: int | Column = 0):
     """Accounts in one request, then the transfers of each ledger in their order, through the kernel.
 
     Each ledger's transfers are a request of their own here, so timestamps are given out by ledger.
     """
-    a = mapping.event_accounts(spark, d).withColumn("flags", F.lit(8 | account_flags)).withColumn("timestamp", F.lit(0).cast("long")).withColumn("what", F.lit("account"))
+    a = mapping.event_accounts(spark, d).withColumn("flags", F.lit(account_flags).bitwiseOR(F.lit(8))).withColumn("timestamp", F.lit(0).cast("long")).withColumn("what", F.lit("account"))
     t = change(mapping.event_transfers(spark, d)).withColumn("what", F.lit("transfer"))
     place = lambda by: F.row_number().over(Window.partitionBy("ledger").orderBy(by)) - 1
     a = a.withColumn("idx", place("id")).withColumn("batch", F.lit(0))
@@ -360,8 +360,8 @@ def kernel(spark, d, change: Callable[[DataFrame], DataFrame] = lambda t: t, acc
 
 @query()
 def q40_kernel_limits(spark, d):
-    limit = AccountFlags.DEBITS_MUST_NOT_EXCEED_CREDITS
-    return kernel(spark, d, account_flags=int(limit)).where("what = 'result' and batch = 1").groupBy("status").count()
+    limit = F.when(F.col("id") % 3 == 0, int(AccountFlags.DEBITS_MUST_NOT_EXCEED_CREDITS)).otherwise(0)
+    return kernel(spark, d, account_flags=limit).where("what = 'result' and batch = 1").groupBy("status").count()
 
 
 @query()
@@ -383,13 +383,25 @@ def q43_kernel_closing(spark, d):
     return kernel(spark, d, lambda t: t.withColumn("flags", closing)).where("what = 'result'").groupBy("status").count()
 
 
-@query()
+# every fiftieth timestamp goes back behind the ones before it
+PAST_SQL = "10000 + 100 * o_orderkey - CASE WHEN o_orderkey % 50 = 7 THEN 4000 ELSE 0 END"
+IMPORT_SQL = f"""WITH t AS (SELECT o_orderkey AS k, 1 + o_orderkey // {BATCH_MAX} AS batch, {PAST_SQL} AS ts FROM orders),
+n AS (SELECT k, batch, ts, row_number() OVER (PARTITION BY batch ORDER BY k) - 1 AS idx, count(*) OVER (PARTITION BY batch) AS size, coalesce(max(CASE WHEN k % 50 <> 7 THEN ts END) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last FROM t)
+SELECT 0::BIGINT AS batch, i::BIGINT AS idx, (i + 1)::BIGINT AS timestamp, 'created' AS status FROM range(10) r(i)
+UNION ALL SELECT batch::BIGINT, idx::BIGINT, ts::BIGINT, CASE WHEN ts <= last THEN 'imported_event_timestamp_must_not_regress' ELSE 'created' END FROM n"""
+
+
+@query(IMPORT_SQL)
 def q44_kernel_import(spark, d):
-    n = 500
-    o = mapping.table(spark, d, "orders").orderBy("o_orderkey").limit(n).collect()
     accounts = [Account(id=i + 1, ledger=1, code=1, flags=int(AccountFlags.IMPORTED), timestamp=i + 1) for i in range(10)]
-    made = [Transfer(id=i + 1, debit_account_id=r.o_custkey % 10 + 1, credit_account_id=(r.o_custkey + 1) % 10 + 1, amount=round(r.o_totalprice * 100), ledger=1, code=1, flags=int(TransferFlags.IMPORTED), timestamp=1000 + i - 5 * (i % 50 == 7)) for i, r in enumerate(o)]
-    log = engine.requests(spark, [("account", 10**6, accounts), ("transfer", 10**7, made)])
+    key, who = F.col("o_orderkey"), F.col("o_custkey")
+    made = mapping.table(spark, d, "orders").select(
+        F.lit("transfer").alias("what"), F.expr(f"1 + o_orderkey div {BATCH_MAX}").alias("batch"), key.alias("key"), (key + 1).alias("id"), (who % 10 + 1).alias("debit_account_id"), ((who + 1) % 10 + 1).alias("credit_account_id"),
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("amount"), F.lit(0).cast("long").alias("pending_id"), F.lit(1).cast("long").alias("ledger"), F.lit(1).cast("long").alias("code"), F.lit(int(TransferFlags.IMPORTED)).cast("long").alias("flags"), F.expr(PAST_SQL).cast("long").alias("timestamp"),
+    )
+    request = Window.partitionBy("batch")
+    made = made.withColumn("idx", F.row_number().over(request.orderBy("key")).cast("long") - 1).withColumn("size", F.count("*").over(request)).withColumn("batch_time", 10**15 + F.col("batch") * 10**6)
+    log = engine.requests(spark, [("account", 10**6, accounts)]).unionByName(made.drop("key"), allowMissingColumns=True)
     return engine.fold(log).where("what = 'result'").select("batch", "idx", "timestamp", "status")
 
 

@@ -26,7 +26,7 @@ SPACE, BLANK, LETTER, NUMBER, QUOTE, OTHER, L_STMD, L_R, L_V, L_L, L_E, END = ra
 DONE, IN_L, IN_N, IN_O, ONE_SPACE, ONE_BLANK, RUN_SPACE, RUN_BLANK, Q, Q_R, Q_V, Q_L = range(12)
 LETTERS = (LETTER, L_STMD, L_R, L_V, L_L, L_E)
 CHUNK = 512
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 
 
 def transducer() -> tuple[np.ndarray, np.ndarray]:
@@ -322,8 +322,8 @@ class Vocabulary:
 
     def learn(self, distinct: list[str]) -> dict[str, bytes]:
         """Merge the pieces that were not met before; the dict holds all of them."""
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
+        if len(self.words) > WORDS_KEPT:  # what this batch needs, common words among it, stays
+            self.words = {w: self.words[w] for w in distinct if w in self.words}
         new = [w for w in distinct if w not in self.words]
         if new:
             new = list(dict.fromkeys(new))

@@ -34,8 +34,12 @@ def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def in_blocks(df: DataFrame, rows: int, pack: Callable[[np.ndarray, np.ndarray], object], name: str) -> tuple[DataFrame, int]:
-    """(block number, packed block) over all rows, about so many in each; and the number of blocks."""
+def in_blocks(df: DataFrame, rows: int, pack: Callable[[np.ndarray, np.ndarray], object], name: str, repeats: bool) -> tuple[DataFrame, int]:
+    """(block number, packed block) over all rows, about so many in each; and the number of blocks.
+
+    repeats: rows may repeat an id, and are dealt by their place as well. A place has to be the
+    same when a lost task is run again, so df is then read from a table, without a shuffle between.
+    """
     blocks = max(1, -(-df.count() // rows))
 
     def run(table: pa.Table) -> pa.Table:
@@ -44,8 +48,8 @@ def in_blocks(df: DataFrame, rows: int, pack: Callable[[np.ndarray, np.ndarray],
         blob = pickle.dumps(pack(ids[order], matrix(table.column("vec"))[order]), 5)
         return pa.table({name: table.column(name).slice(0, 1), f"{name}_blob": pa.array([blob], pa.binary())})
 
-    # the row's place spreads rows that repeat an id
-    key = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).alias(name)
+    place = [F.monotonically_increasing_id()] if repeats else []
+    key = F.pmod(F.xxhash64("vec_id", *place), F.lit(blocks)).alias(name)
     return df.select("vec_id", "vec", key).groupBy(name).applyInArrow(run, f"{name} long, {name}_blob binary"), blocks
 
 
@@ -55,9 +59,9 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, build: Callable, f
     Candidates are dealt into blocks, each of which builds its index once; every block of
     queries meets every block of candidates, and sends on k rows a query, which are then ranked.
     """
-    indexes, _ = in_blocks(candidates, block_rows, build, "block")
+    indexes, _ = in_blocks(candidates, block_rows, build, "block", True)
     asked = queries.groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    packed, n = in_blocks(asked, query_rows, lambda ids, v: (ids, v), "asked")
+    packed, n = in_blocks(asked, query_rows, lambda ids, v: (ids, v), "asked", False)
     pairs = indexes.withColumn("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(packed, "asked")
     kind = pa.int64() if score == "long" else pa.float64()
 
@@ -247,6 +251,15 @@ def fit_books(x: np.ndarray, width: int = 2, threshold: float = 0.2, rounds: int
     return books, extra
 
 
+def leading(guess: np.ndarray, n: int) -> np.ndarray:
+    """The places of the n largest numbers; of equal ones the first, which in a block are those of the smallest ids."""
+    if len(guess) <= n:
+        return np.arange(len(guess))
+    least = -np.partition(-guess, n - 1)[n - 1]
+    above = np.flatnonzero(guess > least)
+    return np.concatenate((above, np.flatnonzero(guess == least)[: n - len(above)]))
+
+
 def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rerank: int = 200, block_rows: int = 4096, query_rows: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (double) for the rows whose id is divisible by every: about the k of largest inner product.
 
@@ -283,7 +296,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rer
             for t, c in zip(table, codes, strict=True):
                 guess += t[c]
             guess[owner == q] = -np.inf
-            take = np.argpartition(-guess, rerank - 1)[:rerank] if len(guess) > rerank else np.arange(len(guess))
+            take = leading(guess, rerank)
             take = take[owner[take] != q]
             exact = (own[take, :same] * raw).sum(1)
             best = np.lexsort((owner[take], -exact))[:k]

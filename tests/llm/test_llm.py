@@ -250,3 +250,17 @@ def test_nearest_finds_nine_in_ten(spark):
             total += len({round(-s, 9) for s, _ in best})
     assert hits >= 0.9 * total
     assert vectors.nearest(frame.limit(0)).count() == 0
+
+
+def test_leading_takes_the_first_of_equal_ones():
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 7, 40):
+        guess = rng.integers(0, 4, 30).astype(np.float32)
+        want = sorted(range(30), key=lambda i: (-guess[i], i))[:n]
+        assert sorted(vectors.leading(guess, n).tolist()) == sorted(want)
+
+
+def test_copies_beyond_the_rerank_go_to_smaller_ids(spark):
+    frame = spark.createDataFrame([(i, [1.0, 0.0, 0.0, 0.0]) for i in range(500)], "vec_id long, embedding array<float>")
+    got = [(r.rank, r.vec_id) for r in vectors.nearest(frame, block_rows=1000).where("query_id = 0").collect()]
+    assert sorted(got) == [(i, i) for i in range(1, 21)]

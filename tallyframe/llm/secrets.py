@@ -130,8 +130,9 @@ def encoded(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        packed = unpack(data)
-        while packed is not None and (inner := unpack(packed)) is not None and inner != packed:
+        packed, met = unpack(data), {data}
+        while packed is not None and packed not in met and (inner := unpack(packed)) is not None:
+            met.add(packed)
             packed = inner
         if packed is not None:
             try:

@@ -264,3 +264,9 @@ def test_copies_beyond_the_rerank_go_to_smaller_ids(spark):
     frame = spark.createDataFrame([(i, [1.0, 0.0, 0.0, 0.0]) for i in range(500)], "vec_id long, embedding array<float>")
     got = [(r.rank, r.vec_id) for r in vectors.nearest(frame, block_rows=1000).where("query_id = 0").collect()]
     assert sorted(got) == [(i, i) for i in range(1, 21)]
+
+
+def test_packed_layers_that_lead_back_end(monkeypatch):
+    a, b = b"q" * 20, b"z" * 20
+    monkeypatch.setattr(secrets, "unpack", {a: b, b: a}.get)
+    assert secrets.find("look " + base64.b64encode(a).decode()) == ([], [])

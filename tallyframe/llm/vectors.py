@@ -15,6 +15,9 @@ from .common import map_arrow
 
 PAGE = 256
 FAN = 16
+#: So many blocks of queries meet a block of candidates in a task.
+SHARE = 256
+MOST_TASKS = 50_000
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -58,18 +61,29 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, build: Callable, f
 
     Candidates are dealt into blocks, each of which builds its index once; every block of
     queries meets every block of candidates, and sends on k rows a query, which are then ranked.
+    Blocks of queries, the smaller ones, are what is copied; an index only once for each SHARE
+    of them, so that the bytes of a task have a bound.
     """
-    indexes, _ = in_blocks(candidates, block_rows, build, "block", True)
+    indexes, blocks = in_blocks(candidates, block_rows, build, "block", True)
     asked = queries.groupBy("vec_id").agg(F.min("vec").alias("vec"))
     packed, n = in_blocks(asked, query_rows, lambda ids, v: (ids, v), "asked", False)
-    pairs = indexes.withColumn("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(packed, "asked")
+    shares = -(-n // SHARE)
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    parts = min(blocks * shares, MOST_TASKS)
+    left = packed.withColumn("share", F.expr(f"asked div {SHARE}")).withColumn("block", each(blocks)).repartition(parts, "block", "share")
+    right = indexes.withColumn("share", each(shares)).repartition(parts, "block", "share")
+    pairs = left.join(right, ["block", "share"])
     kind = pa.int64() if score == "long" else pa.float64()
 
     def run(batches):
+        number, index = None, None
         for b in batches:
-            for index, asked in zip(b.column(b.schema.get_field_index("block_blob")), b.column(b.schema.get_field_index("asked_blob")), strict=True):
-                ids, vectors = pickle.loads(asked.as_py())
-                q, v, s = find(pickle.loads(index.as_py()), ids, vectors, k)
+            at, blobs, asked = (b.column(b.schema.get_field_index(c)) for c in ("block", "block_blob", "asked_blob"))
+            for i, block in enumerate(at.to_pylist()):
+                if block != number:
+                    number, index = block, pickle.loads(blobs[i].as_py())
+                ids, vectors = pickle.loads(asked[i].as_py())
+                q, v, s = find(index, ids, vectors, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, kind)], ["query_id", "vec_id", "score"])
 
     found = map_arrow(pairs, run, f"query_id long, vec_id long, score {score}")

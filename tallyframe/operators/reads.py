@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import BATCH_MAX, CHANGE_EVENTS_MAX, EVENT_TYPES, U63_MAX, U128_MAX, AccountFilterFlags, AccountFlags, QueryFilterFlags
+from ..functions.types import BATCH_MAX, CHANGE_EVENTS_MAX, EVENT_TYPES, U63_MAX, U128_MAX, AccountFilterFlags, AccountFlags, QueryFilterFlags, TransferFlags, to_bytes
 
 
 @dataclass(frozen=True)
@@ -78,15 +79,25 @@ def good_range(f: Filter) -> bool:
     return bounds and f.limit > 0 and (f.timestamp_max == 0 or f.timestamp_min <= f.timestamp_max)
 
 
-def predicate(f: Filter) -> Column:
+def equal(df: DataFrame, name: str, value: int) -> Column:
+    """Whether a column of either profile holds the value."""
+    kind = dict(df.dtypes)[name]
+    if kind == "binary":
+        return F.col(name) == F.lit(bytearray(to_bytes(value)))
+    if kind.startswith("decimal"):
+        return F.col(name) == F.lit(Decimal(value))
+    return F.col(name) == value if value <= U63_MAX else F.lit(False)
+
+
+def predicate(df: DataFrame, f: Filter) -> Column:
     """Only what the filter asks for: a zero field asks for nothing, and a stored zero is never asked for."""
-    tests = [F.col(c) == getattr(f, c) for c in f.fields if getattr(f, c)]
+    tests = [equal(df, c, getattr(f, c)) for c in f.fields if getattr(f, c)]
     if f.timestamp_min:
         tests.append(F.col("timestamp") >= f.timestamp_min)
     if f.timestamp_max:
         tests.append(F.col("timestamp") <= f.timestamp_max)
     if isinstance(f, AccountFilter):
-        sides = [F.col(f"{s}_account_id") == f.account_id for s, flag in (("debit", AccountFilterFlags.DEBITS), ("credit", AccountFilterFlags.CREDITS)) if f.flags & flag]
+        sides = [equal(df, f"{s}_account_id", f.account_id) for s, flag in (("debit", AccountFilterFlags.DEBITS), ("credit", AccountFilterFlags.CREDITS)) if f.flags & flag]
         tests.append(reduce(Column.__or__, sides))
     return reduce(Column.__and__, tests, F.lit(True))
 
@@ -96,7 +107,7 @@ def scan(df: DataFrame, f: Filter, cap: int | None = BATCH_MAX) -> DataFrame:
     if not f.valid():
         return df.limit(0)
     by = F.col("timestamp")
-    return df.where(predicate(f)).orderBy(by.desc() if f.reversed() else by.asc()).limit(min(f.limit, cap or f.limit))
+    return df.where(predicate(df, f)).orderBy(by.desc() if f.reversed() else by.asc()).limit(min(f.limit, cap or f.limit))
 
 
 def lookup(df: DataFrame, ids: list[int], cap: int | None = BATCH_MAX) -> DataFrame:
@@ -106,7 +117,10 @@ def lookup(df: DataFrame, ids: list[int], cap: int | None = BATCH_MAX) -> DataFr
     """
     if cap and len(ids) > cap:
         raise ValueError(f"more than {cap} ids")
-    asked = df.sparkSession.range(1).select(F.posexplode(F.lit(list(ids)) if ids else F.array().cast("array<bigint>")).alias("pos", "id"))
+    if dict(df.dtypes)["id"] == "binary":
+        asked = df.sparkSession.createDataFrame([(i, to_bytes(x)) for i, x in enumerate(ids)], "pos int, id binary")
+    else:
+        asked = df.sparkSession.range(1).select(F.posexplode(F.lit(list(ids)) if ids else F.array().cast("array<bigint>")).alias("pos", "id"))
     side = F.broadcast(asked) if cap else asked
     return df.join(side, "id").orderBy("pos").select(*df.columns)
 
@@ -121,9 +135,9 @@ def account_balances(accounts: DataFrame, events: DataFrame, f: AccountFilter, c
     events has a row for each transfer with both accounts' balances after it, so the filter goes
     to it directly; expiries are no transfers and don't appear.
     """
-    owner = accounts.where((F.col("id") == f.account_id) & (F.col("flags").bitwiseAND(int(AccountFlags.HISTORY)) != 0))
+    owner = accounts.where(equal(accounts, "id", f.account_id) & (F.col("flags").bitwiseAND(int(AccountFlags.HISTORY)) != 0))
     rows = scan(events.where(F.col("kind") != 4), f, cap)
-    debit = F.col("debit_account_id") == f.account_id
+    debit = equal(events, "debit_account_id", f.account_id)
     picked = [F.when(debit, F.col(f"dr_{c}")).otherwise(F.col(f"cr_{c}")).alias(c) for c in ("debits_pending", "debits_posted", "credits_pending", "credits_posted")]
     by = F.col("timestamp")
     return rows.join(F.broadcast(owner.limit(1).select(F.lit(1).alias("one"))), F.lit(1) == F.col("one"), "left_semi").select("timestamp", *picked).orderBy(by.desc() if f.reversed() else by)
@@ -150,6 +164,19 @@ def change_events(events: DataFrame, transfers: DataFrame, accounts: DataFrame,
     return joined.withColumn("type", kinds).drop("dk", "ck", "kind").orderBy("timestamp")
 
 
+def former_events(rows: DataFrame, transfers: DataFrame) -> DataFrame:
+    """Events of an older kind, stored without their type, as rows for change_events().
+
+    Rows that hold one side only are left out; the type is that of the transfer's flags.
+    """
+    zero = lambda side: F.coalesce(equal(rows, f"{side}_account_id", 0), F.lit(True))
+    flag = lambda x: F.col("now_flags").bitwiseAND(int(x)) != 0
+    kind = F.when(flag(TransferFlags.PENDING), 1).when(flag(TransferFlags.POST_PENDING_TRANSFER), 2).when(flag(TransferFlags.VOID_PENDING_TRANSFER), 3).otherwise(0)
+    now = transfers.select("timestamp", F.col("id").alias("transfer_key"), F.col("flags").alias("now_flags"))
+    whole = rows.where(~zero("debit") & ~zero("credit")).drop("kind", "transfer_key")
+    return whole.join(now, "timestamp").withColumn("kind", kind).drop("now_flags")
+
+
 def pages(df: DataFrame, f: Filter, size: int) -> Iterator[DataFrame]:
     """The scan of f in pages: each is asked for from just beyond the last row of the one before. The last one is short."""
     while f.valid():

@@ -274,13 +274,37 @@ def leading(guess: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate((above, np.flatnonzero(guess == least)[: n - len(above)]))
 
 
+def angles(vectors: np.ndarray, coded: np.ndarray) -> dict:
+    """Of each row: its length, the inverse of its coded vector's, and cosine and sine of the angle between the two."""
+    n = max(vectors.shape[1], coded.shape[1])
+    x, y = (np.pad(v, ((0, 0), (0, n - v.shape[1]))) for v in (vectors, coded))
+    norm, short = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    inverse = np.where(short > 0, 1 / np.maximum(short, 1e-300), 0.0)
+    y = y * inverse[:, None]
+    along = np.einsum("ij,ij->i", x, y)
+    return {"norm": norm, "inverse": inverse, "cos": along / norm, "sin": np.where(short > 0, np.linalg.norm(x - along[:, None] * y, axis=1) / norm, 1.0)}
+
+
+def reach(index: dict, guess: np.ndarray, parts: int) -> np.ndarray:
+    """The most that the inner product of each row with a query of length 1 can be.
+
+    guess is the query's with the coded rows, in single precision. The angle between query and row is
+    no less than that between query and coded row less that between row and coded row.
+    """
+    a = np.minimum(1.0, guess * index["inverse"] + (parts + 4) * 2.0**-22)
+    a = np.maximum(-1.0, a)
+    bound = np.where(a >= index["cos"], 1.0, a * index["cos"] + np.sqrt(1.0 - a * a) * index["sin"])
+    return index["norm"] * (bound + 1e-9)
+
+
 def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rerank: int = 200, block_rows: int = 4096, query_rows: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score (double) for the rows whose id is divisible by every: about the k of largest inner product.
+    """query_id, rank, vec_id, score (double) for the rows whose id is divisible by every: the k of largest inner product, ties to the smaller vec_id.
 
     Centres are fitted on a sample of rows, those whose ids have the smallest hashes; every row is
     coded, at four bits for two dimensions. A query's tables for pairs of codes are added up over the
     codes of a block, and the best rerank rows of each block are scored exactly on the original vectors
-    in double precision. Null, empty and zero vectors, those with null or non-finite components and rows
+    in double precision, as is every other row that by the bound on its quantisation error can still
+    reach the k-th of these scores, so that none of the block's k best is lost. Null, empty and zero vectors, those with null or non-finite components and rows
     without an id take no part. Shorter vectors count as filled up with zeros. All rows of a query's id are its own.
     """
     base = usable(df, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
@@ -294,25 +318,39 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rer
         n = min(wide, vectors.shape[1])
         x[:, :n] = vectors[:, :n]
         codes = choose(x, books, extra).astype(np.uint8)
-        return {"ids": ids, "vectors": vectors, "codes": np.ascontiguousarray((codes[:, 0::2] << 4 | codes[:, 1::2]).T)}
+        coded = books[np.arange(len(books)), codes].reshape(len(x), wide)
+        return {"ids": ids, "vectors": vectors, "codes": np.ascontiguousarray((codes[:, 0::2] << 4 | codes[:, 1::2]).T), **angles(vectors, coded)}
 
     def find(index: dict, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[list[int], list[int], list[float]]:
         owner, own, codes = index["ids"], index["vectors"], index["codes"]
         n = min(wide, vectors.shape[1])
+        size = np.linalg.norm(vectors, axis=1)
         x = np.zeros((len(vectors), wide))
-        x[:, :n] = vectors[:, :n]
+        x[:, :n] = vectors[:, :n] / size[:, None]
         tables = np.einsum("qmw,mcw->qmc", x.reshape(len(x), len(books), -1), books)
         tables = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(x), len(books) // 2, 256).astype(np.float32)
         same = min(own.shape[1], vectors.shape[1])
+        own = own[:, :same]
         out_q, out_v, out_s = [], [], []
-        for q, table, raw in zip(ids.tolist(), tables, vectors[:, :same], strict=True):
+        for q, table, raw, long in zip(ids.tolist(), tables, vectors[:, :same], size.tolist(), strict=True):
             guess = np.zeros(len(owner), np.float32)
             for t, c in zip(table, codes, strict=True):
                 guess += t[c]
-            guess[owner == q] = -np.inf
+            mine = owner == q
+            most = reach(index, guess, len(books)) * long
+            guess[mine] = -np.inf
             take = leading(guess, rerank)
             take = take[owner[take] != q]
-            exact = (own[take, :same] * raw).sum(1)
+            exact = (own[take] * raw).sum(1)
+            if len(guess) > rerank:
+                least = -np.partition(-exact, k - 1)[k - 1] if len(exact) >= k else -np.inf
+                open_ = ~((most < least) | mine)
+                open_[take] = False
+                more = np.flatnonzero(open_)
+                if 8 * len(more) > len(guess):  # many: a product over the block, a little wide, rules out most
+                    more = more[~((own @ raw)[more] < least - 1e-9 * (abs(least) + long * index["norm"][more]))]
+                take = np.concatenate((take, more))
+                exact = np.concatenate((exact, (own[more] * raw).sum(1)))
             best = np.lexsort((owner[take], -exact))[:k]
             out_q += [q] * len(best)
             out_v += owner[take[best]].tolist()

@@ -266,6 +266,21 @@ def test_copies_beyond_the_rerank_go_to_smaller_ids(spark):
     assert sorted(got) == [(i, i) for i in range(1, 21)]
 
 
+def test_nearest_among_more_near_copies_than_are_reranked(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 16))
+    v[::3] = v[0] + 0.01 * rng.normal(size=(1000, 16))  # a third of the rows, in every block
+    v = v.astype(np.float32).astype(np.float64)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in vectors.nearest(frame, rerank=40, block_rows=1000).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    for q in range(0, 3000, 20):
+        exact = (v * v[q]).sum(1)
+        exact[q] = -np.inf
+        assert [got[q][i] for i in range(1, 21)] == np.lexsort((np.arange(3000), -exact))[:20].tolist()
+
+
 def test_packed_layers_that_lead_back_end(monkeypatch):
     a, b = b"q" * 20, b"z" * 20
     monkeypatch.setattr(secrets, "unpack", {a: b, b: a}.get)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import binascii
 import re
 import zlib
@@ -26,8 +25,14 @@ ORDER = {k: i for i, (k, *_) in enumerate(KINDS)}
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-NOT_TEXT = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+#: Between two lines of one run; in quoted strings a line break can be written as \\n.
+BREAK = r"[ \t]*+(?:\r\n?|\n|(?:\\r)?\\n)[ \t>]*+"
+BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{16,}}+(?:{BREAK}[A-Za-z0-9+/_-]++)*+|[A-Za-z0-9+/_-]++(?:{BREAK}[A-Za-z0-9+/_-]++)++)={{0,2}}")
+BREAK = re.compile(BREAK)
+#: How gzip and zlib data begin in base64.
+PACKED = re.compile(r"(?=H4sI|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r]))")
+#: Patterns and escapes are ASCII, and what they can match is no shorter than this, in any layer.
+ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
 #: A compressed layer may unpack to so many bytes; a larger one is taken for a bomb and not opened.
 MOST_UNPACKED = 64 << 20
 
@@ -85,12 +90,12 @@ def rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(parts), begins, ends)
 
 
-def by_bytes(data: bytes, place) -> list[tuple[str, int, int]] | None:
-    """Characters of UTF-8 data; place(first byte, last byte + 1) is their range."""
+def by_bytes(data: bytes, place) -> list[tuple[str, int, int]]:
+    """Characters of UTF-8 data, or of other data a character a byte; place(first byte, last byte + 1) is their range."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return None
+        return [(chr(x), *place(i, i + 1)) for i, x in enumerate(data)]
     out, at = [], 0
     for c in text:
         n = len(c.encode())
@@ -99,7 +104,7 @@ def by_bytes(data: bytes, place) -> list[tuple[str, int, int]] | None:
     return out
 
 
-def percent(m: re.Match) -> list[tuple[str, int, int]] | None:
+def percent(m: re.Match) -> list[tuple[str, int, int]]:
     return by_bytes(bytes.fromhex(m[0].replace("%", "")), lambda a, b: (3 * a, 3 * b))
 
 
@@ -108,7 +113,7 @@ def escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), 0, len(m[0]))]
 
 
-def unpack(data: bytes) -> bytes | None:
+def unpack(data: bytes | memoryview) -> bytes | None:
     """What gzip or zlib data holds."""
     if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
         return None
@@ -120,38 +125,62 @@ def unpack(data: bytes) -> bytes | None:
         return None
 
 
+def extent(data: bytes | memoryview) -> int:
+    """How many bytes of the data the compressed stream takes that it begins with."""
+    d = zlib.decompressobj(47)
+    rest, size = data, len(data)
+    try:
+        while rest and not d.eof:
+            d.decompress(rest, 1 << 20)
+            rest = d.unconsumed_tail
+    except zlib.error:
+        return size
+    return size - len(d.unused_data)
+
+
 def encoded(layer: Layer) -> Iterator[Layer]:
-    """A layer for each base64 run that holds text, or compressed data that holds text."""
+    """A layer for each stretch of ASCII in a base64 run, read from each of its first four characters, and for compressed data that begins anywhere in it.
+
+    A run goes on over line breaks. Other bytes than ASCII are left out: no pattern holds them.
+    """
     for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        run = BREAK.sub("", m[0].rstrip("="))
+        if len(run) < 16:
             continue
-        packed, met = unpack(data), {data}
-        while packed is not None and packed not in met and (inner := unpack(packed)) is not None:
-            met.add(packed)
-            packed = inner
-        if packed is not None:
-            try:
-                text = packed.decode()
-            except UnicodeDecodeError:
+        places: list[int] = []
+
+        def place(a: int, b: int, m: re.Match = m, places: list[int] = places) -> tuple[int, int]:
+            """Where characters a to b of the run are from."""
+            if not places:
+                at = m.start()
+                for x in BREAK.finditer(layer.text, m.start(), m.end()):
+                    places.extend(range(at, x.start()))
+                    at = x.end()
+                places.extend(range(at, m.end()))
+            return layer.origin(places[a], places[b - 1] + 1)
+
+        plain = run.translate({45: 43, 95: 47})
+        data = []
+        for i in range(4):
+            part = plain[i : len(plain) - ((len(plain) - i) % 4 == 1)]
+            data.append(binascii.a2b_base64(part + "=" * (-len(part) % 4)))
+        for i in sorted({0, *(x.start() for x in PACKED.finditer(plain))}):
+            blob = memoryview(data[i % 4])[i // 4 * 3 :]
+            if (packed := unpack(blob)) is None:
                 continue
-            if text:
-                a, b = layer.origin(*m.span())
-                yield Layer(text, [a] * len(text), [b] * len(text))
-            continue
-        base = m.start()
-        chars = by_bytes(data, lambda a, b: (a * 4 // 3, -(-b * 4 // 3)))
-        if not chars:
-            continue
-        text = "".join(c for c, _, _ in chars)
-        if NOT_TEXT.search(text):
-            continue
-        at = [layer.origin(base + a, base + min(b, len(run))) for _, a, b in chars]
-        yield Layer(text, [a for a, _ in at], [b for _, b in at])
+            met = {bytes(blob)}
+            while packed not in met and (inner := unpack(packed)) is not None:
+                met.add(packed)
+                packed = inner
+            if packed:
+                end = min(i - (-extent(blob) * 4 // 3), len(run))
+                at = place(i, end if end < len(run) else end + m[0].count("="))
+                text = packed.decode("latin-1")
+                yield Layer(text, [at[0]] * len(text), [at[1]] * len(text))
+        for i, part in enumerate(data):
+            for x in ASCII.finditer(part):
+                at = [place(i + b * 4 // 3, min(i - (-(b + 1) * 4 // 3), len(run))) for b in range(*x.span())]
+                yield Layer(x[0].decode(), [a for a, _ in at], [b for _, b in at])
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
@@ -175,8 +204,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
             work.append(x)
         if ("\\" in layer.text or "&#" in layer.text) and (x := rewritten(layer, ESCAPE, escape)):
             work.append(x)
-        if layer.begins is not None or max(map(len, layer.text.split()), default=0) >= 16:
-            work.extend(encoded(layer))
+        work.extend(encoded(layer))
     return base, sorted(spans, key=place)
 
 

@@ -285,3 +285,35 @@ def test_packed_layers_that_lead_back_end(monkeypatch):
     a, b = b"q" * 20, b"z" * 20
     monkeypatch.setattr(secrets, "unpack", {a: b, b: a}.get)
     assert secrets.find("look " + base64.b64encode(a).decode()) == ([], [])
+
+
+def test_base64_across_lines_glued_and_not_all_text():
+    key = "AKIA" + "Q" * 16
+    words = " ".join(str(i * i) for i in range(40))
+    plain = f"{words} password = {'x1' * 40} {key} {words}".encode()
+    flat = base64.b64encode(plain).decode()
+
+    def spans(text):
+        return {(k, a, b) for k, a, b in secrets.find(text)[1]}
+
+    for data in (plain, gzip.compress(plain), zlib.compress(plain), b"\xff\x00" + plain + b"\x01\xfe"):
+        coded = base64.b64encode(data).decode()
+        for width in (10, 64, 76):
+            lines = [coded[i : i + width] for i in range(0, len(coded), width)]
+            for sep in ("\n", "\r\n", "\n  ", "\\n"):
+                text = "-----BEGIN\n" + sep.join(lines) + "\nThe end"
+                found = spans(text)
+                assert {"access", "assign"} <= {k for k, *_ in found}, (width, sep)
+                assert all(11 <= a < b <= len(text) - 8 for _, a, b in found)
+                assert key not in secrets.masked(text, "#")
+        for glue in ("https://x.y/a/", "https://x.y/ab/", "id_", "x-", "q/", "/"):
+            for coded in (base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode().rstrip("=")):
+                found = spans(glue + coded + " ok")
+                assert {"access", "assign"} <= {k for k, *_ in found}, glue
+                assert all(len(glue) <= a < b <= len(glue) + len(coded) for _, a, b in found)
+    # spans are as before where a run is by itself
+    at = plain.index(key.encode())
+    assert ("access", at * 4 // 3, -(-(at + 20) * 4 // 3)) in spans(flat)
+    coded = base64.b64encode(gzip.compress(plain)).decode()
+    assert ("access", 0, len(coded)) in spans(coded)
+    assert {k for k, *_ in spans("%FF" + "".join(f"%{x:02x}" for x in key.encode()))} == {"access"}

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import binascii
+import hashlib
 import re
 import zlib
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +33,8 @@ BREAK = re.compile(BREAK)
 PACKED = re.compile(r"(?=H4sI|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r]))")
 #: Patterns and escapes are ASCII, and what they can match is no shorter than this, in any layer.
 ASCII = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
-#: A compressed layer may unpack to so many bytes; a larger one is taken for a bomb and not opened.
-MOST_UNPACKED = 64 << 20
+#: What compressed data holds is unpacked in parts of so many bytes at most, and scanned in windows that overlap.
+PART, WINDOW, OVERLAP = 1 << 20, 16 << 20, 4 << 20
 
 Span = tuple[str, int, int]
 
@@ -52,16 +52,21 @@ def scan(text: str) -> list[Span]:
 
 
 class Layer:
-    """A text with, for each character, the range of the document that it comes from; None: the document itself."""
+    """A text with, for each character, the range of the document that it comes from, or one range, at, for all; None: the document itself."""
 
-    def __init__(self, text: str, begins: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.begins, self.ends = text, begins, ends
+    def __init__(self, text: str, begins: list[int] | None = None, ends: list[int] | None = None, at: tuple[int, int] | None = None):
+        self.text, self.begins, self.ends, self.at = text, begins, ends, at
+
+    def whole(self) -> bool:
+        return self.begins is None and self.at is None
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
+        if self.at is not None:
+            return self.at
         return (a, b) if self.begins is None else (min(self.begins[a:b]), max(self.ends[a:b]))
 
-    def key(self) -> tuple[str, int, int]:
-        return (self.text, *self.origin(0, len(self.text)))
+    def key(self) -> tuple[bytes, int, int]:
+        return (hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *self.origin(0, len(self.text)))
 
 
 def rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -70,6 +75,8 @@ def rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
     def copy(a: int, b: int) -> None:
         parts.append(layer.text[a:b])
+        if layer.at is not None:
+            return
         begins.extend(range(a, b) if layer.begins is None else layer.begins[a:b])
         ends.extend(range(a + 1, b + 1) if layer.ends is None else layer.ends[a:b])
 
@@ -80,6 +87,8 @@ def rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
         copy(at, m.start())
         for c, a, b in chars:
             parts.append(c)
+            if layer.at is not None:
+                continue
             a, b = layer.origin(m.start() + a, m.start() + b)
             begins.append(a)
             ends.append(b)
@@ -87,7 +96,7 @@ def rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     if not changed:
         return None
     copy(at, len(layer.text))
-    return Layer("".join(parts), begins, ends)
+    return Layer("".join(parts), begins, ends) if layer.at is None else Layer("".join(parts), at=layer.at)
 
 
 def by_bytes(data: bytes, place) -> list[tuple[str, int, int]]:
@@ -113,29 +122,75 @@ def escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), 0, len(m[0]))]
 
 
+def packs(data: bytes | memoryview) -> bool:
+    """Whether the data begins as gzip or zlib data does."""
+    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0
+
+
+def chunks(data: bytes | memoryview) -> Iterator[bytes]:
+    """The data, in a small piece, which most of what isn't compressed fails in, and larger ones."""
+    at, size = 0, 1 << 10
+    while at < len(data):
+        yield bytes(data[at : at + size])
+        at, size = at + size, 1 << 16
+
+
+def inflated(source: Iterable[bytes], used: list[int] | None = None) -> Iterator[bytes]:
+    """What gzip or zlib data holds, all members of it, up to its end or to where it breaks off or is broken; used[0]: so many bytes were read."""
+    d, rest, read = None, b"", 0
+    used = [0] if used is None else used
+    for chunk in source:
+        rest += chunk
+        while rest:
+            if d is None:
+                if read:  # members can be filled up with zeros
+                    read, rest = read + len(rest) - len(rest.lstrip(b"\0")), rest.lstrip(b"\0")
+                if len(rest) < 3:
+                    break
+                if not packs(rest):
+                    return
+                d = zlib.decompressobj(47)
+            spare = d.copy()
+            try:
+                out = d.decompress(rest, PART)
+            except zlib.error:  # the bytes before the broken one, one by one, as the call gives nothing of them
+                out = bytearray()
+                for i in range(len(rest)):
+                    try:
+                        out += spare.decompress(rest[i : i + 1])
+                    except zlib.error:
+                        break
+                    if out:
+                        used[0] = read + i + 1
+                if out:
+                    yield bytes(out)
+                return
+            left = d.unused_data if d.eof else d.unconsumed_tail
+            read, rest = read + len(rest) - len(left), left
+            used[0] = read
+            if out:
+                yield out
+            while not rest and not d.eof and (out := d.decompress(b"", PART)):
+                yield out
+            if d.eof:
+                d = None
+
+
 def unpack(data: bytes | memoryview) -> bytes | None:
-    """What gzip or zlib data holds."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    try:
-        d = zlib.decompressobj(47)
-        out = d.decompress(data, MOST_UNPACKED)
-        return out if d.eof else None
-    except zlib.error:
-        return None
+    """The first part of what gzip or zlib data holds."""
+    return next(inflated(chunks(data)), None) if packs(data) else None
 
 
-def extent(data: bytes | memoryview) -> int:
-    """How many bytes of the data the compressed stream takes that it begins with."""
-    d = zlib.decompressobj(47)
-    rest, size = data, len(data)
-    try:
-        while rest and not d.eof:
-            d.decompress(rest, 1 << 20)
-            rest = d.unconsumed_tail
-    except zlib.error:
-        return size
-    return size - len(d.unused_data)
+def windows(parts: Iterable[bytes]) -> Iterator[bytes]:
+    held, old = bytearray(), 0
+    for part in parts:
+        held += part
+        if len(held) >= WINDOW:
+            yield bytes(held)
+            del held[:-OVERLAP]
+            old = len(held)
+    if len(held) > old:
+        yield bytes(held)
 
 
 def encoded(layer: Layer) -> Iterator[Layer]:
@@ -168,15 +223,21 @@ def encoded(layer: Layer) -> Iterator[Layer]:
             blob = memoryview(data[i % 4])[i // 4 * 3 :]
             if (packed := unpack(blob)) is None:
                 continue
-            met = {bytes(blob)}
+            met, depth = {bytes(blob)}, 1
             while packed not in met and (inner := unpack(packed)) is not None:
                 met.add(packed)
-                packed = inner
-            if packed:
-                end = min(i - (-extent(blob) * 4 // 3), len(run))
-                at = place(i, end if end < len(run) else end + m[0].count("="))
-                text = packed.decode("latin-1")
-                yield Layer(text, [at[0]] * len(text), [at[1]] * len(text))
+                packed, depth = inner, depth + 1
+            used = [0]
+            for _ in inflated(chunks(blob), used):
+                pass
+            end = min(i - (-used[0] * 4 // 3), len(run))
+            at = place(i, end if end < len(run) else end + m[0].count("=")) if used[0] else None
+            for n in range(1, depth + 1):  # a text can look compressed by its first bytes
+                parts = chunks(blob)
+                for _ in range(n):
+                    parts = inflated(parts)
+                for x in windows(parts):
+                    yield Layer(x.decode("latin-1"), at=at)
         for i, part in enumerate(data):
             for x in ASCII.finditer(part):
                 at = [place(i + b * 4 // 3, min(i - (-(b + 1) * 4 // 3), len(run))) for b in range(*x.span())]
@@ -186,25 +247,27 @@ def encoded(layer: Layer) -> Iterator[Layer]:
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start, kind and end, in code points of the text.
 
-    The worklist holds layers that are still to be scanned and unwrapped: URL escapes, Unicode
+    The worklist gives layers that are still to be scanned and unwrapped: URL escapes, Unicode
     escapes and character references, base64, and gzip or zlib data in base64. It ends when no
     layer gives a new one; a layer that was met before, with the same place, is not opened again.
     """
     place = lambda s: (s[1], ORDER[s[0]], s[2])
     base = sorted(scan(text), key=place)
-    spans, work, seen = set(base), deque([Layer(text)]), set()
+    spans, work, seen = set(base), [iter([Layer(text)])], set()
     while work:
-        layer = work.popleft()
-        if layer.begins is not None:
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if not layer.whole():
             if not layer.text or (key := layer.key()) in seen:
                 continue
             seen.add(key)
             spans |= {(kind, *layer.origin(a, b)) for kind, a, b in scan(layer.text)}
+        work.append(encoded(layer))
         if "%" in layer.text and (x := rewritten(layer, PERCENT, percent)):
-            work.append(x)
+            work.append(iter([x]))
         if ("\\" in layer.text or "&#" in layer.text) and (x := rewritten(layer, ESCAPE, escape)):
-            work.append(x)
-        work.extend(encoded(layer))
+            work.append(iter([x]))
     return base, sorted(spans, key=place)
 
 

@@ -317,3 +317,33 @@ def test_base64_across_lines_glued_and_not_all_text():
     coded = base64.b64encode(gzip.compress(plain)).decode()
     assert ("access", 0, len(coded)) in spans(coded)
     assert {k for k, *_ in spans("%FF" + "".join(f"%{x:02x}" for x in key.encode()))} == {"access"}
+
+
+def test_members_and_broken_and_large_compressed_data(monkeypatch):
+    key = "AKIA" + "Q" * 16
+    rnd = random.Random(6)
+    noise, other = ("".join(rnd.choice("ghij klmn") for _ in range(5000)) for _ in range(2))
+    late = f"{noise} {key} {other}".encode()
+
+    def spans(data):
+        text = "see " + base64.b64encode(data).decode() + " ok"
+        found = secrets.find(text)[1]
+        assert all(4 <= a < b <= len(text) - 3 for _, a, b in found)
+        return {k for k, *_ in found}
+
+    first, second = gzip.compress(noise.encode()), gzip.compress(late)
+    assert spans(first + second) == spans(first + b"\0" * 7 + gzip.compress(b"") + second) == {"access"}
+    assert spans(gzip.compress(first + second)) == {"access"}
+    for packed in (second, zlib.compress(late)):
+        assert spans(packed[: len(packed) * 3 // 4]) == {"access"}  # cut short
+        broken = bytearray(packed)
+        broken[-3] ^= 255  # a wrong checksum
+        assert spans(bytes(broken)) == {"access"}
+    assert spans(gzip.compress(f"x^2 {key}".encode())) == {"access"}
+    monkeypatch.setattr(secrets, "WINDOW", 4000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    monkeypatch.setattr(secrets, "PART", 1000)
+    for before in range(3880, 4020, 7):  # over the edge of a window
+        assert spans(gzip.compress((noise[:before] + key + noise).encode())) == {"access"}
+    monkeypatch.undo()
+    assert spans(gzip.compress(b" " * (65 << 20) + late)) == {"access"}

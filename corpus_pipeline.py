@@ -33,9 +33,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; those without doc_id or words stay."""
-    found = near_copies(docs).where("component_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti")
+    """Of each group of near copies the document with the smallest doc_id stays; those without doc_id or words stay.
+
+    Where rows repeat a doc_id with different texts, each row is a document of its own.
+    """
+    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("t0"), F.max(F.xxhash64("text")).alias("t1"))
+    if texts.where("t0 < t1").isEmpty():
+        rows = docs.withColumn("row_no", F.col("doc_id"))
+    else:
+        number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+        rows = materialize(docs.orderBy("doc_id", "text").withColumn("row_no", number), "rows")
+    found = near_copies(rows, id_col="row_no").where("component_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("row_no")).distinct()
+    kept = rows.join(found, "row_no", "left_anti").drop("row_no")
     # rows that repeat a document are one document
     return kept.dropDuplicates().select(*docs.columns)
 

@@ -270,8 +270,8 @@ def near_copies(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
     class_id is the smallest doc_id with the same set, component_id the smallest that links
     lead to. A text without words (a null one, too) has the empty set: it is linked with
-    nothing and its ids are its own. A row without doc_id is linked with nothing and has no ids.
-    Rows that repeat a doc_id with different texts link these.
+    nothing. A row without doc_id is linked with nothing and has no ids. Rows that repeat a
+    doc_id with different texts link these, and all have one component.
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     table = written(texts, words, percent)
@@ -300,10 +300,14 @@ def near_copies(df: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     more = more.select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
     links = materialize(links.unionByName(verified(more, sets, percent)), "all_links")
 
-    part = connected(links).select(F.col("node").alias("class_id"), "component")
-    # rows that repeat an id with different texts link the classes of these
+    # rows that repeat an id with different texts link the classes of these, each to the id
+    text = F.coalesce("key", F.lit(b""))
+    repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("k0"), F.max(text).alias("k1")).where("k0 < k1").select("doc_id")
+    same = docs.join(repeats, "doc_id", "left_semi").join(classes, "key").where("class_id <> doc_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
+    part = materialize(connected(links.unionByName(same)).select(F.col("node").alias("class_id"), "component"), "components")
     placed = materialize(classes.join(part, "class_id", "left").withColumn("component", F.coalesce("component", "class_id")), "placed")
-    named = join_counted(docs.where("doc_id is not null"), placed, ["key"], "copies", docs.count(), "left")
+    named = join_counted(docs.where("key is not null and doc_id is not null"), placed, ["key"], "copies", docs.count(), "left")
+    empty = docs.where("key is null and doc_id is not null").join(part.withColumnRenamed("class_id", "doc_id"), "doc_id", "left").withColumn("class_id", F.col("doc_id"))
     alone = docs.where("doc_id is null").withColumn("class_id", F.col("doc_id")).withColumn("component", F.col("doc_id"))
-    out = named.unionByName(alone)
+    out = named.unionByName(empty).unionByName(alone)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -347,3 +347,10 @@ def test_members_and_broken_and_large_compressed_data(monkeypatch):
         assert spans(gzip.compress((noise[:before] + key + noise).encode())) == {"access"}
     monkeypatch.undo()
     assert spans(gzip.compress(b" " * (65 << 20) + late)) == {"access"}
+
+
+def test_rows_that_repeat_an_id_with_different_texts_are_linked(spark):
+    a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(3, a), (5, a), (5, b), (5, ""), (9, b), (7, c), (8, ""), (11, ""), (11, c)]
+    got = near_copies(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (5, 3), (7, 7), (8, 8), (9, 3), (11, 7), (11, 7)]

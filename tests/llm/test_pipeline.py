@@ -32,3 +32,11 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, D)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_near_copies_keep_the_only_holder_of_a_text(spark):
+    a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(3, a), (5, a), (5, b), (5, ""), (9, b), (5, c), (2, c), (None, a)]
+    left = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), D)
+    assert left.columns == ["doc_id", "text"]
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, a), (2, c), (3, a), (5, ""), (5, b)]

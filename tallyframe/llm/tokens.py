@@ -31,8 +31,8 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def count_tokens(df: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row, in the order of none.
 
-    The transducer's transitions say where pieces end; a piece's transition carries the number
-    of tokens that it emits, compiled when the piece is first met. Chunks of the concatenated
+    The transducer's transitions say where pieces end; the number of tokens of a piece comes
+    from the merges of op5, once for each piece, and is then remembered. Chunks of the concatenated
     texts are run on their own and composed by a prefix scan, so a very long text is not slower
     than many short ones.
     """

@@ -169,9 +169,9 @@ def cut(df: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, i
 def pack(df: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, group_rows: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with their place: sequence_id and offset.
 
-    Pieces are dealt by a hash into groups of about group_rows, whatever their document, and
-    each group is packed on its own; their number follows the number of documents. A group
-    can leave a bin or two less full than one pack of all would, one in some ten thousand.
+    Pieces are dealt by a hash into groups, whatever their document, one for each group_rows
+    documents or so, and each group is packed on its own. With 16 groups (check_l) sequences
+    were 3 in 10,000 more than the token count alone needs.
     """
     groups = max(1, round(df.select(F.col(id_col)).count() / group_rows))
     pieces = cut(df, vocabulary, capacity, end_id, id_col, text_col)

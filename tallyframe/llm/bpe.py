@@ -15,6 +15,7 @@ pairs around it.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -27,6 +28,8 @@ DONE, IN_L, IN_N, IN_O, ONE_SPACE, ONE_BLANK, RUN_SPACE, RUN_BLANK, Q, Q_R, Q_V,
 LETTERS = (LETTER, L_STMD, L_R, L_V, L_L, L_E)
 CHUNK = 512
 WORDS_KEPT = 400_000
+#: Longer texts are worked on in sections of so many characters, so that memory doesn't follow one text.
+SECTION = 1 << 19
 
 
 def transducer() -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +60,7 @@ def transducer() -> tuple[np.ndarray, np.ndarray]:
 
 def class_table() -> np.ndarray:
     """The class of every code point."""
-    cache = worker_cache()
+    cache = worker_cache("bpe")
     if "classes" not in cache:
         import unicodedata
 
@@ -97,7 +100,7 @@ def starts(classes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     n = len(classes)
     if not n:
         return np.zeros(0, np.int64)
-    cache = worker_cache()
+    cache = worker_cache("bpe")
     if "transducer" not in cache:
         go, out = transducer()
         cache["transducer"] = go, out, np.ascontiguousarray(go.T).reshape(-1), np.ascontiguousarray(out.T).reshape(-1)
@@ -132,6 +135,26 @@ def starts(classes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     return np.flatnonzero(hit[:n])
 
 
+def sections(text: str, size: int = SECTION) -> Iterator[str]:
+    """The text cut where pieces start, into sections of about size characters, or of one piece where that is longer.
+
+    From the start of a piece on nothing before it matters, and what comes after it matters to
+    the piece before it only if that ends in a blank: the cut is at a start without one before it. The last
+    starts of a stretch can depend on what follows it, by two characters, and are not used.
+    """
+    at, step = 0, size
+    while len(text) - at > step:
+        classes = class_table()[np.frombuffer(text[at : at + step].encode("utf-32-le"), np.uint32)]
+        found = starts(classes)[1:-3]
+        found = found[classes[found - 1] > BLANK]
+        if not len(found):
+            step *= 2
+            continue
+        yield text[at : at + int(found[-1])]
+        at, step = at + int(found[-1]), size
+    yield text[at:]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (shift, multiply, shift)."""
     x = x * np.uint64(0x9E3779B97F4A7C15)
@@ -141,17 +164,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def piece_hashes(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums for each piece, over the mixed (place in the piece, code point)."""
-    lengths = np.diff(np.append(at, len(codes)))
-    place = np.arange(len(codes), dtype=np.int64)
-    place -= np.repeat(at, lengths)
-    x = codes.astype(np.uint64)
-    x += (place.astype(np.uint64) + np.uint64(1)) << np.uint64(21)
-    one = mix(x)
-    two = one * np.uint64(0x94D049BB133111EB)
-    two ^= two >> np.uint64(31)
-    return np.add.reduceat(one, at), np.add.reduceat(two, at)
+def piece_hashes(codes: np.ndarray, at: np.ndarray, slab: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums for each piece, over the mixed (place in the piece, code point); a slab of pieces at a time."""
+    one, two = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+    stop = np.append(at, len(codes))
+    for i in range(0, len(at), slab):
+        own = at[i : i + slab]
+        first, last = own[0], stop[min(i + slab, len(at))]
+        place = np.arange(1, last - first + 1, dtype=np.uint64)
+        place -= np.repeat((own - first).astype(np.uint64), np.diff(np.append(own, last)))
+        place <<= np.uint64(21)
+        place += codes[first:last]
+        x = mix(place)
+        y = x * np.uint64(0x94D049BB133111EB)
+        y ^= y >> np.uint64(31)
+        one[i : i + slab], two[i : i + slab] = np.add.reduceat(x, own - first), np.add.reduceat(y, own - first)
+    return one, two
 
 
 def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -224,7 +252,7 @@ class Vocabulary:
 
     @staticmethod
     def load(path: str) -> Vocabulary:
-        cache = worker_cache()
+        cache = worker_cache("bpe")
         if (key := ("vocabulary", path)) not in cache:
             cache[key] = Vocabulary(path)
         return cache[key]
@@ -330,8 +358,21 @@ class Vocabulary:
             self.words.update(zip(new, self.merge_all(new), strict=True))
         return self.words
 
+    def parts(self, text: str) -> Iterator[str | int]:
+        """A long text as sections and ids of special strings."""
+        for x in self.split_special(text):
+            if isinstance(x, int):
+                yield x
+            else:
+                yield from sections(x)
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
+        short = iter(self._encode([t for t in texts if len(t) <= SECTION]))
+        one = lambda x: np.array([x], "<u4") if isinstance(x, int) else self._encode([x])[0]
+        return [next(short) if len(t) <= SECTION else np.concatenate([one(x) for x in self.parts(t)]) for t in texts]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
         x = Pieces(self, texts)
@@ -356,6 +397,11 @@ class Vocabulary:
 
     def count_batch(self, texts: list[str]) -> list[int]:
         """The number of tokens of each text."""
+        short = iter(self._count([t for t in texts if len(t) <= SECTION]))
+        one = lambda x: 1 if isinstance(x, int) else self._count([x])[0]
+        return [next(short) if len(t) <= SECTION else sum(one(x) for x in self.parts(t)) for t in texts]
+
+    def _count(self, texts: list[str]) -> list[int]:
         if not texts:
             return []
         x = Pieces(self, texts)

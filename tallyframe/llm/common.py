@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -53,10 +55,28 @@ def join_counted(rows: DataFrame, keyed: DataFrame, on: str | list[str], count:
     return rows.join(few, on).unionByName(rest).drop(count)
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, across tasks."""
+def worker_cache(owner: str) -> dict:
+    """A dict that lives as long as the Python worker, across tasks, until another owner asks for its own.
+
+    So a worker that runs one stage of a pipeline after the other holds the words of one at a time.
+    """
     module = sys.modules.setdefault("_tallyframe_worker", types.ModuleType("_tallyframe_worker"))
-    return module.__dict__.setdefault("cache", {})
+    held = module.__dict__.setdefault("held", {})
+    if owner not in held:
+        if held:
+            held.clear()
+            give_back()
+        held[owner] = {}
+    return held[owner]
+
+
+def give_back() -> None:
+    """Return what was freed to the system, as far as the platform lets us."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -62,7 +62,7 @@ def token_set(text: str, words: int) -> np.ndarray:
     found = text.encode().lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    known = worker_cache().setdefault("shingle_words", {})
+    known = worker_cache("shingles").setdefault("words", {})
     if len(known) > 300_000:
         known.clear()
     try:

@@ -36,7 +36,7 @@ def features(text: str, bits: int) -> np.ndarray:
 
     Pairs of one word, whichever, are one feature, as are words with one other between them.
     """
-    known = worker_cache().setdefault("word_hashes", {})
+    known = worker_cache("quality").setdefault("words", {})
     if len(known) > 300_000:
         known.clear()
     words = WORD.findall(text)

@@ -1,157 +1,269 @@
-"""The kernel on Spark: events are grouped by independent ledgers, and each group is folded in order."""
+"""Logs of requests on Spark: what hangs on no order runs as a plan, the rest in order, by groups of ledgers that depend on each other."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import fields
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.types import AMOUNT_MAX, Account, Transfer, from_bytes, to_bytes
-from .kernel import State
+from ..functions.types import AMOUNT_MAX, BATCH_MAX, NS, U63_MAX, WIDE, Account, AccountFlags, PendingStatus, Transfer, TransferFlags, from_bytes, to_bytes
+from ..plans import fast
+from ..plans.accept import BALANCES, accept, accept_accounts
+from ..plans.links import connected
+from ..sources.scratch import materialize
+from .kernel import Part, State
 
-#: Pairs of ledgers that depend on each other, which the driver joins up; ledgers are few. Beyond it all run as one.
-MOST_LEDGER_PAIRS = 100_000
+A, T = AccountFlags, TransferFlags
 NAMES = list(dict.fromkeys([f.name for f in fields(Account)] + [f.name for f in fields(Transfer)]))
-WIDE = ["debits_pending", "debits_posted", "credits_pending", "credits_posted"]
 OUT = (
     "what string, batch long, idx long, timestamp long, status string, kind int, transfer_key {w}, debit_account_id {w}, credit_account_id {w}, amount {w}, "
     "amount_requested {w}, ledger long, transfer_flags long, dr_flags long, cr_flags long, "
-    + ", ".join(f"{s}_{b} {{w}}" for s in ("dr", "cr") for b in WIDE)
+    + ", ".join(f"{s}_{b} {{w}}" for s in ("dr", "cr") for b in BALANCES)
 )
+RESOLVES = T.POST_PENDING_TRANSFER | T.VOID_PENDING_TRANSFER
+#: Times of ticks are cut into so many stretches to find the one that follows a time.
+STRETCHES = 1024
 
 
-def components(pairs: list[tuple[int, int]]) -> dict[int, int]:
-    """The smallest ledger that each is tied to."""
-    root: dict[int, int] = {}
+def given(name: str, exact: bool) -> Column:
+    """Whether an id is there: zero is none."""
+    return F.col(name) != (F.lit(bytearray(16)) if exact else F.lit(0))
 
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for a, b in pairs:
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    return {x: find(x) for x in list(root)}
+def is_a(what: str, flags: int) -> Column:
+    return (F.col("what") == what) & (F.col("flags").bitwiseAND(int(flags)) != 0)
 
 
-def ties(events: DataFrame) -> DataFrame:
-    """Ledgers that share a chain, a transfer id, or a pending transfer: (a, b)."""
-    t = events.where("what = 'transfer'").select("batch", "idx", "id", "pending_id", "ledger", "flags")
-    from ..plans.fast import chain_ids
+def placed(events: DataFrame) -> DataFrame:
+    """The log with size (of the batch, if it hasn't any) and at, the time that each event is given."""
+    if "size" not in events.columns:
+        events = events.withColumn("size", F.count("*").over(Window.partitionBy("batch", "what")))
+    return events.withColumn("at", F.when(F.col("what") == "tick", F.col("batch_time")).otherwise(F.col("batch_time") - F.col("size") + F.col("idx") + 1))
 
-    # zero ledgers (post and void may leave theirs out) take the pending transfer's
-    own = t.select("id", F.col("ledger").alias("p_ledger")).where("p_ledger <> 0")
-    t = t.join(own.withColumnRenamed("id", "pending_id").dropDuplicates(["pending_id"]), "pending_id", "left").withColumn("home", F.coalesce(F.expr("nullif(ledger, 0)"), "p_ledger", F.lit(0)))
-    chains = chain_ids(t, "idx").groupBy("batch", "chain").agg(F.min("home").alias("a"), F.collect_set("home").alias("s")).select("a", F.explode("s").alias("b"))
-    same = t.groupBy("id").agg(F.min("home").alias("a"), F.collect_set("home").alias("s")).select("a", F.explode("s").alias("b"))
-    pend = t.where("p_ledger is not null").select(F.col("home").alias("a"), F.col("p_ledger").alias("b"))
-    return chains.union(same).union(pend).where("a <> b").distinct()
+
+def at_home(events: DataFrame, exact: bool) -> DataFrame:
+    """The events that aren't ticks with home: their ledger, or that of the pending transfer where a post or void leaves it out, else 0."""
+    rows = events.where("what <> 'tick'")
+    open_ = (F.col("what") == "transfer") & (F.col("ledger") == 0) & given("pending_id", exact)
+    own = rows.where("what = 'transfer' and ledger <> 0").groupBy(F.col("id").alias("pending_id")).agg(F.min("ledger").alias("home"))
+    found = rows.where(open_).join(own, "pending_id", "left").withColumn("home", F.coalesce("home", F.lit(0).cast("long")))
+    return rows.where(~F.coalesce(open_, F.lit(False))).withColumn("home", F.coalesce("ledger", F.lit(0).cast("long"))).unionByName(found)
+
+
+def shared(keyed: DataFrame, needed: Column) -> DataFrame:
+    """(a, b) for the homes that meet at a key which needed, an aggregate, holds for."""
+    met = keyed.groupBy("key").agg(F.min("home").alias("a"), F.max("home").alias("last"), needed.alias("needed")).where("needed and a < last").select("key", "a")
+    return keyed.join(met, "key").select("a", F.col("home").alias("b"))
+
+
+def ties(rows: DataFrame, exact: bool, linked: bool, imports: tuple[int, int] | None) -> DataFrame:
+    """Pairs of ledgers (a, b) that depend on each other, by homes.
+
+    They share an account (one that is made in the log; transfers of one ledger may name those of
+    another), a transfer's id, a chain, or the order of imported times: those are compared with all
+    that was given before, so ledgers with events of such times join those with imports.
+    """
+    t = rows.where("what = 'transfer'")
+    sides = [t.where(given(s, exact)).select(F.col(s).alias("key"), "home", F.lit(False).alias("made")) for s in ("debit_account_id", "credit_account_id")]
+    named = rows.where("what = 'account'").select(F.col("id").alias("key"), "home", F.lit(True).alias("made"))
+    out = shared(named.unionByName(sides[0]).unionByName(sides[1]), F.max("made"))
+    ids = t.select(F.col("id").alias("key"), "home").unionByName(t.where(given("pending_id", exact)).select(F.col("pending_id").alias("key"), "home"))
+    out = out.unionByName(shared(ids, F.lit(True)))
+    if linked:
+        chains = fast.chain_ids(rows, "idx", ("batch", "what")).select(F.struct("batch", "what", "chain").alias("key"), "home")
+        out = out.unionByName(shared(chains, F.lit(True)))
+    if imports:
+        last_batch, first_time = imports
+        early = (F.col("batch") <= last_batch) & (F.col("batch_time") >= first_time)
+        met = rows.where(is_a("account", A.IMPORTED) | is_a("transfer", T.IMPORTED) | early).select(F.lit(0).alias("key"), "home").distinct()
+        out = out.unionByName(shared(met, F.lit(True)))
+    return out.where("a <> b").distinct()
+
+
+def next_ticks(rows: DataFrame, ticks: DataFrame) -> DataFrame:
+    """The ticks that can release something, for each component: the first at or after a pending transfer runs out."""
+    low, high = ticks.agg(F.min("batch_time"), F.max("batch_time")).first()
+    wide = (high - low) // STRETCHES + 1
+    stretch = lambda t: F.greatest(F.lit(0).cast("long"), F.expr(f"({t} - {low}) div {wide}"))
+    waits = rows.where(is_a("transfer", T.PENDING) & (F.col("timeout") > 0) & (F.col("timeout") <= F.expr(f"({U63_MAX} - at) div {NS}"))).withColumn("t", F.col("at") + F.col("timeout") * NS).where(F.col("t") <= high)
+    known = ticks.select(stretch("batch_time").alias("k"), F.col("batch_time").alias("t"), F.col("batch_time").alias("tick"), F.lit(None).cast("long").alias("component"))
+    both = known.unionByName(waits.select(stretch("t").alias("k"), "t", F.lit(None).cast("long").alias("tick"), "component"))
+    found = both.withColumn("tick", F.last("tick", True).over(Window.partitionBy("k").orderBy(F.desc("t"), F.col("tick").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))).where("component is not null")
+    # STRETCHES rows at most: the first tick of each stretch, for those before it
+    firsts = known.groupBy("k").agg(F.min("t").alias("first"))
+    every = rows.sparkSession.range(STRETCHES + 1).select(F.col("id").alias("k")).join(firsts, "k", "left")
+    after = every.withColumn("after", F.min("first").over(Window.orderBy("k").rowsBetween(1, Window.unboundedFollowing))).select("k", "after")
+    found = found.join(F.broadcast(after), "k").select("component", F.coalesce("tick", "after").alias("batch_time")).distinct()
+    return ticks.join(found, "batch_time")
+
+
+def survey(events: DataFrame) -> dict:
+    """What a log holds, in one pass."""
+    imported = is_a("account", A.IMPORTED) | is_a("transfer", T.IMPORTED)
+    moves = (F.col("what") == "transfer") & ~is_a("transfer", RESOLVES)
+    narrow = dict(events.dtypes)["amount"] == "bigint"
+    some = lambda test: F.coalesce(F.max(test), F.lit(False))
+    return events.agg(
+        some(F.col("what") == "tick").alias("ticks"), some(F.col("flags").bitwiseAND(1) != 0).alias("linked"), some(imported).alias("imported"),
+        F.max(F.when(imported, F.col("batch"))).alias("last_import"), F.min(F.when(imported, F.col("timestamp"))).alias("first_time"),
+        F.min(F.expr("nullif(ledger, 0)")).alias("least"), F.max("ledger").alias("most"), some(is_a("transfer", RESOLVES)).alias("resolves"), some(F.col("timeout") > 0).alias("timeouts"),
+        some(in_order(False)).alias("ordered"), (some(moves & (F.col("amount") < 0)) if narrow else F.lit(True)).alias("all_there_is"),
+        F.sum(F.when(moves, F.col("amount").cast("decimal(38,0)"))).alias("moved") if narrow else F.lit(0).alias("moved"),
+    ).first().asDict()
+
+
+def in_order(ticks: bool) -> Column:
+    """Whether an event's outcome can hang on a balance, or on what came before it other than its accounts and its id."""
+    limits = A.DEBITS_MUST_NOT_EXCEED_CREDITS | A.CREDITS_MUST_NOT_EXCEED_DEBITS
+    test = is_a("account", A.LINKED | A.IMPORTED | A.CLOSED) | is_a("account", limits) & (F.col("flags").bitwiseAND(int(limits)) != int(limits))  # both at once are refused
+    test |= is_a("transfer", T.LINKED | T.BALANCING_DEBIT | T.BALANCING_CREDIT | T.CLOSING_DEBIT | T.CLOSING_CREDIT | T.IMPORTED)
+    return F.coalesce(test | (F.col("timeout") > 0) if ticks else test, F.lit(False))
+
+
+def tangled(transfers: DataFrame) -> DataFrame:
+    """Ids whose posts and voids the plan can't tell apart: shared with other transfers, with other pending ids, or named as pending ones."""
+    resolves = is_a("transfer", RESOLVES)
+    own = transfers.select(F.col("id").alias("key"), resolves.alias("r"), F.col("pending_id").alias("p"), F.lit(False).alias("named"))
+    named = transfers.where(resolves).select(F.col("pending_id").alias("key"), F.lit(None).cast("boolean").alias("r"), F.lit(None).cast("long").alias("p"), F.lit(True).alias("named"))
+    keys = own.unionByName(named).groupBy("key").agg(F.max("r").alias("r"), F.min("r").alias("all_r"), F.min("p").alias("p0"), F.max("p").alias("p1"), F.max("named").alias("named"))
+    return keys.where("r and (named or not all_r or p0 <> p1)").select("key")
+
+
+def grouped(events: DataFrame, exact: bool, found: dict) -> DataFrame:
+    """The log, ticks left out, with component: events of different ones have nothing to do with each other."""
+    if found["least"] is None or found["least"] == found["most"]:
+        return events.where("what <> 'tick'").withColumn("component", F.lit(0).cast("long"))
+    rows = at_home(events, exact)
+    imports = (found["last_import"], found["first_time"]) if found["imported"] else None
+    links = materialize(ties(rows, exact, found["linked"], imports), "ties")
+    if links.isEmpty():
+        return rows.withColumnRenamed("home", "component")
+    parts = connected(links).withColumnRenamed("node", "home")
+    return rows.join(parts, "home", "left").withColumn("component", F.coalesce("component", "home")).drop("home")
 
 
 def fold(events: DataFrame, exact: bool = False) -> DataFrame:
-    """Results and account events of a log of requests, oldest first.
+    """Results and account events of a log of requests, oldest first, all of it in order.
 
-    events: what ('account', 'transfer' or 'tick'), batch (also its order), idx, batch_time, and the
+    events: what ('account', 'transfer' or 'tick'), batch (also its order, and that of batch_time), idx, batch_time, and the
     fields of both records, null where they don't apply. In the compact profile an amount of -1
     stands for all there is; in the exact one wide numbers are 16 bytes. Returned: a row for each
-    event with what = 'result', and one for each transfer made or expired with what = 'event'. A batch of
-    imported events, whose order is global, and ledgers tied to each other run in one group. Output
-    doesn't depend on how rows are partitioned.
+    event with what = 'result', and one for each transfer made or expired with what = 'event'. Ledgers
+    that depend on each other run in one group, however many there are. Output doesn't depend on how rows are partitioned.
     """
-    imported = events.where("(what = 'account' and flags & 16 <> 0) or (what = 'transfer' and flags & 256 <> 0)").limit(1).count()
-    pairs = [tuple(r) for r in ties(events).limit(MOST_LEDGER_PAIRS + 1).collect()]
-    if imported or len(pairs) > MOST_LEDGER_PAIRS:
-        keyed = events.withColumn("component", F.lit(0).cast("long"))
-    else:
-        of = components(pairs)
-        spread = F.create_map(*[F.lit(x) for kv in of.items() for x in kv]) if of else None
-        own = F.coalesce(F.element_at(spread, F.col("ledger")), F.col("ledger")) if of else F.col("ledger")
-        t = events.where("what = 'transfer' and ledger <> 0").select(F.col("id").alias("pending_id"), F.col("ledger").alias("p_ledger")).dropDuplicates(["pending_id"])
-        joined = events.join(t, "pending_id", "left").withColumn("ledger_", F.coalesce(F.expr("nullif(ledger, 0)"), "p_ledger", F.lit(0)))
-        keyed = joined.withColumn("component", (own if not of else F.coalesce(F.element_at(spread, F.col("ledger_")), F.col("ledger_")))).drop("p_ledger")
-        keyed = keyed.withColumn("component", F.coalesce("component", F.col("ledger_"))).drop("ledger_")
-        ticks = keyed.where("what = 'tick'")
-        groups = keyed.where("what <> 'tick'").select("component").distinct()
-        keyed = keyed.where("what <> 'tick'").unionByName(ticks.drop("component").join(groups, F.lit(True)).select(*keyed.columns)) if ticks.limit(1).count() else keyed
-    sized = keyed.withColumn("size", F.when(F.col("what") == "tick", 0).otherwise(F.col("size"))) if "size" in events.columns else keyed
+    found = survey(events)
+    events = placed(events)
+    return run_groups(grouped(events, exact, found), events.where("what = 'tick'") if found["ticks"] else None, exact)
+
+
+def run_groups(rows: DataFrame, ticks: DataFrame | None, exact: bool) -> DataFrame:
+    """The kernel over each component of rows, with the ticks that matter to it."""
+    first = F.min(F.struct("idx", "flags")).over(Window.partitionBy("batch", "what"))["flags"]
+    imports = first.bitwiseAND(F.when(F.col("what") == "account", int(A.IMPORTED)).otherwise(int(T.IMPORTED))) != 0
+    rows = rows.withColumn("imports", imports)
+    if ticks is not None:
+        rows = rows.unionByName(next_ticks(rows, ticks).withColumn("imports", F.lit(False)), allowMissingColumns=True)
+    names = [c.split()[0] for c in OUT.format(w="long").split(", ")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state = State()
+        state, rows = State(), []
         frame = frame.sort_values(["batch", "idx"], kind="stable")
-        rows: list[tuple] = []
         number = (lambda x: from_bytes(bytes(x))) if exact else int
         wide = to_bytes if exact else (lambda x: x)
-        wides = {f for f in NAMES if f in {"id", "user_data_128", "debit_account_id", "credit_account_id", "amount", "pending_id", *WIDE}}
+        blank = (None,) * (len(names) - 3)
 
-        def record(kind: type, row) -> object:
-            values = {}
+        def records(kind: type, part: pd.DataFrame) -> list:
+            columns = []
             for f in fields(kind):
-                v = getattr(row, f.name)
-                v = 0 if v is None or v != v else number(v) if f.name in wides else int(v)
-                values[f.name] = AMOUNT_MAX if f.name == "amount" and v == -1 else v
-            return kind(**values)
+                read = number if f.name in WIDE else int
+                columns.append([0 if v is None or v != v else AMOUNT_MAX if f.name == "amount" and not exact and v == -1 else read(v) for v in part[f.name].tolist()])
+            return [kind(*values) for values in zip(*columns, strict=True)]
 
-        blank = (None,) * 18
         for (batch, what), part in frame.groupby(["batch", "what"], sort=False):
             time = int(part.batch_time.iloc[0])
             seen = len(state.events)
             if what == "tick":
                 state.pulse(time)
             else:
-                kind = Account if what == "account" else Transfer
-                run_batch = state.create_accounts if what == "account" else state.create_transfers
-                # ledgers are apart, but timestamps are those of the whole batch
-                todo = [record(kind, r) for r in part.itertuples()]
-                last = int(part["size"].iloc[0]) if "size" in part else len(todo)
                 places = part.idx.astype(int).tolist()
-                results = run_spread(run_batch, todo, places, last, time)
+                own = Part(places, int(part["size"].iloc[0]), bool(part.imports.iloc[0]))
+                results = state.create_accounts(records(Account, part), time, own) if what == "account" else state.create_transfers(records(Transfer, part), time, own)
                 rows += [("result", batch, i, at, status, *blank) for i, (at, status) in zip(places, results, strict=True)]
             for e in state.events[seen:]:
                 src = e.transfer or e.pending
-                balances = [wide(getattr(a, b)) for a in (e.debit, e.credit) for b in WIDE]
-                rows.append(("event", batch, None, e.timestamp, None, int(e.status), wide(src.id), wide(e.debit.id), wide(e.credit.id), wide(e.amount), wide(e.amount_requested) if exact or e.amount_requested < 2**63 else -1, e.debit.ledger, src.flags, e.debit.flags, e.credit.flags, *balances))
-        names = [c.split()[0] for c in OUT.format(w="long").split(", ")]
-        return pd.DataFrame(rows, columns=names).astype(object)
-
-    return sized.groupBy("component").applyInPandas(run, OUT.format(w="binary" if exact else "long"))
-
-
-def run_spread(run_batch, todo: list, places: list[int], size: int, time: int) -> list[tuple[int, str]]:
-    """Run the events of one group with the timestamps that they have within the whole batch."""
-    if places == list(range(size)):
-        return run_batch(todo, time)
-    # neighbours run together; a chain never spans groups, so cuts never fall into one
-    out: list[tuple[int, str]] = []
-    i = 0
-    while i < len(todo):
-        j = i + 1
-        while j < len(todo) and (places[j] == places[j - 1] + 1):
-            j += 1
-        out += run_batch(todo[i:j], time - size + places[j - 1] + 1)
-        i = j
-    return out
-
-
-def requests(spark, batches: list[tuple[str, int, list]]) -> DataFrame:
+                balances = [wide(getattr(a, b)) for a in (e.debit, e.credit) for b in BALANCES]
+                rows.append(("event", batch, None, e.timestamp, None, int(e.status), wide(src.id), wide(e.debit.id), wide(e.credit.id), wide(e.amount), wide(e.amount_requested) if exact or e.amount_requested <= U63_MAX else -1, e.debit.ledger, src.flags, e.debit.flags, e.credit.flags, *balances, src.expires_at(), src.timestamp))
+        return pd.DataFrame(rows, columns=[*names, "due", "made"]).astype(object)
+
+    out = rows.groupBy("component").applyInPandas(run, OUT.format(w="binary" if exact else "long") + ", due long, made long")
+    return (out if ticks is None else released(out, ticks)).drop("due", "made")
+
+
+def released(out: DataFrame, ticks: DataFrame) -> DataFrame:
+    """The rows with the times of a tick's expiries given out over all components: in order of expiry and then creation, a request's worth at a time."""
+    gone = F.coalesce(F.col("kind") == int(PendingStatus.EXPIRED), F.lit(False))
+    tick = Window.partitionBy("batch")
+    rank = F.row_number().over(tick.orderBy("due", "made")) - 1
+    held = F.least(F.lit(BATCH_MAX), F.count("*").over(tick) - F.expr(f"rank_ div {BATCH_MAX}") * BATCH_MAX)
+    times = ticks.select("batch", "batch_time").distinct()
+    late = out.where(gone).join(times, "batch").withColumn("rank_", rank).withColumn("timestamp", F.col("batch_time") - held + F.col("rank_") % BATCH_MAX + 1)
+    return out.where(~gone).unionByName(late.select(*out.columns))
+
+
+def plan(events: DataFrame) -> DataFrame:
+    """What fold() gives for a log in which nothing hangs on order, as a plan."""
+    accounts = accept_accounts(events.where("what = 'account'"))
+    made = accounts.where("status = 'created'").select("id", "ledger", "at", "flags")
+    moved = accept(events.where("what = 'transfer'"), made)
+    answer = lambda rows: rows.select(F.lit("result").alias("what"), "batch", "idx", F.col("stamped").alias("timestamp"), "status")
+    log = fast.event_log(fast.as_kept(moved)).withColumns({"what": F.lit("event"), "idx": F.lit(None).cast("long"), "status": F.lit(None).cast("string")})
+    both = answer(accounts).unionByName(answer(moved)).unionByName(log, allowMissingColumns=True)
+    return both.select(*[F.col(n).cast(t) for n, t in (c.split() for c in OUT.format(w="long").split(", "))])
+
+
+def execute(events: DataFrame, exact: bool = False) -> DataFrame:
+    """fold(), but as a plan where that gives the same: in a log, or in groups of its ledgers, without chains, limits, balancing, closing, imports, and timeouts that ticks release."""
+    found = survey(events)
+    events = placed(events)
+    ticks = events.where("what = 'tick'") if found["ticks"] else None
+    hard = exact or found["all_there_is"] or (found["moved"] or 0) >= 2**62
+    waits = found["ticks"] and found["timeouts"]
+    if not hard:
+        knots = materialize(tangled(events.where("what = 'transfer'")), "tangled") if found["resolves"] else None
+        if knots is not None and knots.isEmpty():
+            knots = None
+        if not found["ordered"] and not waits and knots is None:
+            return plan(events)
+    rows = grouped(events, exact, found)
+    if hard:
+        return run_groups(rows, ticks, exact)
+    rows = materialize(rows, "groups")
+    marked = rows.where(in_order(waits)).select("component")
+    if knots is not None:
+        t = rows.where("what = 'transfer'")
+        marked = marked.unionByName(t.join(knots, t["id"] == knots["key"], "left_semi").select("component")).unionByName(t.join(knots, t["pending_id"] == knots["key"], "left_semi").select("component"))
+    marked = materialize(marked.distinct(), "ordered")
+    rest = rows.join(marked, "component", "left_anti")
+    ordered = run_groups(rows.join(marked, "component", "left_semi"), ticks, exact)
+    return ordered if rest.isEmpty() else ordered.unionByName(plan(rest))
+
+
+def requests(spark, batches: list[tuple[str, int, list]], exact: bool = False) -> DataFrame:
     """A log for fold() out of (what, time, records); a tick has no records. For requests a client holds, so of its size."""
-    kinds = {"account": Account, "transfer": Transfer}
+    kinds = {"account": Account, "transfer": Transfer, "tick": None}
+    narrow = lambda n, v: -1 if n == "amount" and v == AMOUNT_MAX else v
+    cell = lambda n, v: v if v is None else to_bytes(v) if exact and n in WIDE else v if exact else narrow(n, v)
     rows = []
     for n, (what, time, records) in enumerate(batches):
         for i, r in enumerate(records or [None]):
-            rows.append((what, n, i, len(records), time, *[-1 if r is not None and f == "amount" and getattr(r, f, 0) == AMOUNT_MAX else getattr(r, f, 0) if r is not None and f in kinds[what].__dataclass_fields__ else None for f in NAMES]))
-    return spark.createDataFrame(rows, "what string, batch long, idx long, size long, batch_time long, " + ", ".join(f"{f} long" for f in NAMES))
+            known = vars(r) if r is not None and isinstance(r, kinds[what]) else {}
+            rows.append((what, n, i, len(records), time, *[cell(f, None if not (f in known) else int(known[f])) for f in NAMES]))
+    shape = ", ".join(f"{f} {'binary' if exact and f in WIDE else 'long'}" for f in NAMES)
+    return spark.createDataFrame(rows, f"what string, batch long, idx long, size long, batch_time long, {shape}")
 
 
 def sparse(results: DataFrame) -> DataFrame:
     """Only what failed."""
     return results.where("what = 'result' and status <> 'created'").select("batch", "idx", "status")
-
-
-def chunks(items: list, size: int) -> Iterator[list]:
-    for i in range(0, len(items), size):
-        yield items[i : i + size]

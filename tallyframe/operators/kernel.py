@@ -7,7 +7,7 @@ old values; ids of transfers that failed for a passing reason stay taken.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from ..functions.types import AMOUNT_MAX, NS, TRANSIENT, U63_MAX, U128_MAX, Account, AccountFlags, PendingStatus, Transfer, TransferFlags
@@ -30,6 +30,15 @@ class Event:
     credit: Account
 
 
+@dataclass(frozen=True)
+class Part:
+    """Some events of a batch: their places in it, its size, and whether it imports, as its first event says."""
+
+    places: Sequence[int]
+    size: int
+    imported: bool
+
+
 @dataclass
 class State:
     accounts: dict[int, Account] = field(default_factory=dict)
@@ -45,30 +54,31 @@ class State:
 
     # --- batches
 
-    def create_accounts(self, batch: list[Account], timestamp: int) -> list[tuple[int, str]]:
-        return self._run(batch, timestamp, A.LINKED, A.IMPORTED, self._account)
+    def create_accounts(self, batch: list[Account], timestamp: int, part: Part | None = None) -> list[tuple[int, str]]:
+        return self._run(batch, timestamp, A.LINKED, A.IMPORTED, self._account, part)
 
-    def create_transfers(self, batch: list[Transfer], timestamp: int) -> list[tuple[int, str]]:
-        return self._run(batch, timestamp, T.LINKED, T.IMPORTED, self._transfer)
+    def create_transfers(self, batch: list[Transfer], timestamp: int, part: Part | None = None) -> list[tuple[int, str]]:
+        return self._run(batch, timestamp, T.LINKED, T.IMPORTED, self._transfer, part)
 
-    def _run(self, batch: list, timestamp: int, linked: int, imported: int, apply: Callable) -> list[tuple[int, str]]:
+    def _run(self, batch: list, timestamp: int, linked: int, imported: int, apply: Callable, part: Part | None) -> list[tuple[int, str]]:
         """(timestamp, status) for each event. A batch ends at its timestamp; events take the ones up to it."""
+        part = part or Part(range(len(batch)), len(batch), bool(batch) and bool(batch[0].flags & imported))
         results: list[tuple[int, str]] = []
         chain: int | None = None
         broken = False
         undo: list[Callable[[], None]] = []
-        for i, e in enumerate(batch):
-            at = timestamp - len(batch) + i + 1
+        for i, (place, e) in enumerate(zip(part.places, batch, strict=True)):
+            at = timestamp - part.size + place + 1
             is_linked = bool(e.flags & linked)
             if is_linked and chain is None:
                 chain, broken, undo = i, False, []
             log: list[Callable[[], None]] = undo if chain is not None else []
-            if is_linked and i == len(batch) - 1:
+            if is_linked and place == part.size - 1:
                 status = "linked_event_chain_open"
             elif broken:
                 status = "linked_event_failed"
             else:
-                status = self._outer(e, batch[0], at, timestamp, imported)
+                status = self._outer(e, part.imported, timestamp, imported)
                 if status is None:
                     when = e.timestamp if e.flags & imported else at
                     status, at = apply(e, when, log)
@@ -86,9 +96,9 @@ class State:
                 chain, broken = None, False
         return results
 
-    def _outer(self, e, first, at: int, timestamp: int, imported: int) -> str | None:
+    def _outer(self, e, expected: bool, timestamp: int, imported: int) -> str | None:
         is_imported = bool(e.flags & imported)
-        if is_imported != bool(first.flags & imported):
+        if is_imported != expected:
             return "imported_event_not_expected" if is_imported else "imported_event_expected"
         if is_imported:
             if not 1 <= e.timestamp <= U63_MAX:

@@ -5,116 +5,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.types import NS, PendingStatus
-
-BALANCES = ("debits_pending", "debits_posted", "credits_pending", "credits_posted")
-
-
-def first_of_id(transfers: DataFrame) -> DataFrame:
-    """status of transfers that could only fail by repeating an id: the first in time is created, later ones compare with it."""
-    w = Window.partitionBy("id").orderBy("timestamp")
-    checks = ("flags", "pending_id", "timeout", "debit_account_id", "credit_account_id", "amount", "user_data_128", "user_data_64", "user_data_32", "ledger", "code")
-    status = F.when(F.row_number().over(w) == 1, F.lit("created"))
-    for c in checks:
-        status = status.when(F.col(c) != F.first(c).over(w), F.lit(f"exists_with_different_{c}"))
-    return transfers.withColumn("status", status.otherwise("exists"))
+from ..functions.types import NS
+from .accept import BALANCES, DATA, accept, account_rules, transfer_rules
 
 
 def static_status() -> Column:
     """The checks of an ordinary transfer that need nothing but its own fields, in order; null if all pass."""
-    c = F.col
-    pending = c("flags").bitwiseAND(2) != 0
-    rules = [
-        (c("flags").bitwiseAND(~0x1FF) != 0, "reserved_flag"), (c("id") == 0, "id_must_not_be_zero"), (c("debit_account_id") == 0, "debit_account_id_must_not_be_zero"),
-        (c("credit_account_id") == 0, "credit_account_id_must_not_be_zero"), (c("debit_account_id") == c("credit_account_id"), "accounts_must_be_different"),
-        (c("pending_id") != 0, "pending_id_must_be_zero"), ((c("timeout") != 0) & ~pending, "timeout_reserved_for_pending_transfer"),
-        ((c("flags").bitwiseAND(192) != 0) & ~pending, "closing_transfer_must_be_pending"), (c("ledger") == 0, "ledger_must_not_be_zero"), (c("code") == 0, "code_must_not_be_zero"),
-    ]
-    out = F.when(*_rule(rules[0]))
-    for r in rules[1:]:
-        out = out.when(*_rule(r))
-    return out
-
-
-def _rule(rule: tuple[Column, str]) -> tuple[Column, Column]:
-    return rule[0], F.lit(rule[1])
+    return F.coalesce(*transfer_rules())
 
 
 def account_status() -> Column:
     """The checks of a new account that need nothing but its own fields, in order; null if all pass."""
-    c = F.col
-    rules = [
-        (c("reserved") != 0, "reserved_field"), (c("flags").bitwiseAND(~0x3F) != 0, "reserved_flag"), (c("id") == 0, "id_must_not_be_zero"),
-        (c("flags").bitwiseAND(6) == 6, "flags_are_mutually_exclusive"), *[(c(b) != 0, f"{b}_must_be_zero") for b in BALANCES],
-        (c("ledger") == 0, "ledger_must_not_be_zero"), (c("code") == 0, "code_must_not_be_zero"),
-    ]
-    out = F.when(*_rule(rules[0]))
-    for r in rules[1:]:
-        out = out.when(*_rule(r))
-    return out
-
-
-def two_phase(transfers: DataFrame) -> DataFrame:
-    """status, kind and p_* (the pending transfer's fields) for batches of single, pending, post and void transfers.
-
-    Of the resolvers of a pending transfer the first that passes wins; later ones find it
-    resolved. Time runs by timestamps: a pending transfer of a later one isn't there yet.
+    return F.coalesce(*account_rules())
+
+
+def two_phase(transfers: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """status, kind and p_* (the pending transfer's fields) for batches of single, pending, post and void transfers, at their timestamps.
+
+    A created post or void has the amount that it takes and the user data that it inherits, as it is kept.
     """
-    flags = F.col("flags")
-    post, void = flags.bitwiseAND(4) != 0, flags.bitwiseAND(8) != 0
-    p = transfers.where(flags.bitwiseAND(2) != 0).select(F.col("id").alias("p_id"), *[F.col(c).alias(f"p_{c}") for c in ("debit_account_id", "credit_account_id", "amount", "timestamp", "timeout", "ledger", "code")])
-    expires = F.when(F.col("p_timeout") > 0, F.col("p_timestamp") + F.col("p_timeout") * NS)
-    amount = F.when(F.col("amount") == F.when(post, -1).otherwise(0), F.col("p_amount")).otherwise(F.col("amount"))
-    rows = transfers.where(post | void).join(p, F.col("pending_id") == F.col("p_id"), "left").withColumn("p_expires", expires).withColumn("taken", amount)
-    early = (
-        F.when(F.col("p_id").isNull() | (F.col("p_timestamp") >= F.col("timestamp")), "pending_transfer_not_found")
-        .when(F.col("taken") > F.col("p_amount"), "exceeds_pending_transfer_amount")
-        .when(void & (F.col("taken") < F.col("p_amount")), "pending_transfer_has_different_amount")
-    )
-    rows = rows.withColumn("early", early)
-    able = F.col("early").isNull() & (F.col("p_expires").isNull() | (F.col("timestamp") < F.col("p_expires")))
-    w = Window.partitionBy("pending_id").orderBy("timestamp")
-    winner = F.min(F.when(able, F.struct("timestamp", flags.bitwiseAND(12).alias("how")))).over(Window.partitionBy("pending_id"))
-    rows = rows.withColumn("winner", winner)
-    late = F.when(F.col("winner.timestamp") < F.col("timestamp"), F.when(F.col("winner.how") == 4, "pending_transfer_already_posted").otherwise("pending_transfer_already_voided"))
-    late = late.when(~able, "pending_transfer_expired").otherwise("created")
-    del w
-    rows = rows.withColumn("status", F.coalesce("early", late)).withColumn("kind", F.when(post, int(PendingStatus.POSTED)).otherwise(int(PendingStatus.VOIDED)))
-    rows = rows.withColumn("amount", F.coalesce("taken", "amount"))
-    plain = transfers.where(~(post | void)).withColumn("status", F.lit("created")).withColumn("kind", F.when(flags.bitwiseAND(2) != 0, int(PendingStatus.PENDING)).otherwise(int(PendingStatus.NONE)))
-    return plain.unionByName(rows.drop("early", "winner", "taken"), allowMissingColumns=True)
+    return as_kept(accept(transfers.withColumn("at", F.col("timestamp")).withColumn("timestamp", F.lit(0).cast("long")), accounts))
+
+
+def as_kept(accepted: DataFrame) -> DataFrame:
+    """The rows of accept() at the time they were given, with the amount and user data that are kept, and amount_requested."""
+    src = F.col("p_id").isNotNull()
+    inherited = {n: F.when(src & (F.col(n) == 0), F.col(f"p_{n}")).otherwise(F.col(n)) for n in DATA}
+    amount = F.when(src, F.col("taken")).otherwise(F.col("amount"))
+    return accepted.withColumns({**inherited, "timestamp": F.col("at"), "amount_requested": F.col("amount"), "amount": amount}).drop("at", "taken")
 
 
 def expiries(resolved: DataFrame, now: int | None = None) -> DataFrame:
     """A row for each pending transfer that ran out unresolved, by now if given: kind 4, at the time it was due."""
-    done = resolved.where((F.col("status") == "created") & F.col("kind").isin(2, 3)).select(F.col("p_id").alias("id"))
-    out = resolved.where((F.col("kind") == 1) & (F.col("timeout") > 0)).join(done, "id", "left_anti")
+    out = resolved.where((F.col("status") == "created") & (F.col("kind") == 1) & (F.col("timeout") > 0) & ~F.col("done_"))
     out = out.withColumn("due", F.col("timestamp") + F.col("timeout") * NS)
     return out if now is None else out.where(F.col("due") <= now)
 
 
+def effects(resolved: DataFrame, expired: DataFrame | None = None) -> DataFrame:
+    """A row for each thing that moved balances: its accounts, what it moved, what it freed, and the transfer's fields."""
+    whole = "p_id" in resolved.columns
+    sides = [F.col(n) for n in ("debit_flags", "credit_flags") if n in resolved.columns]
+    rest = ["user_data_128", "user_data_64", "user_data_32", *[F.col(n).alias(f"transfer_{n}") if n == "flags" else n for n in ("amount_requested", "flags", "batch") if n in resolved.columns]]
+    pick = lambda n: F.when(F.col("p_id").isNotNull(), F.col(f"p_{n}")).otherwise(F.col(n)).alias(n) if whole else F.col(n)
+    rows = resolved.where("status = 'created'").select(
+        "timestamp", F.lit(0).alias("seq"), F.col("kind") if whole else F.lit(0).alias("kind"), "amount", (F.coalesce("p_amount", F.lit(0)) if whole else F.lit(0)).cast("long").alias("freed"),
+        pick("debit_account_id"), pick("credit_account_id"), pick("ledger"), pick("code"), *rest, F.col("id").alias("transfer_key"), *sides,
+    )
+    if expired is None:
+        return rows
+    gone = expired.select(
+        F.col("due").alias("timestamp"), F.lit(1).alias("seq"), F.lit(4).alias("kind"), "amount", F.col("amount").alias("freed"),
+        "debit_account_id", "credit_account_id", "ledger", "code", *rest, F.col("id").alias("transfer_key"), *sides,
+    )
+    return rows.unionByName(gone)
+
+
+def in_legs(rows: DataFrame, *carried: str) -> DataFrame:
+    """Two rows for each effect, one an account: account_id, debit (whether it's that side), the change of each balance, and carried, with the debit only."""
+    pending = F.when(F.col("kind") == 1, F.col("amount")).otherwise(-F.col("freed")).cast("long")
+    posted = F.when(F.col("kind").isin(0, 2), F.col("amount")).otherwise(0).cast("long")
+    zero = F.lit(0).cast("long")
+    held = lambda mine: [F.when(F.lit(mine), F.col(n)).alias(n) for n in carried]
+    side = lambda key, mine, *moved: F.struct(F.col(key).alias("account_id"), F.lit(mine).alias("debit"), *[m.alias(b) for b, m in zip(BALANCES, moved, strict=True)], *held(mine))
+    both = F.array(side("debit_account_id", True, pending, posted, zero, zero), side("credit_account_id", False, zero, zero, pending, posted))
+    return rows.select("timestamp", "seq", "kind", "transfer_key", F.explode(both).alias("leg")).select("timestamp", "seq", "kind", "transfer_key", "leg.*")
+
+
 def legs(resolved: DataFrame, expired: DataFrame | None = None) -> DataFrame:
     """Two rows for each effect, one an account: (account_id, timestamp, seq, and the change of each balance)."""
-    rows = resolved.where("status = 'created'")
-    src = F.col("kind").isin(2, 3)
-    rows = rows.select(
-        "timestamp", F.lit(0).alias("seq"), "kind", "amount", F.when(src, F.col("p_amount")).otherwise(0).alias("freed"),
-        F.when(src, F.col("p_debit_account_id")).otherwise(F.col("debit_account_id")).alias("dr"), F.when(src, F.col("p_credit_account_id")).otherwise(F.col("credit_account_id")).alias("cr"),
-    ) if "p_amount" in resolved.columns else rows.select("timestamp", F.lit(0).alias("seq"), F.lit(0).alias("kind"), "amount", F.lit(0).cast("long").alias("freed"), F.col("debit_account_id").alias("dr"), F.col("credit_account_id").alias("cr"))
-    if expired is not None:
-        rows = rows.unionByName(expired.select(F.col("due").alias("timestamp"), F.lit(1).alias("seq"), F.lit(4).alias("kind"), "amount", F.col("amount").alias("freed"), F.col("debit_account_id").alias("dr"), F.col("credit_account_id").alias("cr")))
-    pending = F.when(F.col("kind") == 1, F.col("amount")).otherwise(-F.col("freed"))
-    posted = F.when(F.col("kind").isin(0, 2), F.col("amount")).otherwise(0)
-    zero = F.lit(0).cast("long")
-    side = lambda account, dp, d, cp, c: F.struct(F.col(account).alias("account_id"), dp.cast("long").alias("debits_pending"), d.cast("long").alias("debits_posted"), cp.cast("long").alias("credits_pending"), c.cast("long").alias("credits_posted"))
-    both = F.array(side("dr", pending, posted, zero, zero), side("cr", zero, zero, pending, posted))
-    return rows.select("timestamp", "seq", "kind", F.explode(both).alias("leg")).select("timestamp", "seq", "kind", "leg.*")
+    return in_legs(effects(resolved, expired)).drop("debit", "transfer_key")
 
 
-def running(legs_: DataFrame) -> DataFrame:
+def running(legs_: DataFrame, *kept: str) -> DataFrame:
     """Balances of each account after each of its legs."""
-    w = Window.partitionBy("account_id").orderBy("timestamp", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return legs_.select("account_id", "timestamp", "seq", "kind", *[F.sum(b).over(w).alias(b) for b in BALANCES])
+    w = Window.partitionBy("account_id").orderBy("timestamp", "seq", *(["transfer_key"] if "transfer_key" in kept else [])).rowsBetween(Window.unboundedPreceding, 0)
+    return legs_.select("account_id", "timestamp", "seq", "kind", *[F.sum(b).over(w).alias(b) for b in BALANCES], *kept)
 
 
 def final(legs_: DataFrame) -> DataFrame:
@@ -122,27 +88,24 @@ def final(legs_: DataFrame) -> DataFrame:
 
 
 def event_log(resolved: DataFrame, expired: DataFrame | None = None) -> DataFrame:
-    """A row for each effect with both accounts' balances after it."""
-    after = running(legs(resolved, expired))
-    keys = ["timestamp", "debit_account_id", "credit_account_id"]
-    if "p_id" in resolved.columns:
-        src = F.col("kind").isin(2, 3)
-        both = [F.when(src, F.col(f"p_{k}")).otherwise(F.col(k)).alias(k) for k in keys[1:]]
-        rest = [F.when(src, F.col("p_code")).otherwise(F.col("code")).alias("code"), "kind"]
-    else:
-        both, rest = keys[1:], ["code", F.lit(0).alias("kind")]
-    rows = resolved.where("status = 'created'").select("timestamp", F.lit(0).alias("seq"), *both, "amount", "ledger", "user_data_128", "user_data_64", "user_data_32", *rest, F.col("id").alias("transfer_key"))
-    if expired is not None:
-        rows = rows.unionByName(expired.select(F.col("due").alias("timestamp"), F.lit(1).alias("seq"), *keys[1:], "amount", "ledger", "user_data_128", "user_data_64", "user_data_32", "code", F.lit(4).alias("kind"), F.col("id").alias("transfer_key")))
-    for side, key in (("dr", "debit_account_id"), ("cr", "credit_account_id")):
-        own = after.select(F.col("account_id").alias(key), "timestamp", "seq", *[F.col(b).alias(f"{side}_{b}") for b in BALANCES])
-        rows = rows.join(own, [key, "timestamp", "seq"])
-    return rows.drop("seq")
-
-
-def chain_ids(events: DataFrame, order: str = "timestamp", batch: str = "batch") -> DataFrame:
+    """A row for each effect with both accounts' balances after it, and their flags where resolved has them.
+
+    One window by account over the legs, which carry the effect with the debit, and one aggregation that puts two legs together.
+    """
+    rows = effects(resolved, expired)
+    carried = [c for c in rows.columns if c not in ("timestamp", "seq", "kind", "transfer_key", "freed", "debit_account_id", "credit_account_id")]
+    after = running(in_legs(rows, *carried), "debit", "transfer_key", *carried)
+    of = lambda mine, c, name: F.max(F.when(F.col("debit") == mine, F.col(c))).alias(name)
+    sides = [(True, "dr"), (False, "cr")]
+    out = after.groupBy("timestamp", "seq", "kind", "transfer_key").agg(
+        of(True, "account_id", "debit_account_id"), of(False, "account_id", "credit_account_id"), *[F.max(c).alias(c) for c in carried], *[of(m, b, f"{s}_{b}") for m, s in sides for b in BALANCES],
+    )
+    return out.drop("seq").withColumnsRenamed({"debit_flags": "dr_flags", "credit_flags": "cr_flags"})
+
+
+def chain_ids(events: DataFrame, order: str = "timestamp", batch: tuple[str, ...] = ("batch",)) -> DataFrame:
     """chain: numbers the linked chains and single events of each batch."""
-    w = Window.partitionBy(batch).orderBy(order)
+    w = Window.partitionBy(*batch).orderBy(order)
     starts = F.coalesce(F.lag(F.col("flags").bitwiseAND(1)).over(w) == 0, F.lit(True))
     return events.withColumn("chain", F.sum(starts.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 

@@ -348,43 +348,67 @@ def q39_cdc_json_body(spark, d):
 
 
 def kernel(spark, d, change: Callable[[DataFrame], DataFrame] = lambda t: t, account_flags: int | Column = 0):
-    """Accounts in one request, then the transfers of each ledger in their order, through the kernel.
-
-    Each ledger's transfers are a request of their own here, so timestamps are given out by ledger.
-    """
+    """Accounts, then the transfers of each ledger in their order, through the engine: each ledger's are requests of their own (from 100 on those of transfers)."""
     a = mapping.event_accounts(spark, d).withColumn("flags", F.lit(account_flags).bitwiseOR(F.lit(8))).withColumn("timestamp", F.lit(0).cast("long")).withColumn("what", F.lit("account"))
     t = change(mapping.event_transfers(spark, d)).withColumn("what", F.lit("transfer"))
     place = lambda by: F.row_number().over(Window.partitionBy("ledger").orderBy(by)) - 1
-    a = a.withColumn("idx", place("id")).withColumn("batch", F.lit(0))
-    t = t.withColumn("idx", place("timestamp")).withColumn("batch", F.lit(1)).withColumn("timestamp", F.lit(0).cast("long"))
+    a = a.withColumn("idx", place("id")).withColumn("batch", F.col("ledger"))
+    t = t.withColumn("idx", place("timestamp")).withColumn("batch", 100 + F.col("ledger")).withColumn("timestamp", F.lit(0).cast("long"))
     log = a.unionByName(t, allowMissingColumns=True)
     size = F.count("*").over(Window.partitionBy("ledger", "batch"))
-    return engine.fold(log.withColumn("size", size).withColumn("batch_time", (F.col("batch") + 1) * 10**15))
+    return engine.execute(log.withColumn("size", size).withColumn("batch_time", (F.expr("batch div 100") + 1) * 10**15))
+
+
+def ordered_sql(out: str, limit_dr: str = "false", limit_cr: str = "false", balancing: str = "false", closing: str = "false", linked: str = "false") -> str:
+    """The events of each ledger one after the other in SQL: lists hold every account's balances, a chain that fails takes back those it began with."""
+    at = "2000000000000000 - n + k"
+    return f"""WITH RECURSIVE {E_SQL},
+q AS (SELECT id, ledger, debit_account_id AS dr, credit_account_id AS cr, amount, ({balancing}) AS bal, ({closing}) AS shuts, ({linked}) AS more, row_number() OVER l AS k, count(*) OVER (PARTITION BY ledger) AS n FROM (SELECT *, lead(id) OVER (PARTITION BY ledger ORDER BY timestamp) IS NULL AS last FROM e) WINDOW l AS (PARTITION BY ledger ORDER BY timestamp)),
+s AS (SELECT ledger, 0::BIGINT AS k, list_transform(range((SELECT max(user_id) + 2 FROM events)), lambda x: 0::BIGINT) AS d, list_transform(range((SELECT max(user_id) + 2 FROM events)), lambda x: 0::BIGINT) AS c, [0::BIGINT] AS shut, NULL::BIGINT[] AS sd, NULL::BIGINT[] AS sc, false AS inside, false AS broken, NULL::BIGINT AS id, NULL::VARCHAR AS status, 0::BIGINT AS moved, 0::BIGINT AS n, 0::BIGINT AS dv, 0::BIGINT AS cv FROM (SELECT DISTINCT ledger FROM q)
+UNION ALL
+SELECT ledger, k, d2, c2, CASE WHEN ok AND shuts THEN list_append(shut, dr) ELSE shut END, sd, sc, more, more AND NOT ok, id, status, moved, n, d2[dr], c2[cr] FROM (
+  SELECT *, CASE WHEN ok AND shuts THEN d WHEN ok THEN list_transform(d, lambda x, i: CASE WHEN i = dr THEN x + moved ELSE x END) WHEN (more OR inside) AND NOT skip THEN sd ELSE d END AS d2,
+    CASE WHEN ok AND shuts THEN c WHEN ok THEN list_transform(c, lambda x, i: CASE WHEN i = cr THEN x + moved ELSE x END) WHEN (more OR inside) AND NOT skip THEN sc ELSE c END AS c2 FROM (
+  SELECT *, status = 'created' AS ok FROM (
+  SELECT *, CASE WHEN skip THEN 'linked_event_failed' WHEN list_contains(shut, dr) THEN 'debit_account_already_closed' WHEN list_contains(shut, cr) THEN 'credit_account_already_closed'
+    WHEN ({limit_dr}) AND d[dr] + moved > c[dr] THEN 'exceeds_credits' WHEN ({limit_cr}) AND c[cr] + moved > d[cr] THEN 'exceeds_debits' ELSE 'created' END AS status FROM (
+  SELECT q.ledger, q.k, q.id, q.dr, q.cr, q.amount, q.shuts, q.more, q.n, s.d, s.c, s.shut, s.inside, s.inside AND s.broken AS skip, CASE WHEN s.inside THEN s.sd ELSE s.d END AS sd, CASE WHEN s.inside THEN s.sc ELSE s.c END AS sc,
+    CASE WHEN q.bal THEN greatest(0, least(q.amount, s.c[q.dr] - s.d[q.dr])) ELSE q.amount END AS moved FROM s JOIN q ON q.ledger = s.ledger AND q.k = s.k + 1))))),
+z AS (SELECT *, sum((NOT before)::BIGINT) OVER (PARTITION BY ledger ORDER BY k) AS chain FROM (SELECT *, coalesce(lag(inside) OVER (PARTITION BY ledger ORDER BY k), false) AS before FROM s WHERE k > 0)),
+r AS (SELECT *, CASE WHEN status = 'created' AND bool_or(status <> 'created') OVER (PARTITION BY ledger, chain) THEN 'linked_event_failed' ELSE status END AS final FROM z)
+SELECT {out.format(at=at)} FROM r"""
+
+
+RESULTS_SQL = "100 + ledger AS batch, k - 1 AS idx, {at} AS timestamp, final AS status"
+
+
+def results(df: DataFrame) -> DataFrame:
+    return df.where("what = 'result' and batch > 100").select("batch", "idx", "timestamp", "status")
 
 
-@query()
+@query(ordered_sql(RESULTS_SQL, limit_dr="dr % 3 = 0"))
 def q40_kernel_limits(spark, d):
     limit = F.when(F.col("id") % 3 == 0, int(AccountFlags.DEBITS_MUST_NOT_EXCEED_CREDITS)).otherwise(0)
-    return kernel(spark, d, account_flags=limit).where("what = 'result' and batch = 1").groupBy("status").count()
+    return results(kernel(spark, d, account_flags=limit))
 
 
-@query()
+@query(ordered_sql("id AS transfer_key, moved AS amount, amount_ AS amount_requested, dv AS dr_debits_posted, cv AS cr_credits_posted", balancing="code = 3").replace("FROM r", "FROM (SELECT r.*, q.amount AS amount_ FROM r JOIN q USING (ledger, k))"))
 def q41_kernel_balancing(spark, d):
     flag = F.when(F.col("code") == 3, int(TransferFlags.BALANCING_DEBIT)).otherwise(0).cast("long")
     return kernel(spark, d, lambda t: t.withColumn("flags", flag)).where("what = 'event'").select("transfer_key", "amount", "amount_requested", "dr_debits_posted", "cr_credits_posted")
 
 
-@query()
+@query(ordered_sql(RESULTS_SQL, limit_cr="true", linked="code = 1 AND NOT last"))
 def q42_kernel_linked(spark, d):
     flag = F.when((F.col("code") == 1) & (F.col("timestamp") < F.max("timestamp").over(Window.partitionBy("ledger"))), 1).otherwise(0).cast("long")
     limited = int(AccountFlags.CREDITS_MUST_NOT_EXCEED_DEBITS)
-    return kernel(spark, d, lambda t: t.withColumn("flags", flag), limited).where("what = 'result'").groupBy("status").count()
+    return results(kernel(spark, d, lambda t: t.withColumn("flags", flag), limited))
 
 
-@query()
+@query(ordered_sql(RESULTS_SQL, closing="id % 97 = 0"))
 def q43_kernel_closing(spark, d):
     closing = F.when(F.col("id") % 97 == 0, int(TransferFlags.PENDING | TransferFlags.CLOSING_DEBIT)).otherwise(0).cast("long")
-    return kernel(spark, d, lambda t: t.withColumn("flags", closing)).where("what = 'result'").groupBy("status").count()
+    return results(kernel(spark, d, lambda t: t.withColumn("flags", closing)))
 
 
 # every fiftieth timestamp goes back behind the ones before it
@@ -406,7 +430,7 @@ def q44_kernel_import(spark, d):
     request = Window.partitionBy("batch")
     made = made.withColumn("idx", F.row_number().over(request.orderBy("key")).cast("long") - 1).withColumn("size", F.count("*").over(request)).withColumn("batch_time", 10**15 + F.col("batch") * 10**6)
     log = engine.requests(spark, [("account", 10**6, accounts)]).unionByName(made.drop("key"), allowMissingColumns=True)
-    return engine.fold(log).where("what = 'result'").select("batch", "idx", "timestamp", "status")
+    return engine.execute(log).where("what = 'result'").select("batch", "idx", "timestamp", "status")
 
 
 @query(f"WITH {E2_SQL}, t AS (SELECT timestamp - p_timestamp AS wait FROM done) SELECT quantile_cont(wait, 0.01)::BIGINT AS p1, quantile_cont(wait, 0.5)::BIGINT AS p50, quantile_cont(wait, 0.99)::BIGINT AS p99, max(wait)::BIGINT AS p100 FROM t")
@@ -415,7 +439,7 @@ def q45_latency_percentiles(spark, d):
     return done.agg(*[F.round(F.percentile("wait", p)).cast("long").alias(n) for n, p in (("p1", 0.01), ("p50", 0.5), ("p99", 0.99))], F.max("wait").alias("p100"))
 
 
-# the kernel on an order-free batch equals the window plan, so SQL can hold it to account
+# an order-free log, which the engine runs as a plan
 @query(f"WITH {E_SQL}, {LEGS_SQL.format(t='e')}, {RUN_SQL} SELECT id AS transfer_key, amount, a.d::BIGINT AS dr_debits_posted, a.c::BIGINT AS dr_credits_posted, b.d::BIGINT AS cr_debits_posted, b.c::BIGINT AS cr_credits_posted FROM e JOIN r a ON a.account_id = debit_account_id AND a.timestamp = e.timestamp JOIN r b ON b.account_id = credit_account_id AND b.timestamp = e.timestamp")
 def q46_kernel_order_free(spark, d):
     return kernel(spark, d).where("what = 'event'").select("transfer_key", "amount", "dr_debits_posted", "dr_credits_posted", "cr_debits_posted", "cr_credits_posted")

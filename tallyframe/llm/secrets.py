@@ -6,7 +6,10 @@ import binascii
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +27,7 @@ WORDS = ("password", "passwd", "secret", "token", "api")
 ORDER = {k: i for i, (k, *_) in enumerate(KINDS)}
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+ESCAPE = re.compile(r"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 #: Between two lines of one run; in quoted strings a line break can be written as \\n.
 BREAK = r"[ \t]*+(?:\r\n?|\n|(?:\\r)?\\n)[ \t>]*+"
 BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{16,}}+(?:{BREAK}[A-Za-z0-9+/_-]++)*+|[A-Za-z0-9+/_-]++(?:{BREAK}[A-Za-z0-9+/_-]++)++)={{0,2}}")
@@ -52,18 +55,29 @@ def scan(text: str) -> list[Span]:
 
 
 class Layer:
-    """A text with, for each character, the range of the document that it comes from, or one range, at, for all; None: the document itself."""
+    """A text decoded from its parent, with the ranges there that its characters come from, by runs; or from one range of the document, at, as a whole.
 
-    def __init__(self, text: str, begins: list[int] | None = None, ends: list[int] | None = None, at: tuple[int, int] | None = None):
-        self.text, self.begins, self.ends, self.at = text, begins, ends, at
+    A run is (first character, base, phase, num, den): character k comes from base + (k - first +
+    phase) * num / den on, in steps of num / den, rounded outwards and up to the limit. Runs ascend, so a range comes from
+    what its first and last character come from.
+    """
+
+    def __init__(self, text: str, parent: Layer | None = None, runs: list[tuple[int, int, int, int, int]] | None = None, at: tuple[int, int] | None = None, limit: int = 1 << 60):
+        self.text, self.parent, self.runs, self.at, self.limit = text, parent, runs, at, limit
 
     def whole(self) -> bool:
-        return self.begins is None and self.at is None
+        return self.parent is None and self.at is None
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
-        if self.at is not None:
-            return self.at
-        return (a, b) if self.begins is None else (min(self.begins[a:b]), max(self.ends[a:b]))
+        """The range of the document that characters a to b come from."""
+        layer = self
+        while layer.at is None and layer.parent is not None:
+            first, base, phase, num, den = layer.runs[bisect_right(layer.runs, a, key=itemgetter(0)) - 1]
+            start = base + (a - first + phase) * num // den
+            first, base, phase, num, den = layer.runs[bisect_right(layer.runs, b - 1, key=itemgetter(0)) - 1]
+            a, b = start, min(base - -(b - first + phase) * num // den, layer.limit)
+            layer = layer.parent
+        return layer.at or (a, b)
 
     def key(self) -> tuple[bytes, int, int]:
         return (hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *self.origin(0, len(self.text)))
@@ -71,55 +85,53 @@ class Layer:
 
 def rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every match replaced by its decoded characters, each with its range in the match; None if nothing changes."""
-    parts, begins, ends, at, changed = [], [], [], 0, False
+    parts: list[str] = []
+    runs: list[tuple[int, int, int, int, int]] = []
+    at = size = 0
 
-    def copy(a: int, b: int) -> None:
-        parts.append(layer.text[a:b])
-        if layer.at is not None:
+    def add(text: str, base: int, num: int) -> None:
+        nonlocal size
+        if not text:
             return
-        begins.extend(range(a, b) if layer.begins is None else layer.begins[a:b])
-        ends.extend(range(a + 1, b + 1) if layer.ends is None else layer.ends[a:b])
+        parts.append(text)
+        if layer.at is None:
+            if not (runs and runs[-1][3] == num and runs[-1][1] + (size - runs[-1][0]) * num == base):
+                runs.append((size, base, 0, num, 1))
+            size += len(text)
 
     for m in pattern.finditer(layer.text):
-        chars = decode(m)
-        if chars is None:
+        found = decode(m)
+        if found is None:
             continue
-        copy(at, m.start())
-        for c, a, b in chars:
-            parts.append(c)
-            if layer.at is not None:
-                continue
-            a, b = layer.origin(m.start() + a, m.start() + b)
-            begins.append(a)
-            ends.append(b)
-        at, changed = m.end(), True
-    if not changed:
+        add(layer.text[at : m.start()], at, 1)
+        at = m.start()
+        for text, num in found:
+            add(text, at, num)
+            at += len(text) * num
+    if not at:
         return None
-    copy(at, len(layer.text))
-    return Layer("".join(parts), begins, ends) if layer.at is None else Layer("".join(parts), at=layer.at)
+    add(layer.text[at:], at, 1)
+    text = "".join(parts)
+    return Layer(text, layer, runs) if layer.at is None else Layer(text, at=layer.at)
 
 
-def by_bytes(data: bytes, place) -> list[tuple[str, int, int]]:
-    """Characters of UTF-8 data, or of other data a character a byte; place(first byte, last byte + 1) is their range."""
+def percent(m: re.Match) -> list[tuple[str, int]]:
+    """Stretches of characters with the width of each in the match: of UTF-8 data, or of other data a character a byte."""
+    data = bytes.fromhex(m[0].replace("%", ""))
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return [(chr(x), *place(i, i + 1)) for i, x in enumerate(data)]
-    out, at = [], 0
-    for c in text:
-        n = len(c.encode())
-        out.append((c, *place(at, at + n)))
-        at += n
-    return out
+        return [(data.decode("latin-1"), 3)]
+    if len(text) == len(data):
+        return [(text, 3)]
+    return [("".join(x), 3 * n) for n, x in groupby(text, lambda c: 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4)]
 
 
-def percent(m: re.Match) -> list[tuple[str, int, int]]:
-    return by_bytes(bytes.fromhex(m[0].replace("%", "")), lambda a, b: (3 * a, 3 * b))
-
-
-def escape(m: re.Match) -> list[tuple[str, int, int]] | None:
-    code = int(m[6]) if m[6] else int(next(g for g in m.groups() if g), 16)
-    return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), 0, len(m[0]))]
+def escape(m: re.Match) -> list[tuple[str, int]] | None:
+    if m[1]:
+        return [(chr(0x10000 + (int(m[1], 16) - 0xD800 << 10) + int(m[2], 16) - 0xDC00), len(m[0]))]
+    code = int(m[8]) if m[8] else int(next(g for g in m.groups() if g), 16)
+    return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), len(m[0]))]
 
 
 def packs(data: bytes | memoryview) -> bool:
@@ -199,21 +211,10 @@ def encoded(layer: Layer) -> Iterator[Layer]:
     A run goes on over line breaks. Other bytes than ASCII are left out: no pattern holds them.
     """
     for m in BASE64.finditer(layer.text):
-        run = BREAK.sub("", m[0].rstrip("="))
+        joined = Layer(BREAK.sub("", m[0]), layer, lines(layer.text, m))
+        run = joined.text.rstrip("=")
         if len(run) < 16:
             continue
-        places: list[int] = []
-
-        def place(a: int, b: int, m: re.Match = m, places: list[int] = places) -> tuple[int, int]:
-            """Where characters a to b of the run are from."""
-            if not places:
-                at = m.start()
-                for x in BREAK.finditer(layer.text, m.start(), m.end()):
-                    places.extend(range(at, x.start()))
-                    at = x.end()
-                places.extend(range(at, m.end()))
-            return layer.origin(places[a], places[b - 1] + 1)
-
         plain = run.translate({45: 43, 95: 47})
         data = []
         for i in range(4):
@@ -222,6 +223,9 @@ def encoded(layer: Layer) -> Iterator[Layer]:
         for i in sorted({0, *(x.start() for x in PACKED.finditer(plain))}):
             blob = memoryview(data[i % 4])[i // 4 * 3 :]
             if (packed := unpack(blob)) is None:
+                if i == 0 and deflated(blob):
+                    for x in windows(raw(blob)):
+                        yield Layer(x.decode("latin-1"), at=joined.origin(0, len(joined.text)))
                 continue
             met, depth = {bytes(blob)}, 1
             while packed not in met and (inner := unpack(packed)) is not None:
@@ -231,7 +235,7 @@ def encoded(layer: Layer) -> Iterator[Layer]:
             for _ in inflated(chunks(blob), used):
                 pass
             end = min(i - (-used[0] * 4 // 3), len(run))
-            at = place(i, end if end < len(run) else end + m[0].count("=")) if used[0] else None
+            at = joined.origin(i, end if end < len(run) else len(joined.text)) if used[0] else None
             for n in range(1, depth + 1):  # a text can look compressed by its first bytes
                 parts = chunks(blob)
                 for _ in range(n):
@@ -240,8 +244,43 @@ def encoded(layer: Layer) -> Iterator[Layer]:
                     yield Layer(x.decode("latin-1"), at=at)
         for i, part in enumerate(data):
             for x in ASCII.finditer(part):
-                at = [place(i + b * 4 // 3, min(i - (-(b + 1) * 4 // 3), len(run))) for b in range(*x.span())]
-                yield Layer(x[0].decode(), [a for a, _ in at], [b for _, b in at])
+                yield Layer(x[0].decode(), joined, [(0, i, x.start(), 4, 3)], limit=len(run))
+
+
+def lines(text: str, m: re.Match) -> list[tuple[int, int, int, int, int]]:
+    """The runs of a match without the line breaks in it."""
+    out, at, size = [], m.start(), 0
+    for x in BREAK.finditer(text, m.start(), m.end()):
+        out.append((size, at, 0, 1, 1))
+        size, at = size + x.start() - at, x.end()
+    return [*out, (size, at, 0, 1, 1)]
+
+
+def raw(data: bytes | memoryview) -> Iterator[bytes]:
+    """What deflated data without a header holds; an EOFError where it's broken or breaks off."""
+    d = zlib.decompressobj(-15)
+    for chunk in chunks(data):
+        while chunk and not d.eof:
+            try:
+                yield d.decompress(chunk, PART)
+            except zlib.error:
+                raise EOFError from None
+            chunk = d.unconsumed_tail
+    while not d.eof and (out := d.decompress(b"", PART)):
+        yield out
+    if not d.eof:
+        raise EOFError
+
+
+def deflated(data: bytes | memoryview) -> bool:
+    """Whether data is deflated as a whole, to something longer than a pattern's least match."""
+    size = 0
+    try:
+        for x in raw(data):
+            size += len(x)
+    except EOFError:
+        return False
+    return size >= 16
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:

@@ -7,6 +7,10 @@ equal length regardless of pieces; for every chunk the map from each possible st
 its end state is computed for all chunks at once, the maps are composed by a parallel prefix
 scan, and each chunk is then run from its true start state.
 
+*Counting.* The merges are compiled into a second transducer, over the bytes of a piece, whose
+transitions carry the change of the token count (``Counter``). Its runs over distinct pieces are
+remembered, and the counts of a text's pieces add up by a prefix sum.
+
 *Merging.* All new pieces of a batch are merged together: each pair of neighbours points to
 all its positions, pairs come up in ascending rank, and a merge updates only the lists of the
 pairs around it.
@@ -28,6 +32,8 @@ DONE, IN_L, IN_N, IN_O, ONE_SPACE, ONE_BLANK, RUN_SPACE, RUN_BLANK, Q, Q_R, Q_V,
 LETTERS = (LETTER, L_STMD, L_R, L_V, L_L, L_E)
 CHUNK = 512
 WORDS_KEPT = 400_000
+STATES_KEPT = 300_000
+NEVER = 1 << 40
 #: Longer texts are worked on in sections of so many characters, so that memory doesn't follow one text.
 SECTION = 1 << 19
 
@@ -190,6 +196,124 @@ def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
+class Counter:
+    """A deterministic transducer over the bytes of a piece; a transition's number is by how many tokens its byte changes the count.
+
+    Every prefix of a piece has a last token, and what comes before that is the encoding of a
+    shorter prefix. Two tokens stand side by side in an encoding if and only if the merges of
+    their bytes alone give these two. So the last token of a longer prefix is the one ending
+    there that may follow the last token where it begins, and a state has to know no more than, for each
+    suffix that can still grow into a token, its place in the trie, the last token before it, and
+    how many tokens have been counted since. There are finitely many such states; those that texts
+    lead to are compiled as they are met.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        count, first, pool = vocabulary.byte_count, vocabulary.byte_first, vocabulary.byte_pool
+        self.coded = [pool[a : a + n].tobytes() for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+        self.merges = vocabulary.merges
+        self.ranks = {a << 32 | b: rank for rank, (a, b, _) in enumerate(self.merges)}
+        self.byte_ids = vocabulary.byte_ids.tolist()
+        special = set(vocabulary.special.values())
+        self.child: dict[int, int] = {}  # by node << 8 | byte
+        self.token, self.inner = [-1], [True]  # by node: the token that it spells, whether it goes on
+        for i, data in enumerate(self.coded):
+            if i in special or not data:
+                continue
+            node = 0
+            for b in data:
+                self.inner[node] = True
+                if (key := node << 8 | b) not in self.child:
+                    self.child[key] = len(self.token)
+                    self.token.append(-1)
+                    self.inner.append(False)
+                node = self.child[key]
+            self.token[node] = i
+        self.follows: dict[int, bool] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        start = ((0, -1, 0),)
+        self.states, self.number = [start], {start: 0}
+        self.go: dict[int, int] = {}  # by state << 8 | byte: the next state << 16 | 32768 + change of the count
+        self.maps: dict[tuple[int, bytes], tuple[int, int]] = {}  # of whole chunks
+
+    def merged(self, data: bytes) -> list[int]:
+        """The tokens of a few bytes: always the pair of least rank, the leftmost first."""
+        ids, ranks = [self.byte_ids[b] for b in data], self.ranks
+        near = [ranks.get(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while near and (least := min(near)) < NEVER:
+            i = near.index(least)
+            ids[i : i + 2] = [self.merges[least][2]]
+            del near[i]
+            if i:
+                near[i - 1] = ranks.get(ids[i - 1] << 32 | ids[i], NEVER)
+            if i < len(near):
+                near[i] = ranks.get(ids[i] << 32 | ids[i + 1], NEVER)
+        return ids
+
+    def may_follow(self, last: int, token: int) -> bool:
+        key = last << 32 | token
+        if (known := self.follows.get(key)) is None:
+            if last < 0:
+                known = self.merged(self.coded[token]) == [token]
+            else:
+                known = self.merged(self.coded[last] + self.coded[token]) == [last, token]
+            self.follows[key] = known
+        return known
+
+    def compile(self, state: int, byte: int) -> int:
+        """The transition from a state with a byte."""
+        grown, change, token = [], None, -1
+        for node, last, behind in self.states[state]:
+            child = self.child.get(node << 8 | byte)
+            if child is None:
+                continue
+            if change is None and self.token[child] >= 0 and self.may_follow(last, self.token[child]):
+                change, token = 1 - behind, self.token[child]
+            if self.inner[child]:
+                grown.append((child, last, behind))
+        new = (*((node, last, behind + change) for node, last, behind in grown), (0, token, 0))
+        if (number := self.number.get(new)) is None:
+            number = self.number[new] = len(self.states)
+            self.states.append(new)
+        self.go[state << 8 | byte] = out = number << 16 | 32768 + change
+        return out
+
+    def chunk(self, state: int, data: bytes) -> tuple[int, int]:
+        """Where a stretch of a piece leads to from a state, and by how many tokens."""
+        go, total = self.go, 0
+        for b in data:
+            step = go.get(state << 8 | b)
+            if step is None:
+                step = self.compile(state, b)
+            state = step >> 16
+            total += step & 65535
+        return state, total - 32768 * len(data)
+
+    def count(self, data: bytes) -> int:
+        """The number of tokens of a piece; those of long ones come from the maps of their chunks, one after the other."""
+        if len(data) <= CHUNK:
+            return self.chunk(0, data)[1]
+        state = total = 0
+        for i in range(0, len(data), CHUNK):
+            key = state, data[i : i + CHUNK]
+            if key not in self.maps:
+                if len(self.maps) > 10_000:
+                    self.maps.clear()
+                self.maps[key] = self.chunk(*key)
+            state, n = self.maps[key]
+            total += n
+        return total
+
+    def counts(self, pieces: list[str]) -> list[int]:
+        if len(self.states) > STATES_KEPT:
+            self.clear()
+        if len(self.follows) > 4 * STATES_KEPT:
+            self.follows.clear()
+        return [self.count(x.encode()) for x in pieces]
+
+
 class Pieces:
     """The pieces of some texts: distinct ones, where they occur, and which run belongs to which text."""
 
@@ -249,6 +373,8 @@ class Vocabulary:
         self.byte_count = np.fromiter(map(len, pool), np.int64, len(pool))
         self.byte_first = np.cumsum(self.byte_count) - self.byte_count
         self.words: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {}
+        self.counter: Counter | None = None
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -358,6 +484,16 @@ class Vocabulary:
             self.words.update(zip(new, self.merge_all(new), strict=True))
         return self.words
 
+    def measure(self, distinct: list[str]) -> dict[str, int]:
+        """Count the tokens of pieces that were not met before; the dict holds all of them."""
+        if self.counter is None:
+            self.counter = Counter(self)
+        if len(self.sizes) > WORDS_KEPT:
+            self.sizes = {w: self.sizes[w] for w in distinct if w in self.sizes}
+        new = list(dict.fromkeys(w for w in distinct if w not in self.sizes))
+        self.sizes.update(zip(new, self.counter.counts(new), strict=True))
+        return self.sizes
+
     def parts(self, text: str) -> Iterator[str | int]:
         """A long text as sections and ids of special strings."""
         for x in self.split_special(text):
@@ -405,8 +541,8 @@ class Vocabulary:
         if not texts:
             return []
         x = Pieces(self, texts)
-        known = self.learn(x.distinct)
-        size = np.fromiter(map(len, map(known.__getitem__, x.distinct)), np.int64, len(x.distinct)) // 4
+        known = self.measure(x.distinct)
+        size = np.fromiter(map(known.__getitem__, x.distinct), np.int64, len(x.distinct))
         total = np.concatenate(([0], np.cumsum(size[x.number[x.keep]])))
         done = total[np.concatenate(([0], np.cumsum(x.lengths)))].tolist()
         out, j = [0] * x.size, 0

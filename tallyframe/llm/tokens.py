@@ -31,10 +31,10 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def count_tokens(df: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row, in the order of none.
 
-    The transducer's transitions say where pieces end; the number of tokens of a piece comes
-    from the merges of op5, once for each piece, and is then remembered. Chunks of the concatenated
-    texts are run on their own and composed by a prefix scan, so a very long text is not slower
-    than many short ones.
+    Two transducers: the transitions of one say where pieces start, and its chunk maps are composed by a
+    prefix scan; those of the other, which the merges are compiled into, carry by how many tokens a byte changes the count of its
+    piece. Counts of distinct pieces are remembered, and add up by a prefix sum. A very long text is neither slower
+    than many short ones, nor held with its working arrays as a whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,17 +11,18 @@ import time
 from collections.abc import Callable, Iterable
 from dataclasses import fields
 from decimal import Decimal
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.types import BATCH_MAX, WIDE, Account, PendingStatus, Transfer, from_bytes, schema, to_bytes
+from .functions.types import BATCH_MAX, WIDE, Account, AccountFlags, PendingStatus, Transfer, TransferFlags, from_bytes, schema, to_bytes
 from .operators import reads
 from .operators.kernel import SIDES, Event, State
 from .operators.reads import AccountFilter, ChangeEventsFilter, QueryFilter
 from .plans.checks import violations
 from .sources.journal import Journal
-from .sources.statement import Statement, parse
+from .sources.statement import Statement, parse, shown
 
 EVENT = (
     "timestamp long, kind int, transfer_key binary, debit_account_id binary, credit_account_id binary, amount binary, amount_requested binary, "
@@ -172,7 +173,7 @@ class Ledger:
     # --- reads
 
     def lookup_accounts(self, ids: list[int]) -> DataFrame:
-        return reads.lookup(self.accounts(), ids)
+        return reads.lookup(latest(self._named(self.journal.read("accounts"), ids)), ids)
 
     def lookup_transfers(self, ids: list[int]) -> DataFrame:
         return reads.lookup(self.transfers(), ids)
@@ -181,7 +182,7 @@ class Ledger:
         return reads.account_transfers(self.transfers(), f)
 
     def get_account_balances(self, f: AccountFilter) -> DataFrame:
-        return reads.account_balances(self.accounts(), self.events(), f)
+        return reads.account_balances(latest(self._named(self.journal.read("accounts"), [f.account_id])), self.events(), f)
 
     def query_accounts(self, f: QueryFilter) -> DataFrame:
         return reads.scan(self.accounts(), f)
@@ -196,6 +197,17 @@ class Ledger:
         """The answer to each statement of a text: results of a create, a DataFrame of a read, the operations of help."""
         return [self._answer(s) for s in parse(text)]
 
+    def show(self, text: str) -> list[str]:
+        """The answers to a text's statements as the console shows them, an object each."""
+        out = []
+        for s in parse(text):
+            answer, flags = self._answer(s), AccountFlags if "accounts" in s.operation else TransferFlags
+            if s.operation.startswith("create"):
+                out += [shown(SimpleNamespace(timestamp=at, status=status)) for at, status in answer]
+            else:
+                out += answer if s.operation == "help" else [shown(r, flags) for r in answer.collect()]
+        return out
+
     def _answer(self, s: Statement):
         if s.operation == "help":
             return ["create_accounts", "create_transfers", "lookup_accounts", "lookup_transfers", "get_account_transfers", "get_account_balances", "query_accounts", "query_transfers"]
@@ -217,7 +229,10 @@ class Ledger:
         return out
 
     def compact(self, events_from: int = 0) -> int:
-        """Write all rows as one full step, sorted by time: of accounts and statuses the latest only. Events before events_from are left out."""
+        """Write all rows as one full step, sorted by time: of accounts and statuses the latest only.
+
+        Events before events_from are left out, but for those of accounts that keep history.
+        """
         steps = self.journal.steps()
         if not steps:
             return 0
@@ -227,6 +242,7 @@ class Ledger:
             if name in ("accounts", "statuses"):
                 rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("step")))).where("nth = 1").drop("nth")
             elif name == "events":
-                rows = rows.where(F.col("timestamp") >= events_from)
+                kept = (F.col("dr_flags").bitwiseOR(F.col("cr_flags"))).bitwiseAND(int(AccountFlags.HISTORY)) != 0
+                rows = rows.where((F.col("timestamp") >= events_from) | kept)
             tables[name] = rows.repartitionByRange("timestamp").sortWithinPartitions("timestamp") if "timestamp" in rows.columns else rows
         return self.journal.publish(tables, steps[-1]["facts"], full=True)

@@ -99,7 +99,7 @@ TRANSFER_STATUS = {
     "exists_with_different_ledger": 67, "id_already_failed": 68, "created": CREATED,
 }
 
-#: A transfer that fails with one of these may not try again under its id.
+#: A transfer that fails with one of these may not try again under its id.
 TRANSIENT = {
     "debit_account_not_found", "credit_account_not_found", "pending_transfer_not_found", "exceeds_credits", "exceeds_debits",
     "debit_account_already_closed", "credit_account_already_closed",

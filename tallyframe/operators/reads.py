@@ -155,13 +155,17 @@ def change_events(events: DataFrame, transfers: DataFrame, accounts: DataFrame,
     are cut down first, so the joins are of a request's size.
     """
     rows = scan(events, f, cap)
-    t = transfers.select(*[F.col(c).alias(f"transfer_{c}") for c in ("id", "pending_id", "user_data_128", "user_data_64", "user_data_32", "timeout", "code", "flags")])
-    named = lambda side: accounts.select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "user_data_128", "user_data_64", "user_data_32", "code", "timestamp")])
+    clashing = [c for c in rows.columns if c.startswith("transfer_") and c != "transfer_key"]
+    t = transfers.select(*[F.col(c).alias(f"transfer_{c}") for c in ("id", "pending_id", "user_data_128", "user_data_64", "user_data_32", "timeout", "code", "flags", "timestamp")])
+    now = ("id", "user_data_128", "user_data_64", "user_data_32", "code", "flags", "timestamp")
+    named = lambda side, key: accounts.select(*[F.col(c).alias(key if c == "id" else f"{side}_{c}") for c in now])
     kinds = F.element_at(F.array(*map(F.lit, EVENT_TYPES)), F.col("kind") + 1)
-    joined = rows.join(t, F.col("transfer_key") == F.col("transfer_id"))
-    joined = joined.join(named("debit_account_now").withColumnRenamed("debit_account_now_id", "dk"), F.col("debit_account_id") == F.col("dk"))
-    joined = joined.join(named("credit_account_now").withColumnRenamed("credit_account_now_id", "ck"), F.col("credit_account_id") == F.col("ck"))
-    return joined.withColumn("type", kinds).drop("dk", "ck", "kind").orderBy("timestamp")
+    joined = rows.drop(*clashing).join(t, F.col("transfer_key") == F.col("transfer_id"))
+    for side, short in (("debit_account", "dr"), ("credit_account", "cr")):
+        joined = joined.join(named(f"{side}_now", "key_"), F.col(f"{side}_id") == F.col("key_")).drop("key_")
+        if f"{short}_flags" in joined.columns:  # as they were after the event
+            joined = joined.withColumn(f"{side}_now_flags", F.col(f"{short}_flags"))
+    return joined.withColumn("type", kinds).drop("kind").orderBy("timestamp")
 
 
 def former_events(rows: DataFrame, transfers: DataFrame) -> DataFrame:
@@ -194,6 +198,11 @@ def answer_all(df: DataFrame, filters: list[Filter], cap: int | None = BATCH_MAX
     return reduce(DataFrame.unionByName, parts)
 
 
+def with_status(transfers: DataFrame, statuses: DataFrame, wanted: int) -> DataFrame:
+    """An extension: pending transfers by what became of them. statuses: id and status (a PendingStatus) of each."""
+    return transfers.join(statuses.where(F.col("status") == int(wanted)).select("id"), "id", "left_semi")
+
+
 def union(df: DataFrame, *conditions: Column) -> DataFrame:
     """Rows that any condition selects, each once."""
     return df.where(reduce(Column.__or__, conditions))

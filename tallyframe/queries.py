@@ -8,10 +8,10 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.types import BATCH_MAX, Account, AccountFilterFlags, AccountFlags, TransferFlags
+from .functions.types import BATCH_MAX, Account, AccountFilterFlags, AccountFlags, PendingStatus, TransferFlags
 from .operators import engine, reads
 from .operators.reads import AccountFilter, ChangeEventsFilter, QueryFilter
-from .plans import fast
+from .plans import fast, recipes
 from .sources import mapping
 from .streaming import cdc
 
@@ -342,9 +342,19 @@ def q38_scan_union_intersection_difference(spark, d):
     return tag("union", reads.union(t, a == 7, b == 9)).union(tag("intersection", reads.intersection(t, a == 1, b == 9))).union(tag("difference", reads.difference(t, b == 9, a == 1)))
 
 
-@query(f"""WITH {E_SQL}, {LEGS_SQL.format(t='e')}, {RUN_SQL} SELECT e.timestamp, '{{"timestamp":"' || e.timestamp || '","type":"single_phase","ledger":"' || ledger || '","transfer":{{"id":"' || id || '","amount":"' || amount || '","code":"' || code || '"}},"debit_account":{{"id":"' || debit_account_id || '","debits_pending":"0","debits_posted":"' || a.d || '","credits_pending":"0","credits_posted":"' || a.c || '"}},"credit_account":{{"id":"' || credit_account_id || '","debits_pending":"0","debits_posted":"' || b.d || '","credits_pending":"0","credits_posted":"' || b.c || '"}}}}' AS body FROM e JOIN r a ON a.account_id = debit_account_id AND a.timestamp = e.timestamp JOIN r b ON b.account_id = credit_account_id AND b.timestamp = e.timestamp""")
+def side_sql(name: str, key: str, run: str) -> str:
+    """An account of a message, in SQL."""
+    return f""" || '"{name}":{{"id":' || {key} || ',"debits_pending":0,"debits_posted":' || {run}.d || ',"credits_pending":0,"credits_posted":' || {run}.c || ',"user_data_128":0,"user_data_64":0,"user_data_32":0,"code":1,"flags":8,"timestamp":' || {key} || '}}'"""
+
+
+def messages(spark, d) -> DataFrame:
+    found = reads.change_events(event_log(spark, d), transfers(spark, d), mapping.event_accounts(spark, d), ChangeEventsFilter(limit=2**31 - 1), None)
+    return cdc.body(found)
+
+
+@query(f"""WITH {E_SQL}, {LEGS_SQL.format(t='e')}, {RUN_SQL} SELECT e.timestamp, '{{"timestamp":"' || e.timestamp || '","type":"single_phase","ledger":' || ledger || ',"transfer":{{"id":' || id || ',"amount":' || amount || ',"pending_id":0,"user_data_128":' || user_data_128 || ',"user_data_64":' || user_data_64 || ',"user_data_32":' || user_data_32 || ',"timeout":0,"code":' || code || ',"flags":0,"timestamp":"' || e.timestamp || '"}},'{side_sql("debit_account", "debit_account_id", "a")} || ','{side_sql("credit_account", "credit_account_id", "b")} || '}}' AS body FROM e JOIN r a ON a.account_id = debit_account_id AND a.timestamp = e.timestamp JOIN r b ON b.account_id = credit_account_id AND b.timestamp = e.timestamp""")
 def q39_cdc_json_body(spark, d):
-    return cdc.body(event_log(spark, d)).select("timestamp", "body")
+    return messages(spark, d).select("timestamp", "body")
 
 
 def kernel(spark, d, change: Callable[[DataFrame], DataFrame] = lambda t: t, account_flags: int | Column = 0):
@@ -445,6 +455,230 @@ def q46_kernel_order_free(spark, d):
     return kernel(spark, d).where("what = 'event'").select("transfer_key", "amount", "dr_debits_posted", "dr_credits_posted", "cr_debits_posted", "cr_credits_posted")
 
 
+HEADERS = ("event_type", "ledger", "transfer_code", "debit_account_code", "credit_account_code", "content_type", "timestamp")
+
+
+@query(f"WITH {E_SQL} SELECT timestamp AS at, 'single_phase' AS event_type, ledger::VARCHAR AS ledger, code::VARCHAR AS transfer_code, '1' AS debit_account_code, '1' AS credit_account_code, 'application/json' AS content_type, (timestamp // 1000000000)::VARCHAR AS timestamp FROM e")
+def q47_cdc_headers(spark, d):
+    return messages(spark, d).select(F.col("timestamp").alias("at"), *[F.col("headers")[h].alias(h) for h in HEADERS])
+
+
+# accounts again in other ledgers, linked ones of two ledgers, and transfers across them
+CROSS_SQL = """WITH c AS (SELECT c_custkey AS k, c_nationkey % 5 + 1 AS ledger FROM customer), o AS (SELECT o_orderkey AS k, o_custkey AS dr, (o_custkey + 1) % (SELECT max(c_custkey) + 1 FROM customer) AS cr FROM orders),
+t AS (SELECT o.*, a.ledger AS la, b.ledger AS lb, a.ledger + (o.k % 4 = 0)::INTEGER AS named FROM o LEFT JOIN c a ON a.k = o.dr LEFT JOIN c b ON b.k = o.cr)
+SELECT 0::BIGINT AS batch, k * 16 AS idx, CASE WHEN k = 0 THEN 'id_must_not_be_zero' ELSE 'created' END AS status FROM c
+UNION ALL SELECT 1, k * 16, CASE WHEN k = 0 THEN 'id_must_not_be_zero' WHEN k % 2 = 1 THEN 'exists_with_different_ledger' ELSE 'exists' END FROM c
+UNION ALL SELECT 2, k * 16, CASE WHEN k % 3 = 0 THEN 'linked_event_failed' ELSE 'created' END FROM c UNION ALL SELECT 2, k * 16 + 1, CASE WHEN k % 3 = 0 THEN 'code_must_not_be_zero' ELSE 'created' END FROM c
+UNION ALL SELECT 3, k * 16, CASE WHEN dr = 0 THEN 'debit_account_id_must_not_be_zero' WHEN cr = 0 THEN 'credit_account_id_must_not_be_zero' WHEN la IS NULL THEN 'debit_account_not_found' WHEN lb IS NULL THEN 'credit_account_not_found' WHEN la <> lb THEN 'accounts_must_have_the_same_ledger' WHEN named <> la THEN 'transfer_must_have_the_same_ledger_as_accounts' ELSE 'created' END FROM t"""
+STEP = 10**12
+
+
+def account(i, ledger, flags=0, code=1) -> dict:
+    return {"id": i, "ledger": ledger, "code": code, "flags": int(flags)}
+
+
+def opened(rows: DataFrame, batch: int, *made: dict) -> DataFrame:
+    """A batch of accounts for each row of rows (with key)."""
+    cell = lambda m, n: (m[n] if isinstance(m.get(n), Column) else F.lit(m.get(n, 0))).cast("long").alias(n)
+    names = ("id", "ledger", "code", "flags", "user_data_128", "user_data_64", "user_data_32", "timestamp", "reserved", "debits_pending", "debits_posted", "credits_pending", "credits_posted")
+    return recipes.request(rows.withColumn("records", F.array(*[F.struct(*[cell(m, n) for n in names]) for m in made])), batch, (batch + 1) * STEP, what="account")
+
+
+def sent(rows: DataFrame, batch: int, records: Column, time: int | None = None) -> DataFrame:
+    return recipes.request(rows.withColumn("records", records), batch, time or (batch + 1) * STEP)
+
+
+def log_of(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    for n in engine.NAMES:
+        if n not in out.columns:
+            out = out.withColumn(n, F.lit(None).cast("long"))
+    return out
+
+
+@query(CROSS_SQL)
+def q48_cross_ledger(spark, d):
+    c = mapping.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_nationkey") % 5 + 1).alias("l"))
+    k, ledger, top = F.col("key"), F.col("l"), c.agg(F.max("key")).first()[0] + 1
+    home = c.select(F.col("key").alias("dr"), F.col("l").alias("own"))
+    o = mapping.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("dr"), ((F.col("o_custkey") + 1) % top).alias("cr"))
+    o = o.join(home, "dr", "left").withColumn("named", F.coalesce("own", F.lit(1)) + (F.col("key") % 4 == 0).cast("long"))
+    log = log_of(
+        opened(c, 0, account(k, ledger)), opened(c, 1, account(k, ledger + k % 2)), opened(c, 2, account(10**7 + k * 2, ledger, 1), account(10**7 + k * 2 + 1, ledger % 5 + 1, code=(k % 3 != 0).cast("long"))),
+        sent(o, 3, recipes.single(F.col("key") + 1, recipes.move(F.col("dr"), F.col("cr"), 5, F.col("named")))),
+    )
+    return engine.execute(log).where("what = 'result'").select("batch", "idx", "status")
+
+
+# all posts and voids that came through once more: as they were, for all there is, with another amount, with user data
+RETRY_SQL = f"""WITH {E2_SQL} SELECT id, CASE id % 4 WHEN 0 THEN 'exists' WHEN 1 THEN CASE WHEN code = 3 AND amount = p_amount THEN 'exists' ELSE 'exists_with_different_amount' END
+  WHEN 2 THEN CASE WHEN code = 5 AND p_amount = 1 THEN 'exists' ELSE 'exists_with_different_amount' END ELSE 'exists_with_different_user_data_64' END AS status FROM done"""
+
+
+@query(RETRY_SQL)
+def q49_resolvers_once_more(spark, d):
+    t = mapping.two_phase_transfers(spark, d)
+    k, resolves = F.col("id") % 4, F.col("flags").isin(4, 8)
+    again = t.where(resolves).withColumn("timestamp", F.col("timestamp") + 10**17)
+    again = again.withColumn("amount", F.when(k == 1, -1).when(k == 2, F.col("amount") + 1).otherwise(F.col("amount"))).withColumn("user_data_64", F.col("user_data_64") + (k == 3).cast("long") * 1000)
+    both = t.withColumn("again", F.lit(False)).unionByName(again.withColumn("again", F.lit(True)))
+    return fast.two_phase(both).where("again and status like 'exists%'").select("id", "status")
+
+
+@query("SELECT i::INTEGER AS batch_index, 0::BIGINT AS n FROM range(4) t(i)")
+def q50_query_filter_invalid(spark, d):
+    bad = [QueryFilter(limit=0), QueryFilter(flags=2), QueryFilter(timestamp_min=9, timestamp_max=8), QueryFilter(timestamp_max=2**63)]
+    counts = reads.answer_all(transfers(spark, d), bad).groupBy("batch_index").count()
+    every = spark.range(len(bad)).select(F.col("id").cast("int").alias("batch_index"))
+    return every.join(counts, "batch_index", "left").select("batch_index", F.coalesce("count", F.lit(0)).alias("n"))
+
+
+@query(f"WITH {E2_SQL} SELECT p.id, p.amount FROM p JOIN done ON done.p_id = p.id WHERE done.code = 3")
+def q51_transfers_by_pending_status(spark, d):
+    done = phases(spark, d)[0]
+    ends = done.where("status = 'created' and kind in (2, 3)").select(F.col("p_id").alias("id"), F.col("kind").alias("status"))
+    return reads.with_status(mapping.two_phase_transfers(spark, d), ends, PendingStatus.POSTED).select("id", "amount")
+
+
+@query(f"WITH {E2_SQL} SELECT ledger, min(due)::BIGINT AS next_expiry, max(due)::BIGINT AS last_expiry FROM x GROUP BY ledger")
+def q52_next_expiry_by_ledger(spark, d):
+    return phases(spark, d)[1].groupBy("ledger").agg(F.min("due").alias("next_expiry"), F.max("due").alias("last_expiry"))
+
+
+def customers(spark, d) -> DataFrame:
+    """A row for each customer: key, and ledger, one of eight."""
+    return mapping.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 8 + 1).alias("own"))
+
+
+def key_() -> Column:
+    return F.col("key")
+
+
+def own_() -> Column:
+    """A customer's ledger."""
+    return F.col("own")
+
+
+LIMITED, OWED = AccountFlags.DEBITS_MUST_NOT_EXCEED_CREDITS, AccountFlags.CREDITS_MUST_NOT_EXCEED_DEBITS
+
+
+def a_(j: int) -> Column:
+    """A customer's j-th account."""
+    return key_() * 16 + j + 1
+
+
+def first_(batch: int) -> Column:
+    return (key_() * 8 + batch) * 16 + 1
+
+
+def outcome(spark, d, made: list[dict], seeds: list[dict], *batches: Callable[[int], Column], kinds: str = "result") -> DataFrame:
+    """What comes of a recipe for every customer: accounts, transfers that fill them, and the recipe's batches."""
+    rows = customers(spark, d)
+    parts = [opened(rows, 0, *made), *([sent(rows, 1, recipes.single(first_(1), *seeds))] if seeds else [])]
+    parts += [sent(rows, 2 + i, make(2 + i)) for i, make in enumerate(batches)]
+    out = engine.execute(log_of(*parts)).where(f"what = '{kinds}' and batch >= 2")
+    return out.select(F.expr("idx div 16").alias("k"), (F.col("idx") % 16).alias("pos"), "batch", "status") if kinds == "result" else out
+
+
+def chain_sql(fails: str, *length: int, batch: int = 2) -> str:
+    """fails: the place of the one that breaks the chain and its status, as a struct, or null."""
+    return f"SELECT k, pos, {batch}::BIGINT AS batch, CASE WHEN f IS NULL THEN 'created' WHEN f.at = pos THEN f.why ELSE 'linked_event_failed' END AS status FROM (SELECT c_custkey AS k, {fails} AS f FROM customer), range({length[0]}) p(pos)"
+
+
+def fault(at: int, why: str) -> str:
+    return "{'at': %d, 'why': '%s'}" % (at, why)
+
+
+@query(chain_sql(f"CASE WHEN 100 + c_custkey % 1000 > c_custkey % 3 * 500 THEN {fault(0, 'exceeds_credits')} WHEN 110 + c_custkey % 1000 > c_custkey % 3 * 500 THEN {fault(1, 'exceeds_credits')} END", 3))
+def q53_recipe_currency_exchange(spark, d):
+    far = own_() + 100
+    made = [account(a_(0), own_(), LIMITED), account(a_(1), far), account(a_(2), own_()), account(a_(3), far)]
+    seeds = [recipes.move(a_(2), a_(0), key_() % 3 * 500, own_())]
+    sold = 100 + key_() % 1000
+    return outcome(spark, d, made, seeds, lambda b: recipes.exchange(first_(b), (a_(0), a_(1)), (a_(2), a_(3)), sold, sold * 82, (own_(), far), 10))
+
+
+@query(chain_sql(f"CASE WHEN c_custkey % 100 < 50 THEN {fault(3, 'exceeds_credits')} END", 4))
+def q54_recipe_many_to_many(spark, d):
+    made = [*[account(a_(j), own_()) for j in range(4)], account(a_(4), own_(), LIMITED)]
+    return outcome(spark, d, made, [], lambda b: recipes.many_to_many(first_(b), [(a_(0), 1000), (a_(1), key_() % 100)], [(a_(2), 900), (a_(3), 150)], a_(4), own_()))
+
+
+GATHER_SQL = """WITH s AS (SELECT c_custkey AS k, c_custkey % 50 AS a, c_custkey % 70 AS b, c_custkey % 60 AS c FROM customer), t AS (SELECT k, least(100, a) AS a, least(100 - least(100, a), b) AS b, c FROM s), u AS (SELECT k, a, b, least(100 - a - b, c) AS c FROM t)
+SELECT k, pos, amount::BIGINT AS amount FROM (SELECT k, unnest([100, a, b, c, 100, 200 - a - b - c]) AS amount, unnest(range(6)) AS pos FROM u WHERE a + b + c >= 100)"""
+
+
+@query(GATHER_SQL)
+def q55_recipe_gather_by_balancing(spark, d):
+    made = [*[account(a_(j), own_(), LIMITED) for j in range(3)], account(a_(3), own_()), account(a_(4), own_()), account(a_(5), own_(), LIMITED), account(a_(6), own_())]
+    seeds = [recipes.move(a_(6), a_(j), key_() % n, own_()) for j, n in enumerate((50, 70, 60))]
+    out = outcome(spark, d, made, seeds, lambda b: recipes.gather(first_(b), [a_(0), a_(1), a_(2)], a_(3), 100, a_(4), a_(5), own_()), kinds="event")
+    key = F.col("transfer_key") - 1
+    return out.select(F.expr("(transfer_key - 1) div 128").alias("k"), (key % 16).alias("pos"), "amount")
+
+
+CLOSE_SQL = "SELECT c_custkey AS k, pos::BIGINT AS pos, b::BIGINT AS batch, s AS status FROM customer, (VALUES (0, 2, 'created'), (1, 2, 'created'), (0, 3, 'debit_account_already_closed'), (1, 3, 'credit_account_already_closed'), (0, 4, 'created'), (0, 5, 'exceeds_credits'), (1, 5, 'created')) v(pos, b, s)"
+
+
+@query(CLOSE_SQL)
+def q56_recipe_close_account(spark, d):
+    made = [account(a_(0), own_(), LIMITED), account(a_(1), own_())]
+    out_, in_ = recipes.move(a_(0), a_(1), 1, own_()), recipes.move(a_(1), a_(0), 1, own_())
+    steps = [lambda b: recipes.close_debit(first_(b), a_(0), a_(1), own_()), lambda b: recipes.single(first_(b), out_, in_), lambda b: recipes.single(first_(b), recipes.void(first_(2) + 1)), lambda b: recipes.single(first_(b), out_, in_)]
+    return outcome(spark, d, made, [recipes.move(a_(1), a_(0), key_() % 90, own_())], *steps)
+
+
+@query(chain_sql(f"CASE WHEN c_custkey % 600 < 300 THEN {fault(0, 'exceeds_credits')} END", 3))
+def q57_recipe_if_balance(spark, d):
+    made = [account(a_(0), own_(), LIMITED), account(a_(1), own_()), account(a_(2), own_())]
+    return outcome(spark, d, made, [recipes.move(a_(1), a_(0), key_() % 600, own_())], lambda b: recipes.if_balance(first_(b), a_(0), a_(1), 100, 300, a_(2), own_()))
+
+
+@query(chain_sql(f"CASE WHEN c_custkey % 300 < 123 THEN {fault(1, 'exceeds_debits')} END", 3))
+def q58_recipe_no_credit_balance(spark, d):
+    made = [account(a_(0), own_()), account(a_(1), own_()), account(a_(2), own_(), OWED)]
+    return outcome(spark, d, made, [recipes.move(a_(1), a_(0), key_() % 300, own_())], lambda b: recipes.no_credit_balance(first_(b), a_(0), a_(1), 123, a_(2), own_()))
+
+
+@query(chain_sql(f"CASE WHEN c_custkey % 300 + 100 > 250 THEN {fault(2, 'exceeds_debits')} END", 5))
+def q59_recipe_up_to_a_limit(spark, d):
+    made = [account(a_(0), own_()), account(a_(1), own_(), LIMITED), account(a_(2), own_(), OWED), account(a_(3), own_())]
+    return outcome(spark, d, made, [recipes.move(a_(0), a_(1), key_() % 300, own_())], lambda b: recipes.up_to(first_(b), a_(0), a_(1), 100, 250, a_(2), a_(3), own_()))
+
+
+@query("SELECT c_custkey AS user_data_128, (c_custkey % 500 + 50 - c_custkey % 500 // 10 - 5)::BIGINT AS net, 4::BIGINT AS n FROM customer")
+def q60_recipe_correcting_transfers(spark, d):
+    rows = customers(spark, d)
+    made = [account(a_(j), own_()) for j in range(3)]
+    amount = key_() % 500
+    paid = recipes.linked(first_(1), recipes.move(a_(0), a_(1), amount, own_(), user_data_128=key_()), recipes.move(a_(0), a_(2), 50, own_(), user_data_128=key_()))
+    back = recipes.linked(first_(2), recipes.move(a_(1), a_(0), F.floor(amount / 10), own_(), code=2, user_data_128=key_()), recipes.move(a_(2), a_(0), 5, own_(), code=2, user_data_128=key_()))
+    log = log_of(opened(rows, 0, *made), sent(rows, 1, paid), sent(rows, 2, back))
+    kept = log.where("what = 'transfer'").join(engine.execute(log).where("what = 'result' and status = 'created'").select("batch", "idx"), ["batch", "idx"], "left_semi")
+    return kept.groupBy("user_data_128").agg(F.sum(F.when(F.col("code") == 1, F.col("amount")).otherwise(-F.col("amount"))).alias("net"), F.count("*").alias("n"))
+
+
+RATE_SQL = """SELECT c_custkey AS k, pos, b::BIGINT AS batch, CASE WHEN b = 2 AND pos >= c_custkey % 12 THEN 'exceeds_credits' WHEN b = 3 AND pos >= greatest(0, c_custkey % 12 - 8) THEN 'exceeds_credits' WHEN b = 5 AND pos >= c_custkey % 12 THEN 'exceeds_credits' ELSE 'created' END AS status
+FROM customer, (SELECT 2 AS b, unnest(range(8)) AS pos UNION ALL SELECT 3, unnest(range(2)) UNION ALL SELECT 5, unnest(range(2)))"""
+
+
+@query(RATE_SQL)
+def q61_recipe_rate_limit(spark, d):
+    """So many requests a minute: pending transfers that expire give back what they took."""
+    rows = customers(spark, d)
+    made = [account(a_(0), own_(), LIMITED), account(a_(1), own_())]
+    ask = lambda n, b: recipes.single(first_(b), *[recipes.move(a_(0), a_(1), 1, own_(), TransferFlags.PENDING, timeout=60) for _ in range(n)])
+    start = 100 * STEP
+    tick = spark.createDataFrame([("tick", 4, 0, 0, start + 70 * 10**9)], "what string, batch long, idx long, size long, batch_time long")
+    log = log_of(
+        opened(rows, 0, *made), sent(rows, 1, recipes.single(first_(1), recipes.move(a_(1), a_(0), key_() % 12, own_()))), sent(rows, 2, ask(8, 2), start), sent(rows, 3, ask(2, 3), start + 5 * 10**9), tick, sent(rows, 5, ask(2, 5), start + 80 * 10**9),
+    )
+    out = engine.execute(log).where("what = 'result' and batch >= 2")
+    return out.select(F.expr("idx div 16").alias("k"), (F.col("idx") % 16).alias("pos"), "batch", "status")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balance history of an account that keeps it: validation, event log, filter, order, limit."""
     t = transfers(spark, sf_dir).withColumn("status", F.coalesce(fast.static_status(), F.lit("created")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from ..functions.types import U64_MAX, U128_MAX, Account, AccountFilterFlags, AccountFlags, QueryFilterFlags, Transfer, TransferFlags
+from ..functions.types import U64_MAX, U128_MAX, Account, AccountFilterFlags, AccountFlags, QueryFilterFlags, Transfer, TransferFlags, from_bytes
 from ..operators.reads import AccountFilter, QueryFilter
 
 WIDTHS = {"user_data_64": 64, "timestamp_min": 64, "timestamp_max": 64, "timestamp": 64, "user_data_32": 32, "timeout": 32, "ledger": 32, "limit": 32, "code": 16}
@@ -86,4 +86,20 @@ def parse_one(text: str) -> Statement:
     return Statement(words[0], arguments)
 
 
-__all__ = ["Statement", "StatementError", "parse", "number", "U64_MAX", "U128_MAX"]
+def shown(record, flags: type | None = None) -> str:
+    """A record or row as the console shows it: every value as text, flags by their names."""
+    values = record.asDict() if hasattr(record, "asDict") else vars(record)
+    lines = []
+    for name, value in values.items():
+        if name == "reserved":
+            continue
+        if name == "flags" and flags:
+            names = ",".join(f'"{f.name.lower()}"' for f in flags if value & f)
+            lines.append(f'  "flags": [{names}]')
+        else:
+            number = from_bytes(bytes(value)) if isinstance(value, (bytes, bytearray)) else value
+            lines.append(f'  "{name}": "{number}"')
+    return "{\n" + ",\n".join(lines) + "\n}"
+
+
+__all__ = ["shown", "Statement", "StatementError", "parse", "number", "U64_MAX", "U128_MAX"]

@@ -1,4 +1,4 @@
-"""Change data capture: messages, a resumable sink, and the ledger as a stream of requests."""
+"""Change data capture: messages and a resumable sink."""
 
 from __future__ import annotations
 
@@ -8,48 +8,58 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.types import EVENT_TYPES
+from ..functions.numbers import json_number
+from ..operators.reads import ChangeEventsFilter, change_events
+from ..plans.accept import BALANCES
 
-BALANCES = ("debits_pending", "debits_posted", "credits_pending", "credits_posted")
-#: JSON numbers up to this size survive every reader.
-PORTABLE = 2**53 - 1
+#: The message's fields of the transfer, and of either account besides its balances, by the columns of change_events().
+TRANSFER = ("id", "amount", "pending_id", "user_data_128", "user_data_64", "user_data_32", "timeout", "code", "flags", "timestamp")
+ACCOUNT = ("user_data_128", "user_data_64", "user_data_32", "code", "flags", "timestamp")
 
 
-def text(name: str) -> Column:
-    return F.col(name).cast("string")
+def body(changes: DataFrame) -> DataFrame:
+    """timestamp, headers and body of each change event, out of change_events().
 
+    The body is JSON without blanks; integers from 2 ** 53 on are strings, so that every reader can hold them. In the
+    headers numbers are text, and the timestamp is cut to seconds.
+    """
 
-def body(events: DataFrame, portable: bool = False) -> DataFrame:
-    """timestamp, headers and body (JSON) of each change event.
+    def item(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f'"{name}":'), value)
 
-    Integers are strings, so their JSON type never depends on their size; portable=True writes
-    those that every reader can hold as numbers.
-    """
-    kind = F.element_at(F.array(*map(F.lit, EVENT_TYPES)), F.col("kind") + 1)
-    account = lambda side, key: F.struct(text(key).alias("id"), *[text(f"{side}_{b}").alias(b) for b in BALANCES])
-    whole = F.struct(
-        text("timestamp").alias("timestamp"), kind.alias("type"), text("ledger").alias("ledger"),
-        F.struct(text("transfer_key").alias("id"), text("amount").alias("amount"), text("code").alias("code")).alias("transfer"),
-        account("dr", "debit_account_id").alias("debit_account"), account("cr", "credit_account_id").alias("credit_account"),
+    def group(*items: Column) -> Column:
+        return F.concat(F.lit("{"), F.concat_ws(",", *items), F.lit("}"))
+
+    n = lambda c: json_number(changes, c)
+    side = lambda s, key: group(item("id", n(key)), *[item(b, n(f"{s}_{b}")) for b in BALANCES], *[item(f, n(f"{key.removesuffix('_id')}_now_{f}")) for f in ACCOUNT])
+    whole = group(
+        item("timestamp", n("timestamp")), item("type", F.concat(F.lit('"'), "type", F.lit('"'))), item("ledger", n("ledger")),
+        item("transfer", group(*[item(f, n("amount" if f == "amount" else f"transfer_{f}")) for f in TRANSFER])),
+        item("debit_account", side("dr", "debit_account_id")), item("credit_account", side("cr", "credit_account_id")),
     )
-    json = F.to_json(whole)
-    if portable:
-        json = F.regexp_replace(json, r'"(0|-?[1-9][0-9]{0,14})"', "$1")
-    headers = F.create_map(F.lit("event_type"), kind, F.lit("ledger"), text("ledger"), F.lit("transfer_code"), text("code"))
-    return events.select("timestamp", headers.alias("headers"), json.alias("body"))
+    named = {"event_type": "type", "ledger": "ledger", "transfer_code": "transfer_code", "debit_account_code": "debit_account_now_code", "credit_account_code": "credit_account_now_code"}
+    pairs = [x for k, c in named.items() for x in (F.lit(k), F.col(c).cast("string"))]
+    headers = F.create_map(*pairs, F.lit("content_type"), F.lit("application/json"), F.lit("timestamp"), F.expr("timestamp div 1000000000").cast("string"))
+    return changes.select("timestamp", headers.alias("headers"), whole.alias("body"))
 
 
-def follow(spark: SparkSession, path: str, schema: str, publish: Callable[[DataFrame, int], None], checkpoint: str, after: int = 0, files_per_trigger: int | None = None, interval: str | None = None) -> StreamingQuery:
-    """Publish each new event of the log at path, at least once; progress is kept in checkpoint, after publishing.
+def follow(
+    spark: SparkSession, path: str, schema: str, publish: Callable[[DataFrame, int], None], checkpoint: str, transfers: Callable[[], DataFrame], accounts: Callable[[], DataFrame], after: int = 0, files_per_trigger: int | None = None, interval: str | None = None
+) -> StreamingQuery:
+    """Publish a message for each new event of the log at path, at least once; progress is kept in checkpoint, after publishing.
 
-    after skips events up to that timestamp; files_per_trigger and interval limit the rate. Without
-    an interval the stream ends when it has caught up.
+    transfers and accounts give the tables as they are when a batch comes, for what the log doesn't hold. after skips events up to
+    that timestamp; files_per_trigger and interval limit the rate. Without an interval the stream ends when it has caught up.
     """
+
+    def send(rows: DataFrame, number: int) -> None:
+        publish(body(change_events(rows, transfers(), accounts(), ChangeEventsFilter(limit=2**31 - 1), None)), number)
+
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     rows = reader.parquet(path).where(F.col("timestamp") > after)
-    writer = body(rows).writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish)
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(send)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 

@@ -1,19 +1,21 @@
 """Reads, plans, the kernel on Spark, storage and streams."""
 
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tallyframe.functions.types import AMOUNT_MAX, Account, Transfer, TransferFlags
+from tallyframe.functions.numbers import digits, json_number
+from tallyframe.functions.types import AMOUNT_MAX, Account, Transfer, TransferFlags, to_bytes
 from tallyframe.operators import engine, reads
 from tallyframe.operators.kernel import State
 from tallyframe.operators.reads import AccountFilter, QueryFilter
 from tallyframe.plans import fast
 from tallyframe.sources import mapping
 from tallyframe.sources.statement import StatementError, number, parse
-from tallyframe.sources.storage import Store
+from tallyframe.sources.storage import Store, disagreements, faults, merged
 from tallyframe.streaming import cdc
 from tallyframe.streaming.ledger import results
 
@@ -91,13 +93,34 @@ def test_store_publishes_whole_versions(spark, tmp_path):
     assert store.replay().first()["status"] == "created"
 
 
+def test_log_faults_and_merge(spark):
+    log = engine.requests(spark, [("account", 1000, [Account(id=i, ledger=1, code=1) for i in (1, 2)]), ("transfer", 2000, [Transfer(id=i) for i in range(1, 6)]), ("tick", 3000, []), ("transfer", 4000, [Transfer(id=9)])])
+    assert faults(log).count() == 0
+    gap, late, twice = log.where("not (batch = 1 and idx = 3)"), log.withColumn("batch_time", F.expr("if(batch = 3, 2500, batch_time)")), log.unionByName(log.where("batch = 0 and idx = 1"))
+    got = [[tuple(r) for r in faults(x).collect()] for x in (gap, late, twice)]
+    assert got == [[(1, "events are missing or repeated")], [(3, "time does not grow")], [(0, "events are missing or repeated")]]
+    copies = log.where("batch <> 0 and not (batch = 1 and idx > 2)"), log.where("batch <> 3"), log
+    assert sorted(map(tuple, merged(*copies).collect()), key=str) == sorted(map(tuple, log.select(*merged(*copies).columns).collect()), key=str)
+    other = log.withColumn("code", F.expr("if(batch = 1 and idx = 2, 7, code)"))
+    assert disagreements(*copies).count() == 0 and [r.batch for r in disagreements(log, other).collect()] == [1]
+
+
+def test_wide_numbers_have_their_digits(spark):
+    rnd = random.Random(1)
+    values = [0, 1, 2**53 - 1, 2**53, 10**19 - 1, 10**19, 2**64 - 1, 2**64, 2**127, 2**128 - 1, *[rnd.getrandbits(rnd.randint(1, 128)) for _ in range(300)]]
+    frame = spark.createDataFrame([(i, bytearray(to_bytes(v))) for i, v in enumerate(values)], "i int, v binary")
+    got = frame.select(digits(frame, "v").alias("d"), json_number(frame, "v").alias("j")).collect()
+    assert [r.d for r in got] == list(map(str, values)) and [r.j for r in got] == [str(v) if v < 2**53 else f'"{v}"' for v in values]
+
+
 def test_change_stream_resumes(spark, tmp_path):
-    log = fast.event_log(mapping.event_transfers(spark, D).withColumn("status", F.lit("created")))
+    t, a = mapping.event_transfers(spark, D), mapping.event_accounts(spark, D)
+    log = fast.event_log(t.withColumn("status", F.lit("created")))
     schema, seen = log.schema, []
     log.where("debit_account_id % 2 = 0").write.parquet(f"{tmp_path}/log")
     publish = lambda df, i: seen.extend(r.timestamp for r in df.select("timestamp").collect())
     for _ in range(2):
-        cdc.follow(spark, f"{tmp_path}/log", schema, publish, f"{tmp_path}/state").awaitTermination()
+        cdc.follow(spark, f"{tmp_path}/log", schema, publish, f"{tmp_path}/state", lambda: t, lambda: a).awaitTermination()
         log.where("debit_account_id % 2 = 1").write.mode("append").parquet(f"{tmp_path}/log")
         time.sleep(0.1)
     assert sorted(set(seen)) == sorted(r.timestamp for r in log.select("timestamp").collect())

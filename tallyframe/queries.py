@@ -452,7 +452,25 @@ def q45_latency_percentiles(spark, d):
 # an order-free log, which the engine runs as a plan
 @query(f"WITH {E_SQL}, {LEGS_SQL.format(t='e')}, {RUN_SQL} SELECT id AS transfer_key, amount, a.d::BIGINT AS dr_debits_posted, a.c::BIGINT AS dr_credits_posted, b.d::BIGINT AS cr_debits_posted, b.c::BIGINT AS cr_credits_posted FROM e JOIN r a ON a.account_id = debit_account_id AND a.timestamp = e.timestamp JOIN r b ON b.account_id = credit_account_id AND b.timestamp = e.timestamp")
 def q46_kernel_order_free(spark, d):
-    return kernel(spark, d).where("what = 'event'").select("transfer_key", "amount", "dr_debits_posted", "dr_credits_posted", "cr_debits_posted", "cr_credits_posted")
+    log = one_request(mapping.event_accounts(spark, d), mapping.event_transfers(spark, d))
+    return engine.execute(log).where("what = 'event'").select("transfer_key", "amount", "dr_debits_posted", "dr_credits_posted", "cr_debits_posted", "cr_credits_posted")
+
+
+def one_request(accounts: DataFrame, moved: DataFrame) -> DataFrame:
+    """A log of two requests: accounts, then transfers. Places in the requests are ids and times, with gaps, so nothing is sorted to number them."""
+    unstamped = lambda names: [F.lit(0).cast("long").alias(c) if c == "timestamp" else c for c in names]
+    part = lambda df, what, n, idx, size, time, names: df.select(F.lit(what).alias("what"), F.lit(n).cast("long").alias("batch"), F.col(idx).alias("idx"), F.lit(size).alias("size"), F.lit(time).alias("batch_time"), *unstamped(names))
+    a = part(accounts, "account", 0, "id", 10**14, 10**15, mapping.ACCOUNT)
+    return a.unionByName(part(moved, "transfer", 1, "timestamp", 2 * 10**18, 4 * 10**18, mapping.TRANSFER), allowMissingColumns=True)
+
+
+@query(f"WITH {L_SQL} SELECT debit_account_id, count(*)::BIGINT AS n, sum(amount)::BIGINT AS debits_posted FROM l GROUP BY debit_account_id")
+def q62_accepted_lines(spark, d):
+    """All lines as transfers through every rule; of each customer the number that came through and the balance after the last."""
+    suppliers = mapping.table(spark, d, "supplier").select((F.col("s_suppkey") + 3_000_000).alias("id"), F.lit(1).alias("ledger"), F.lit(30).alias("code"))
+    accounts = mapping.order_accounts(spark, d).unionByName(mapping.accounts(suppliers))
+    done = engine.execute(one_request(accounts, mapping.line_transfers(spark, d))).where("what = 'event'")
+    return done.groupBy("debit_account_id").agg(F.count("*").alias("n"), F.max("dr_debits_posted").alias("debits_posted"))
 
 
 HEADERS = ("event_type", "ledger", "transfer_code", "debit_account_code", "credit_account_code", "content_type", "timestamp")

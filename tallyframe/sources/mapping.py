@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ZERO = ("pending_id", "user_data_128", "user_data_64", "user_data_32", "timeout", "flags")
+TRANSFER = ("id", "debit_account_id", "credit_account_id", "amount", "pending_id", "user_data_128", "user_data_64", "user_data_32", "timeout", "ledger", "code", "flags", "timestamp")
+ACCOUNT = ("id", "debits_pending", "debits_posted", "credits_pending", "credits_posted", "user_data_128", "user_data_64", "user_data_32", "reserved", "ledger", "code", "flags", "timestamp")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,8 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def full(df: DataFrame) -> DataFrame:
     """The columns of a transfer, zero where df has none."""
-    order = ["id", "debit_account_id", "credit_account_id", "amount", "pending_id", "user_data_128", "user_data_64", "user_data_32", "timeout", "ledger", "code", "flags", "timestamp"]
-    return df.select(*[F.col(c).cast("long").alias(c) if c in df.columns else F.lit(0).cast("long").alias(c) for c in order])
+    return df.select(*[F.col(c).cast("long").alias(c) if c in df.columns else F.lit(0).cast("long").alias(c) for c in TRANSFER])
 
 
 def event_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +39,7 @@ def event_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accounts(df: DataFrame) -> DataFrame:
-    order = ["id", "debits_pending", "debits_posted", "credits_pending", "credits_posted", "user_data_128", "user_data_64", "user_data_32", "reserved", "ledger", "code", "flags", "timestamp"]
-    return df.select(*[F.col(c).cast("long").alias(c) if c in df.columns else F.lit(0).cast("long").alias(c) for c in order])
+    return df.select(*[F.col(c).cast("long").alias(c) if c in df.columns else F.lit(0).cast("long").alias(c) for c in ACCOUNT])
 
 
 def two_phase_transfers(spark: SparkSession, sf_dir: str, timeout: int = 86_400) -> DataFrame:

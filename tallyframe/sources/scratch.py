@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Paths of scratch tables, by the scopes that are open.
 _open: list[list[str]] = []
+#: The folder of sessions without spark.checkpoint.dir, which can't be set any more once a session runs.
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,8 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="scratch-"))
+        base = _own[0]
     return base.rstrip("/")
 
 

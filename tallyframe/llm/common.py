@@ -1,13 +1,11 @@
-"""What the training-data operators share: scratch tables, Arrow maps, worker caches."""
+"""What the training-data operators share: Arrow maps, worker caches, joins on hot keys."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,29 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    try:
-        base = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # noqa: BLE001  the setting has no default
-        base = None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again, which cuts its lineage.
-
-    The tables outlive lost executors. They are scratch: a job may delete the folder when it ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex[:12]}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: A key that more than one in so many rows have is hot; there are fewer hot keys than this.
 HOT = 10_000
 
@@ -102,10 +77,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4_00
         yield batch.slice(start, rows - start)
 
 
-def clean_text(df: DataFrame, text: str = "text"):
-    """A null text counts as an empty one."""
-    return F.coalesce(df[text], F.lit(""))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -37,8 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, map_arrow, materialize, worker_cache
-from .components import connected
+from ..plans.links import connected
+from ..sources.scratch import materialize
+from .common import join_counted, map_arrow, worker_cache
 
 #: Tokens of more documents than this are frequent.
 RARE = 32

@@ -1,4 +1,9 @@
-"""Line dedup: long lines that many documents share stay in one of them only."""
+"""Line dedup: long lines that many documents share stay in one of them only.
+
+Lines are exploded with their positions, normalised and hashed by Spark's own functions; of
+lines nothing but position and hash is written and shuffled. Documents per hash are counted, and lines over the threshold
+go back to their document as positions, which it is put together without.
+"""
 
 from __future__ import annotations
 
@@ -6,81 +11,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, map_arrow, materialize, slices
+from ..sources.scratch import materialize
+from .common import join_counted, map_arrow, slices
 
 BLANKS = " \t\n\x0b\x0c\r"
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
 
-def line_key(line: str, min_chars: int) -> bytes | None:
-    """16 bytes for a line that is long enough, else None: the line without blanks at its ends, A-Z in lower case."""
-    key = line.strip(BLANKS)
-    if len(key) < min_chars:
-        return None
-    key = key.lower() if key.isascii() else key.translate(LOWER)
-    return xxhash.xxh3_128_digest(key.encode())
 
+def line_key(line: Column) -> Column:
+    """The line without blanks at its ends, A-Z in lower case."""
+    return F.translate(F.btrim(line, F.lit(BLANKS)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-def keys_of(df: DataFrame, min_chars: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            docs, keys = [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t and d is not None:
-                    found = {line_key(x, min_chars) for x in t.split("\n") if len(x) >= min_chars}
-                    found.discard(None)
-                    docs += [d] * len(found)
-                    keys += found
-            halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))], ["id", "k0", "k1"])
 
-    return map_arrow(df, run, "id long, k0 long, k1 long")
+def keys_of(texts: DataFrame, min_chars: int) -> DataFrame:
+    """id, row (the hash of its text), pos and the two hashes k0, k1 of each line that is long enough."""
+    lines = texts.where("id is not null").select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= min_chars)
+    keyed = lines.select("id", "row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    return keyed.select("id", "row", "pos", F.xxhash64("key").alias("k0"), F.xxhash64("key", F.lit(1)).alias("k1"))
 
 
-def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df with text_col cut down, and n_lines and n_dropped (long).
+def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The rows of df with text_col cut down, and the columns counts (long): lines before, and lines dropped.
 
     A key of at least min_chars code points that at least min_docs documents hold (distinct
     doc_ids; a document counts once however often it repeats a line) loses all its lines, but
     for those in the largest doc_id that holds it. A null text is an empty one, of one line; a
     row without doc_id keeps all its lines and counts for none. Rows that repeat a doc_id are
-    parts of one document. Columns n_lines and n_dropped of df are replaced.
+    parts of one document. Columns of df that are named like the counts are replaced; others keep their values, whatever their names.
 
-    Only 24 bytes a distinct long line and document are shuffled to be counted. Lines that a
-    good part of all documents share are broadcast, so no task gets them all. The lines to
-    drop are gathered by document and meet the texts in one join on the doc_id.
+    Only 28 bytes a long line are shuffled to be counted. Lines that a
+    good part of all documents share are broadcast, so no task gets them all. The positions to
+    drop are gathered by row and meet the texts in one join.
     """
-    rest = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = materialize(keys_of(texts, min_chars).distinct(), "keys")
-    many = keys.groupBy("k0", "k1").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = join_counted(keys, materialize(many, "many"), ["k0", "k1"], "n", keys.count()).where("id < keeper")
-    lost = lost.groupBy("id").agg(F.collect_list(F.struct("k0", "k1")).alias("lost_"))
+    rest = [c for c in df.columns if c not in counts]
     names = {c: f"c{i}_" for i, c in enumerate(rest)}
-    inner = df.select(*[F.col(c).alias(names[c]) for c in rest], F.col(id_col).cast("long").alias("id"))
-    joined = inner.join(lost, "id", "left").drop("id")
     text_name = names[text_col]
+    text = F.coalesce(F.col(text_name).cast("string"), F.lit(""))
+    inner = df.select(*[F.col(c).alias(names[c]) for c in rest], F.col(id_col).cast("long").alias("id")).withColumn(text_name, text).withColumn("row", F.xxhash64(text_name))
+    keys = materialize(keys_of(inner.select("id", "row", F.col(text_name).alias("text")), min_chars), "keys")
+    held = keys.select("id", "k0", "k1").distinct()
+    many = materialize(held.groupBy("k0", "k1").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs), "many")
+    lost = join_counted(keys, many, ["k0", "k1"], "n", keys.count()).where("id < keeper")
+    lost = lost.groupBy("id", "row").agg(F.collect_set("pos").alias("lost_"))
+    joined = inner.join(lost, ["id", "row"], "left").drop("id", "row")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "lost_"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_name):
             at, gone = b.schema.get_field_index(text_name), b.schema.get_field_index("lost_")
-            texts, total, cut = [], [], []
-            for t, drop in zip(b.column(at).to_pylist(), b.column(gone).to_pylist(), strict=True):
-                lines = (t or "").split("\n")
-                total.append(len(lines))
-                if drop:
-                    lost = {x["k0"].to_bytes(8, "little", signed=True) + x["k1"].to_bytes(8, "little", signed=True) for x in drop}
-                    lines = [x for x in lines if len(x) < min_chars or line_key(x, min_chars) not in lost]
-                    t = "\n".join(lines)
-                cut.append(total[-1] - len(lines))
-                texts.append(t or "")
+            lists, texts, total, cut = b.column(gone), b.column(at).to_pylist(), [], []
+            for i, t in enumerate(texts):
+                total.append(t.count("\n") + 1)
+                if lists[i].is_valid:
+                    lines, keep = t.split("\n"), np.ones(total[-1], bool)
+                    keep[lists[i].values.to_numpy()] = False
+                    texts[i] = "\n".join([x for x, k in zip(lines, keep.tolist(), strict=True) if k])
+                    cut.append(total[-1] - int(keep.sum()))
+                else:
+                    cut.append(0)
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns) if i != gone]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(cut, pa.int64())], [*[n for i, n in enumerate(b.schema.names) if i != gone], "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(cut, pa.int64())], [*[n for i, n in enumerate(b.schema.names) if i != gone], "total_", "cut_"])
 
-    out = map_arrow(joined, run, ", ".join([*fields, "n_lines long", "n_dropped long"]))
-    return out.select(*[F.col(names[c]).alias(c) for c in rest], "n_lines", "n_dropped")
+    out = map_arrow(joined, run, ", ".join([*fields, "total_ long", "cut_ long"]))
+    return out.select(*[F.col(names[c]).alias(c) for c in rest], F.col("total_").alias(counts[0]), F.col("cut_").alias(counts[1]))

@@ -9,9 +9,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .common import map_arrow, slices, worker_cache
 
 WORD = re.compile(r"\w+|[^\w\s]+")
@@ -24,6 +25,8 @@ class Settings:
     bits: int = 18
     #: The model is fitted on so many labelled documents at most: those whose ids have the smallest hashes.
     sample: int = 6_000
+    #: So many bytes of features come to the driver at most: further documents of the sample are left out, none is cut.
+    sample_bytes: int = 64 << 20
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -55,13 +58,19 @@ def features(text: str, bits: int) -> np.ndarray:
     return (np.concatenate((ids, pairs, again)) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def fit_leader(examples: list[tuple[np.ndarray, int]], s: Settings) -> np.ndarray:
-    """Weights by follow-the-regularised-leader (proximal, a rate for each coordinate); the last one is the bias."""
+def counted(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features and how often each occurs."""
+    at, count = np.unique(features(text, bits), return_counts=True)
+    return at.astype("<u4"), count.astype("<u4")
+
+
+def fit_leader(examples: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> np.ndarray:
+    """Weights by follow-the-regularised-leader (proximal, a rate for each coordinate) from (features, counts, label); the last one is the bias."""
     size = (1 << s.bits) + 1
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
     packed = []
-    for ids, y in examples:
-        at, count = np.unique(ids, return_counts=True)
+    for at, count, y in examples:
+        count = count.astype(np.int64)
         x = np.append(count / np.sqrt(max(1.0, float((count * count).sum()))), 1.0)
         packed.append((np.append(at.astype(np.int64), size - 1), x, y))
     for _ in range(s.epochs):
@@ -85,8 +94,9 @@ def learnable(id_col: str = "doc_id"):
 def train_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights learned from labelled documents that learnable() allows.
 
-    Rows without an id or label teach nothing; an id with several labels has the lowest. At
-    most settings.sample documents are taken, by the hashes of their ids. That bound is what
+    Rows without an id or label teach nothing; an id with several labels has the lowest, and of an id's
+    several texts one is taken. At most settings.sample documents are taken, by the hashes of their ids, and of these, in the same
+    order, as many as settings.sample_bytes hold the features of. These bounds are what
     lets their ids be broadcast and their features come to the driver. Without any examples
     all weights are 0, and every score is a half.
     """
@@ -98,21 +108,24 @@ def train_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            ids = [features(t, bits).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary())], ["id", "y", "features"])
+            found = [b"".join(x.tobytes() for x in counted(t, bits)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], ["id", "y", "features"])
 
-    rows = map_arrow(picked, run, "id long, y int, features binary").collect()
-    rows = sorted(rows, key=lambda r: (xxhash.xxh3_64_intdigest(str(r.id).encode()), r.features))
-    return fit_leader([(np.frombuffer(r.features, np.uint32), int(r.y > 0)) for r in rows], settings)
+    rows = map_arrow(picked, run, "id long, y int, features binary").groupBy("id").agg(F.min(F.struct(F.xxhash64("features").alias("h"), "features", "y")).alias("r"))
+    # settings.sample rows at most
+    held = F.sum(F.length("r.features")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = materialize(rows.withColumn("held", held).where(F.col("held") <= settings.sample_bytes).select("id", "r.y", "r.features"), "sample").collect()
+    rows = sorted(rows, key=lambda r: xxhash.xxh3_64_intdigest(str(r.id).encode()))
+    return fit_leader([(*np.frombuffer(r.features, "<u4").reshape(2, -1), int(r.y > 0)) for r in rows], settings)
 
 
-def score_quality(df: DataFrame, weights: np.ndarray, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
-    """The rows of df with score (double, 0 to 1) and predicted (int, 1 from a half); such columns of df are replaced.
+def score_quality(df: DataFrame, weights: np.ndarray, settings: Settings = Settings(), text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The rows of df with the columns names: a score (double, 0 to 1) and a prediction (int, 1 from a half); such columns of df are replaced.
 
     A null text is an empty one; its score comes from the bias alone. Nothing is shuffled.
     """
     bits, w = settings.bits, weights.astype(np.float32)
-    df = df.drop("score", "predicted")
+    df = df.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
@@ -126,6 +139,6 @@ def score_quality(df: DataFrame, weights: np.ndarray, settings: Settings = Setti
                         count = np.unique(ids, return_counts=True)[1].astype(np.float64)
                         v += float(found.sum(dtype=np.float64)) / float(np.sqrt((count * count).sum()))
                 scores.append(1 / (1 + float(np.exp(-np.clip(v, -35, 35)))))
-            yield b.append_column("score", pa.array(scores, pa.float64())).append_column("predicted", pa.array([int(s >= 0.5) for s in scores], pa.int32()))
+            yield b.append_column(names[0], pa.array(scores, pa.float64())).append_column(names[1], pa.array([int(s >= 0.5) for s in scores], pa.int32()))
 
-    return map_arrow(df, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["score double", "predicted int"]))
+    return map_arrow(df, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{names[0]}` double", f"`{names[1]}` int"]))

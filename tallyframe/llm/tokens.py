@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .bpe import Vocabulary
 from .common import map_arrow, slices
 
@@ -166,22 +167,23 @@ def cut(df: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, i
     return map_arrow(texts_of(df, id_col, text_col), run, PIECE)
 
 
-def pack(df: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, group_rows: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, group_pieces: int = 32_768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with their place: sequence_id and offset.
 
-    Pieces are dealt by a hash into groups, whatever their document, one for each group_rows
-    documents or so, and each group is packed on its own. With 16 groups (check_l) sequences
-    were 3 in 10,000 more than the token count alone needs.
+    Pieces are written to the shared folder, so that no text is encoded twice, and dealt by a hash of their place there into groups, one
+    for each group_pieces or so: few long documents, and rows that repeat one or have no id, spread like others. Each group is packed on its own. With 16 groups
+    (check_l) sequences were 3 in 10,000 more than the token count alone needs.
     """
-    groups = max(1, round(df.select(F.col(id_col)).count() / group_rows))
-    pieces = cut(df, vocabulary, capacity, end_id, id_col, text_col)
+    pieces = materialize(cut(df, vocabulary, capacity, end_id, id_col, text_col), "pieces")
+    groups = max(1, round(pieces.count() / group_pieces))
 
     def run(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
+        order = pa.compute.sort_indices(table, sort_keys=[(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")])
+        table = table.take(order).drop_columns(["group"])  # of whatever order rows come in, the same places
         places = best_fit(table.column("length").to_pylist(), capacity)
-        table = table.drop_columns(["group"])
         table = table.append_column("sequence_id", pa.array([group << 32 | b for b, _ in places], pa.int64()))
         return table.append_column("offset", pa.array([o for _, o in places], pa.int64()))
 
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).alias("group")
+    key = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("group")
     return pieces.select("*", key).groupBy("group").applyInArrow(run, PIECE + ", sequence_id long, offset long")

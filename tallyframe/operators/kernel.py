@@ -6,16 +6,26 @@ old values; ids of transfers that failed for a passing reason stay taken.
 
 from __future__ import annotations
 
-import bisect
+import heapq
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
+from types import SimpleNamespace
 
-from ..functions.types import AMOUNT_MAX, NS, TRANSIENT, U63_MAX, U128_MAX, Account, AccountFlags, PendingStatus, Transfer, TransferFlags
+from ..functions.types import AMOUNT_MAX, BATCH_MAX, NS, TRANSIENT, U63_MAX, U128_MAX, Account, AccountFlags, PendingStatus, Transfer, TransferFlags
 
-A, T = AccountFlags, TransferFlags
+# plain numbers: enum members are slow to combine
+A, T = (SimpleNamespace(**{f.name: f.value for f in flags}) for flags in (AccountFlags, TransferFlags))
 SIDES = ("debits_pending", "debits_posted", "credits_pending", "credits_posted")
 
 
+def replace(record, **changes):
+    """A copy with other values."""
+    out = object.__new__(type(record))
+    out.__dict__.update(record.__dict__)
+    out.__dict__.update(changes)
+    return out
+
+
 @dataclass(frozen=True)
 class Event:
     """What a transfer or an expiry did: the type, and both accounts after it."""
@@ -50,7 +60,7 @@ class State:
     transfer_times: set[int] = field(default_factory=set)
     last_account: int = 0
     last_transfer: int = 0
-    due: list[tuple[int, int, int]] = field(default_factory=list)  # (expires_at, timestamp, id), sorted
+    due: list[tuple[int, int, int]] = field(default_factory=list)  # (expires_at, timestamp, id), a heap
 
     # --- batches
 
@@ -277,7 +287,7 @@ class State:
         if pending:
             self._set(log, self.pending, t.id, PendingStatus.PENDING)
             if t.timeout:
-                self._wait(log, kept, True)
+                heapq.heappush(self.due, (kept.expires_at(), at, t.id))
         return "created"
 
     def _book(self, log: list, t: Transfer, dr: Account, cr: Account, status: PendingStatus, p: Transfer | None, requested: int) -> None:
@@ -288,12 +298,6 @@ class State:
         self.events.append(Event(t.timestamp, status, t, p, t.amount, requested, dr, cr))
         log.append(lambda: self.events.pop())
 
-    def _wait(self, log: list, t: Transfer, add: bool) -> None:
-        entry = (t.expires_at(), t.timestamp, t.id)
-        enter, leave = lambda: bisect.insort(self.due, entry), lambda: self.due.remove(entry)
-        (enter if add else leave)()
-        log.append(leave if add else enter)
-
     def _resolve(self, t: Transfer, at: int, log: list) -> str:
         post, void = t.has(T.POST_PENDING_TRANSFER), t.has(T.VOID_PENDING_TRANSFER)
         if post and void or t.flags & (T.PENDING | T.BALANCING_DEBIT | T.BALANCING_CREDIT | T.CLOSING_DEBIT | T.CLOSING_CREDIT):
@@ -335,8 +339,6 @@ class State:
                 return "credit_account_already_closed"
         kept = replace(t, debit_account_id=dr.id, credit_account_id=cr.id, ledger=p.ledger, code=p.code, amount=amount, timeout=0, timestamp=at)
         kept = replace(kept, **{n: getattr(t, n) or getattr(p, n) for n in ("user_data_128", "user_data_64", "user_data_32")})
-        if p.timeout:
-            self._wait(log, p, False)
         dr, cr = self._released(p, dr, cr, reopen=void)
         if post:
             dr, cr = replace(dr, debits_posted=dr.debits_posted + amount), replace(cr, credits_posted=cr.credits_posted + amount)
@@ -371,21 +373,34 @@ class State:
     # --- time
 
     def next_expiry(self) -> int | None:
-        return self.due[0][0] if self.due else None
-
-    def pulse(self, timestamp: int, most: int = 8189) -> int:
+        return self.due[0][0] if self._waiting() else None
+
+    def _waiting(self) -> bool:
+        """Whether anything is still to expire. Entries of transfers that were resolved or taken back are dropped when they come up."""
+        while self.due:
+            expires, at, key = self.due[0]
+            t = self.transfers.get(key)
+            if t is not None and t.timestamp == at and self.pending.get(key) == PendingStatus.PENDING:
+                return True
+            heapq.heappop(self.due)
+        return False
+
+    def pulse(self, timestamp: int, most: int = BATCH_MAX) -> int:
         """Expire what is due, in order of expiry and then creation, most at a time; the number of expired transfers."""
         total = 0
-        while (n := min(most, bisect.bisect_right(self.due, (timestamp, U63_MAX, U128_MAX)))) > 0:
-            for i, (_, _, key) in enumerate(self.due[:n]):
+        while True:
+            keys = []
+            while len(keys) < most and self._waiting() and self.due[0][0] <= timestamp:
+                keys.append(heapq.heappop(self.due)[2])
+            for i, key in enumerate(keys):
                 p = self.transfers[key]
                 dr, cr = self._released(p, self.accounts[p.debit_account_id], self.accounts[p.credit_account_id], True)
                 self.accounts[dr.id], self.accounts[cr.id] = dr, cr
                 self.pending[key] = PendingStatus.EXPIRED
-                self.events.append(Event(timestamp - n + i + 1, PendingStatus.EXPIRED, None, p, p.amount, 0, dr, cr))
-            del self.due[:n]
-            total += n
-        return total
+                self.events.append(Event(timestamp - len(keys) + i + 1, PendingStatus.EXPIRED, None, p, p.amount, 0, dr, cr))
+            total += len(keys)
+            if len(keys) < most:
+                return total
 
     def integrity(self) -> list[str]:
         """What is wrong with the books, if anything."""

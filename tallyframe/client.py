@@ -89,20 +89,30 @@ class Ledger:
         """(timestamp, status) for each transfer, in order."""
         return self._create(batch, "create_transfers")
 
-    def create_many(self, batches: list[list]) -> list[list[tuple[int, str]]]:
+    def create_many(self, batches: list[list], operation: str | None = None) -> list[list[tuple[int, str]]]:
         """Several batches of one kind in a request: each its own, with timestamps that follow on."""
-        return [self.create_accounts(b) if b and isinstance(b[0], Account) else self.create_transfers(b) for b in batches]
-
-    def _create(self, batch: list, operation: str) -> list[tuple[int, str]]:
-        if len(batch) > BATCH_MAX:
+        if sum(map(len, batches)) > BATCH_MAX:
             raise ValueError(f"more than {BATCH_MAX} events")
-        if not batch:
-            return []
+        events = [e for b in batches for e in b]
+        if not events:
+            return [[] for _ in batches]
+        operation = operation or ("create_accounts" if isinstance(events[0], Account) else "create_transfers")
         self.expire()
         facts = self._facts()
-        now = max(self.clock(), facts["time"] + len(batch))
-        state = self._load(batch, facts)
-        return self._run(state, facts, now, lambda: getattr(state, operation)(batch, now))
+        now = max(self.clock(), facts["time"] + len(events))
+        state = self._load(events, facts)
+
+        def run() -> list[list[tuple[int, str]]]:
+            out, time = [], now - len(events)
+            for b in batches:
+                time += len(b)
+                out.append(getattr(state, operation)(b, time) if b else [])
+            return out
+
+        return self._run(state, facts, now, run)
+
+    def _create(self, batch: list, operation: str) -> list[tuple[int, str]]:
+        return self.create_many([batch], operation)[0]
 
     def expire(self) -> int:
         """Release the pending transfers that are due by now, a request's worth at a time; the number of them."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import time
 from dataclasses import dataclass, fields
@@ -176,3 +177,19 @@ def time_id() -> int:
     else:
         _last[1] += 1
     return _last[0] << 80 | _last[1] & (1 << 80) - 1
+
+
+def scattered(number: int, how: str, seed: int = 0) -> int:
+    """An id for a number under 2 ** 64 that gathered() leads back from: ascending, descending, from both ends, or with random bits around it."""
+    if how == "descending" or how == "both" and number % 2:
+        return U128_MAX - number - (how == "both")
+    if how == "random":
+        noise = int.from_bytes(hashlib.blake2b(f"{seed}:{number}".encode(), digest_size=8).digest(), "big")
+        return noise >> 32 << 96 | number << 32 | noise & 0xFFFFFFFF
+    return number
+
+
+def gathered(id_: int, how: str) -> int:
+    if how == "descending" or how == "both" and id_ % 2:
+        return U128_MAX - id_ - (how == "both")
+    return id_ >> 32 & U64_MAX if how == "random" else id_

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import fields
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.types import AMOUNT_MAX, BATCH_MAX, NS, U63_MAX, WIDE, Account, AccountFlags, PendingStatus, Transfer, TransferFlags, from_bytes, to_bytes
+from ..functions.types import AMOUNT_MAX, BATCH_MAX, EVENT_TYPES, NS, U63_MAX, WIDE, Account, AccountFlags, PendingStatus, Transfer, TransferFlags, from_bytes, to_bytes
 from ..plans import fast
 from ..plans.accept import BALANCES, accept, accept_accounts
 from ..plans.links import connected
@@ -267,3 +267,12 @@ def requests(spark, batches: list[tuple[str, int, list]], exact: bool = False) -
 def sparse(results: DataFrame) -> DataFrame:
     """Only what failed."""
     return results.where("what = 'result' and status <> 'created'").select("batch", "idx", "status")
+
+
+def observed(out: DataFrame, name: str = "requests") -> tuple[DataFrame, Observation]:
+    """The rows of execute(), and an observation that holds, once they have been computed, how many events came, failed and moved balances, by kind."""
+    seen = Observation(name)
+    result, event = F.col("what") == "result", F.col("what") == "event"
+    counted = lambda test, n: F.count(F.when(test, 1)).alias(n)
+    kinds = [counted(event & (F.col("kind") == i), n) for i, n in enumerate(EVENT_TYPES)]
+    return out.observe(seen, counted(result, "events"), counted(result & (F.col("status") == "created"), "created"), counted(result & (F.col("status") != "created"), "failed"), *kinds), seen

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.types import BATCH_MAX, Account, AccountFilterFlags, AccountFlags, PendingStatus, TransferFlags
+from .functions.types import BATCH_MAX, Account, AccountFilterFlags, AccountFlags, PendingStatus, Transfer, TransferFlags
 from .operators import engine, reads
 from .operators.reads import AccountFilter, ChangeEventsFilter, QueryFilter
 from .plans import fast, recipes
-from .sources import mapping
+from .sources import mapping, storage, wire
 from .streaming import cdc
 
 DR, CR, REV = AccountFilterFlags.DEBITS, AccountFilterFlags.CREDITS, AccountFilterFlags.REVERSED
@@ -697,6 +698,43 @@ def q61_recipe_rate_limit(spark, d):
     return out.select(F.expr("idx div 16").alias("k"), (F.col("idx") % 16).alias("pos"), "batch", "status")
 
 
+@query(f"WITH {E_SQL} SELECT id, debit_account_id, credit_account_id, amount, user_data_128, user_data_64, ledger, code, timestamp FROM e")
+def q63_wire_round_trip(spark, d):
+    """All transfers as the bytes of requests, read again."""
+    t = mapping.event_transfers(spark, d)
+
+    def run(batches):
+        for b in batches:
+            rows = [Transfer(**r) for r in b.to_pylist()]
+            parts = [b"".join(map(wire.to_record, rows[i : i + 3000])) for i in range(0, len(rows), 3000)]
+            if parts:
+                yield pa.RecordBatch.from_pydict({"body": pa.array([wire.joined(parts)], pa.binary())})
+
+    found = wire.decoded(t.mapInArrow(run, "body binary"), Transfer)
+    narrow = lambda n: F.conv(F.hex(F.substring(n, 9, 8)), 16, 10).cast("long").alias(n)
+    return found.select(*map(narrow, ("id", "debit_account_id", "credit_account_id", "amount", "user_data_128")), F.col("user_data_64").cast("long").alias("user_data_64"), "ledger", "code", "timestamp")
+
+
+@query("WITH b AS (SELECT o_orderkey // 10 AS batch, count(*) FILTER (o_orderkey % 1000 <> 3) AS n FROM orders GROUP BY 1) SELECT count(*)::BIGINT AS faults FROM b WHERE n BETWEEN 1 AND 9")
+def q64_log_faults(spark, d):
+    """A log of requests of ten, of which every hundredth lacks an event."""
+    o = mapping.table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).where("k % 1000 <> 3")
+    log = o.select(F.lit("transfer").alias("what"), F.expr("k div 10").alias("batch"), (F.col("k") % 10).alias("idx"), F.lit(10).cast("long").alias("size"), (F.expr("k div 10") * 100 + 100).alias("batch_time"))
+    return storage.faults(log).agg(F.count("*").alias("faults"))
+
+
+@query(f"WITH {E_SQL} SELECT count(*)::BIGINT AS transfers, (SELECT count(*)::BIGINT FROM e WHERE id % 5 = 0) AS repeated FROM e")
+def q65_merged_logs(spark, d):
+    """Two copies of a log, each with other requests missing, make a whole one; requests that differ are named."""
+    t = mapping.event_transfers(spark, d)
+    log = t.select(F.lit("transfer").alias("what"), F.col("id").alias("batch"), F.lit(0).cast("long").alias("idx"), F.lit(1).cast("long").alias("size"), (F.col("id") * 10).alias("batch_time"), "amount", "code")
+    one, two = log.where("batch % 3 <> 1"), log.where("batch % 3 <> 2")
+    other = log.withColumn("amount", F.expr("if(batch % 5 = 0, amount + 1, amount)"))
+    whole = storage.merged(one, two).agg(F.countDistinct("batch").alias("transfers"))
+    named = storage.disagreements(log, other).agg(F.count("*").alias("repeated"))
+    return whole.unionByName(named, allowMissingColumns=True).agg(F.max("transfers").alias("transfers"), F.max("repeated").alias("repeated"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balance history of an account that keeps it: validation, event log, filter, order, limit."""
     t = transfers(spark, sf_dir).withColumn("status", F.coalesce(fast.static_status(), F.lit("created")))

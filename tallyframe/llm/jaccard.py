@@ -14,7 +14,7 @@ So two linked documents share a signature: of the two prefixes, the one that end
 order is worth more than what is lost, and what remains of it lies in the other one as well.
 g follows the size class (powers of two) and a document also writes signatures for the
 neighbouring class if its partners may be there, so the number of signatures stays in
-proportion to the prefix. Documents of a class under 16 tokens use single tokens throughout.
+proportion to the prefix. A set of one token is linked with copies of itself only, and those are one document here already.
 
 Shared signatures make candidates; those that size and position rule out are dropped, the others
 are verified on the whole sets. Candidates are linked to one document for each signature first;
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.links import connected
@@ -45,8 +45,9 @@ from .common import join_counted, map_arrow, worker_cache
 RARE = 32
 #: Bytes of stored input for each block of texts.
 BLOCK_BYTES = 4 << 20
+#: Beyond 4 TB of stored input blocks grow.
+MOST_BLOCKS = 1 << 20
 PARITY = 16
-SMALL = 4  # size classes under 2 ** SMALL tokens use single tokens
 
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -138,18 +139,12 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, percent: int) -> list[tup
         return out
     rest = tokens[rare:]
     by_class = []
-    classes = classes_of(n, percent)
-    if min(classes) < SMALL:  # all of the small classes are one
-        classes = [0, *[c for c in classes if c >= SMALL]]
+    classes = classes_of(n, percent) if n > 1 else []
     for c in classes:
-        if c < SMALL:
-            marks = mixed(rest[: needed - rare] + np.uint64(1))
-            by_class += [(int(t), rare + i, 0) for i, t in enumerate(marks.tolist())]
-            continue
         g = groups_of(c)
         group = ((mixed(rest) >> np.uint64(40)) % np.uint64(g)).tolist()
         worth, members = rare, {}
-        salt = np.uint64(2 * c + 3) * P1
+        salt = np.uint64((2 * c + 3) * int(P1) & (1 << 64) - 1)
         for i, (t, j) in enumerate(zip(rest.tolist(), group, strict=True)):
             if worth >= needed:
                 break
@@ -171,7 +166,24 @@ def block_count(df: DataFrame) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:  # the planner doesn't know
         size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(16, min(1 << 20, size // BLOCK_BYTES))
+    return max(16, min(MOST_BLOCKS, size // BLOCK_BYTES))
+
+
+def labels(spark: SparkSession, n: int) -> DataFrame:
+    """For each number under n a label that a repartition by it into n parts puts into the part of that number: n rows, MOST_BLOCKS at most.
+
+    Numbers themselves would fall into the same parts here and there, and leave others empty.
+    """
+    tries = spark.range(32 * n).select(F.col("id").alias("label"), F.pmod(F.hash("id"), F.lit(n)).cast("long").alias("part"))
+    found = tries.groupBy("part").agg(F.min("label").alias("label"))
+    every = spark.range(n).select(F.col("id").alias("part"))
+    return every.join(found, "part", "left").select("part", F.coalesce("label", "part").alias("label"))
+
+
+def spread_out(df: DataFrame, part: Column, n: int, name: str) -> DataFrame:
+    """df in n partitions, one for each number that part gives, with the number's label."""
+    known = F.broadcast(materialize(labels(df.sparkSession, n), "labels"))
+    return df.withColumn("part", part.cast("long")).join(known, "part").drop("part").withColumnRenamed("label", name).repartition(n, name)
 
 
 def written(df: DataFrame, words: int, percent: int) -> DataFrame:
@@ -180,7 +192,7 @@ def written(df: DataFrame, words: int, percent: int) -> DataFrame:
     bits = np.uint64(min(64, 30 + blocks.bit_length()))
     cut = np.uint64(64) - bits
     # xxhash64 of the row's place would move rows on a retry; that of the id does not
-    dealt = df.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(blocks, "block")
+    dealt = spread_out(df, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)), blocks, "block")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[bytes, np.ndarray]] = {}
@@ -240,7 +252,8 @@ def written(df: DataFrame, words: int, percent: int) -> DataFrame:
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], COLUMNS)
 
     sent = map_arrow(dealt, send, "range long, block long, values binary")
-    back = map_arrow(sent.repartition(blocks, "range"), count, "block long, values binary, counts binary")
+    ranges = spread_out(sent, F.col("range"), blocks, "label").select("label", "block", "values")
+    back = map_arrow(ranges, count, "block long, values binary, counts binary")
     return materialize(dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(write, KINDS), "signatures")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,8 @@ class Journal:
     spark: SparkSession
     root: str
     schemas: dict[str, str]
+    _known: list[dict] | None = field(default=None, init=False, repr=False)
+    _last: int = field(default=0, init=False, repr=False)
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -43,14 +45,38 @@ class Journal:
             stream.close()
 
     def steps(self) -> list[dict]:
-        """The markers in force, in order: the last full step and those after it."""
-        found: list[dict] = []
-        for n in reversed(self._numbers()):
-            if m := self._marker(n):
-                found.append({**m, "step": n})
-                if m["full"]:
-                    break
-        return found[::-1]
+        """The markers in force, in order: the last full step and those after it.
+
+        The folder is listed once; after that only markers that may have come are looked for, so a batch costs the same however many there were.
+        """
+        if self._known is None:
+            found: list[dict] = []
+            numbers = self._numbers()
+            for n in reversed(numbers):
+                if m := self._marker(n):
+                    found.append({**m, "step": n})
+                    if m["full"]:
+                        break
+            self._known, self._last = found[::-1], found[0]["step"] if found else 0
+        n = self._last + 1
+        while self._there(n):
+            if m := self._marker(n):  # one without content may still be written, and is looked at again
+                self._known = [{**m, "step": n}] if m["full"] else [*self._known, {**m, "step": n}]
+                self._last = n
+            n += 1
+        return self._known
+
+    def _there(self, number: int) -> bool:
+        fs, p = self._fs(f"{self.root}/published/{number}")
+        return fs.exists(p)
+
+    def _free(self) -> int:
+        """The number after all markers, with content or without."""
+        self.steps()
+        n = self._last + 1
+        while self._there(n):
+            n += 1
+        return n
 
     def read(self, name: str, steps: list[dict] | None = None) -> DataFrame:
         """All published rows of a table, with the number of their step."""
@@ -61,7 +87,7 @@ class Journal:
 
     def publish(self, tables: dict[str, DataFrame], facts: dict, full: bool = False) -> int:
         """Write the rows of a step, then its marker."""
-        number = max(self._numbers(), default=0) + 1
+        number = self._free()
         folder = f"{number}-{uuid.uuid4().hex}"
         for name, df in tables.items():
             rows = df if full else df.withColumn("step", F.lit(number).cast("long"))

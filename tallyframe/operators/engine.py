@@ -227,7 +227,6 @@ def execute(events: DataFrame, exact: bool = False) -> DataFrame:
     """fold(), but as a plan where that gives the same: in a log, or in groups of its ledgers, without chains, limits, balancing, closing, imports, and timeouts that ticks release."""
     found = survey(events)
     events = placed(events)
-    ticks = events.where("what = 'tick'") if found["ticks"] else None
     hard = exact or found["all_there_is"] or (found["moved"] or 0) >= 2**62
     waits = found["ticks"] and found["timeouts"]
     if not hard:
@@ -236,10 +235,11 @@ def execute(events: DataFrame, exact: bool = False) -> DataFrame:
             knots = None
         if not found["ordered"] and not waits and knots is None:
             return plan(events)
+    events = materialize(events, "log")  # read several times from here on
+    ticks = events.where("what = 'tick'") if found["ticks"] else None
     rows = grouped(events, exact, found)
     if hard:
         return run_groups(rows, ticks, exact)
-    rows = materialize(rows, "groups")
     marked = rows.where(in_order(waits)).select("component")
     if knots is not None:
         t = rows.where("what = 'transfer'")

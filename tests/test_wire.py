@@ -2,6 +2,7 @@
 
 import asyncio
 import random
+import struct
 
 import pytest
 
@@ -9,6 +10,7 @@ from tallyframe.aio import AsyncLedger
 from tallyframe.client import Ledger
 from tallyframe.functions.types import NS, U64_MAX, U128_MAX, Account, AccountFlags, Transfer, from_bytes, gathered, scattered
 from tallyframe.operators import engine
+from tallyframe.operators.reads import AccountFilter, QueryFilter
 from tallyframe.sources import wire
 
 
@@ -78,3 +80,32 @@ def test_compaction_keeps_history(spark, tmp_path):
     ledger.create_transfers([Transfer(id=1, debit_account_id=1, credit_account_id=2, ledger=1, code=1), Transfer(id=2, debit_account_id=2, credit_account_id=3, ledger=1, code=1)])
     ledger.compact(events_from=2**62)
     assert [from_bytes(bytes(r.transfer_key)) for r in ledger.events().collect()] == [1]
+
+
+def test_requests_and_replies_as_bytes(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger", lambda: 1000 * NS)
+    accounts = [Account(id=2**100 + i, ledger=1, code=1, flags=int(AccountFlags.HISTORY)) for i in range(3)]
+    reply = wire.answer(ledger, "create_accounts", wire.joined([b"".join(map(wire.to_record, accounts[:2])), b"", wire.to_record(accounts[2]) + wire.to_record(accounts[0])]))
+    parts = wire.separated(reply, wire.RESULT)
+    assert [len(p) // 16 for p in parts] == [2, 0, 2]
+    assert [struct.unpack("<QII", p[i : i + 16])[1] for p in parts for i in range(0, len(p), 16)] == [2**32 - 1] * 3 + [21]
+    moved = [Transfer(id=i + 1, debit_account_id=2**100, credit_account_id=2**100 + 1 + i % 2, amount=2**90, ledger=1, code=1) for i in range(4)]
+    alone = wire.answer(ledger, "create_transfers_unbatched", b"".join(map(wire.to_record, moved)))
+    assert [struct.unpack("<QII", alone[i : i + 16])[1] for i in range(0, 64, 16)] == [2**32 - 1] * 4
+    wanted = b"".join(i.to_bytes(16, "little") for i in (2**100, 5, 2**100 + 1))
+    found = [[wire.from_record(Account, p[i : i + 128]) for i in range(0, len(p), 128)] for p in wire.separated(wire.answer(ledger, "lookup_accounts", wire.joined([wanted, b""], 16)))]
+    assert [(a.id, a.debits_posted, a.credits_posted) for a in found[0]] == [(2**100, 2**92, 0), (2**100 + 1, 0, 2**91)] and found[1] == []
+    f = AccountFilter(2**100, limit=3, flags=5)
+    assert wire.from_record(AccountFilter, wire.to_record(f)) == f
+    got = wire.answer(ledger, "get_account_transfers_unbatched", wire.to_record(f))
+    assert [wire.from_record(Transfer, got[i : i + 128]).id for i in range(0, len(got), 128)] == [4, 3, 2]
+    balances = wire.answer(ledger, "get_account_balances_unbatched", wire.to_record(f))
+    assert int.from_bytes(balances[16:32], "little") == 2**92 and len(balances) == 3 * 128
+    spoilt = bytearray(wire.to_record(f))
+    spoilt[60] = 1  # a reserved byte
+    assert wire.answer(ledger, "get_account_transfers_unbatched", bytes(spoilt)) == b""
+    q = wire.to_record(QueryFilter(ledger=1, code=1, limit=2))
+    assert len(q) == 64 and len(wire.answer(ledger, "query_transfers_unbatched", q)) == 256 == len(wire.separated(wire.answer(ledger, "query_accounts", wire.joined([q], 64)))[0])
+    for operation, body in (("nothing", b""), ("create_accounts_unbatched", b"x"), ("query_accounts_unbatched", q + q)):
+        with pytest.raises(ValueError):
+            wire.answer(ledger, operation, body)

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.types import BATCH_MAX, Account, AccountFilterFlags, AccountFlags, PendingStatus, Transfer, TransferFlags
+from .client import latest
+from .functions.types import BATCH_MAX, WIDE, Account, AccountFilterFlags, AccountFlags, PendingStatus, Transfer, TransferFlags
 from .operators import engine, reads
 from .operators.reads import AccountFilter, ChangeEventsFilter, QueryFilter
 from .plans import fast, recipes
@@ -735,6 +736,68 @@ def q65_merged_logs(spark, d):
     return whole.unionByName(named, allowMissingColumns=True).agg(F.max("transfers").alias("transfers"), F.max("repeated").alias("repeated"))
 
 
+@query(f"WITH {E2_SQL} SELECT timestamp, CASE code WHEN 2 THEN 'two_phase_pending' WHEN 3 THEN 'two_phase_posted' WHEN 5 THEN 'two_phase_voided' ELSE 'single_phase' END AS type, id AS transfer_id FROM e WHERE id % 4 <> 0")
+def q66_former_events(spark, d):
+    """Events of the older kind: without a type, and some with one side only, which are left out."""
+    t = mapping.two_phase_transfers(spark, d)
+    sides = mapping.event_transfers(spark, d).select("timestamp", F.when(F.col("id") % 4 == 0, 0).otherwise(F.col("debit_account_id")).alias("debit_account_id"), F.when(F.col("id") % 8 == 4, 0).otherwise(F.col("credit_account_id")).alias("credit_account_id"))
+    found = reads.former_events(sides, t)
+    return reads.change_events(found, t, mapping.event_accounts(spark, d), ChangeEventsFilter(limit=2**31 - 1), None).select("timestamp", "type", "transfer_id")
+
+
+@query("SELECT k, pos, CASE WHEN pos = 1 AND k % 200 > k % 100 THEN 'overflows_debits_posted' WHEN pos = 2 THEN CASE WHEN k % 200 <= k % 100 AND k % 200 + 60 > k % 100 OR k % 200 > k % 100 AND 60 > k % 100 THEN 'overflows_debits_posted' ELSE 'created' END ELSE 'created' END AS status FROM (SELECT c_custkey AS k FROM customer), (SELECT unnest(range(3)) AS pos)")
+def q67_overflows(spark, d):
+    """Balances near the largest number of 128 bits, in the exact profile: what is posted, and what is pending on top."""
+    rows = customers(spark, d)
+    made = opened(rows, 0, account(a_(0), own_()), account(a_(1), own_()))
+    k = key_()
+    sent_ = sent(rows, 1, recipes.single(first_(1), recipes.move(a_(0), a_(1), k % 100, own_()), recipes.move(a_(0), a_(1), k % 200, own_()), recipes.move(a_(0), a_(1), 60, own_(), TransferFlags.PENDING)))
+    log = log_of(made, sent_)
+    # 16 bytes of each wide number; the first amounts are counted down from the largest one
+    high = lambda c: F.unhex(F.concat(F.lit("0" * 16), F.lpad(F.hex(c), 16, "0")))
+    down = F.unhex(F.concat(F.lit("F" * 16), F.lpad(F.hex(-1 - F.col("amount")), 16, "0")))
+    wide = {n: F.when((F.col("what") == "transfer") & (F.col("pos") == 0), down).otherwise(high(F.col(n))) if n == "amount" else high(F.col(n)) for n in engine.NAMES if n in WIDE}
+    out = engine.execute(log.withColumns(wide), exact=True).where("what = 'result' and batch = 1")
+    return out.select(F.expr("idx div 16").alias("k"), (F.col("idx") % 16).alias("pos"), "status")
+
+
+@query("WITH n AS (SELECT o_orderkey + 1 AS id, o_orderkey // 40 AS batch, o_orderkey % 40 AS idx FROM orders) SELECT id, batch, idx, (10000000 + batch * 40 + idx + 1)::BIGINT AS timestamp, 'created' AS status FROM n")
+def q68_batches_follow_on(spark, d):
+    """Many small batches, as those of a request: each its own, with timestamps that follow on."""
+    o = mapping.table(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("id"), F.expr("o_orderkey div 40").alias("batch"), (F.col("o_orderkey") % 40).alias("idx"))
+    made = o.select(F.lit("account").alias("what"), "batch", "idx", F.lit(40).cast("long").alias("size"), (10_000_040 + F.col("batch") * 40).alias("batch_time"), "id", F.lit(1).cast("long").alias("ledger"), F.lit(1).cast("long").alias("code"))
+    zero = [n for n in engine.NAMES if n not in made.columns]
+    done = engine.execute(made.select("*", *[F.lit(0).cast("long").alias(n) for n in zero])).where("what = 'result'")
+    return o.join(done.select("batch", "idx", "timestamp", "status"), ["batch", "idx"])
+
+
+@query("SELECT l_orderkey AS id, max(l_linenumber)::BIGINT AS lines, arg_max(l_partkey, (l_linenumber, l_partkey))::BIGINT AS part FROM lineitem GROUP BY l_orderkey")
+def q69_newest_version(spark, d):
+    """Of the versions of a row the one of the last step."""
+    li = mapping.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("lines"), F.col("l_partkey").alias("part"), (F.col("l_linenumber").cast("long") * 10**9 + F.col("l_partkey")).alias("step"))
+    return latest(li)
+
+
+PULSE = 21_600 * 10**9
+PULSES_SQL = f"""WITH {E2_SQL}, b AS (SELECT min(timestamp) AS low, max(timestamp) AS high FROM e), g AS (SELECT x.id, x.due, p.timestamp AS made, low + ((x.due - low + {PULSE - 1}) // {PULSE}) * {PULSE} AS tick FROM x JOIN p USING (id), b),
+r AS (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY due, made) AS k, count(*) OVER (PARTITION BY tick) AS n FROM g) SELECT id AS transfer_key, (tick - n + k)::BIGINT AS timestamp FROM r"""
+
+
+@query(PULSES_SQL)
+def q70_pulses(spark, d):
+    """Pending transfers released by a pulse every six hours, with the times that the pulse gives them."""
+    t, accounts = mapping.two_phase_transfers(spark, d), mapping.event_accounts(spark, d)
+    low, high = t.agg(F.min("timestamp"), F.max("timestamp")).first()
+    zero = F.lit(0).cast("long").alias("timestamp")
+    a = accounts.select(F.lit("account").alias("what"), F.lit(0).cast("long").alias("batch"), F.col("id").alias("idx"), F.lit(10**14).alias("size"), F.lit(10**15).alias("batch_time"), *[zero if c == "timestamp" else c for c in mapping.ACCOUNT])
+    # a request for each transfer, at its time
+    one = F.lit(1).cast("long")
+    moved = t.select(F.lit("transfer").alias("what"), F.col("timestamp").alias("batch"), (one - 1).alias("idx"), one.alias("size"), F.col("timestamp").alias("batch_time"), *[zero if c == "timestamp" else c for c in mapping.TRANSFER])
+    times = spark.range(1, (high - low) // PULSE + 6).select(F.lit("tick").alias("what"), (low + F.col("id") * PULSE).alias("batch"), (one - 1).alias("idx"), (one - 1).alias("size"), (low + F.col("id") * PULSE).alias("batch_time"))
+    log = a.unionByName(moved, allowMissingColumns=True).unionByName(times, allowMissingColumns=True)
+    return engine.execute(log).where("what = 'event' and kind = 4").select("transfer_key", "timestamp")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balance history of an account that keeps it: validation, event log, filter, order, limit."""
     t = transfers(spark, sf_dir).withColumn("status", F.coalesce(fast.static_status(), F.lit("created")))

@@ -17,7 +17,7 @@ from tallyframe.sources import mapping
 from tallyframe.sources.statement import StatementError, number, parse
 from tallyframe.sources.storage import Store, disagreements, faults, merged
 from tallyframe.streaming import cdc
-from tallyframe.streaming.ledger import results
+from tallyframe.streaming.ledger import answers
 
 D = "/root/testdata/sf0.001"
 
@@ -127,16 +127,25 @@ def test_change_stream_resumes(spark, tmp_path):
 
 
 def test_request_stream_keeps_state(spark, tmp_path):
-    one = engine.requests(spark, [("account", 1000, [Account(id=i, ledger=1, code=1) for i in (1, 2)])])
-    two = engine.requests(spark, [("transfer", 2000, [Transfer(id=1, debit_account_id=1, credit_account_id=2, amount=3, ledger=1, code=1), Transfer(id=1)])])
-    shape = one.withColumn("component", F.lit(0)).schema
-    name = "stream_results"
-    for n, part in enumerate((one, two.withColumn("batch", F.lit(1).cast("long")))):
-        part.withColumn("component", F.lit(0)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        q = results(spark.readStream.schema(shape).parquet(f"{tmp_path}/in")).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").option("path", f"{tmp_path}/{name}").start()
-        q.awaitTermination()
-    got = [r.status for r in spark.read.parquet(f"{tmp_path}/{name}").orderBy("batch", "idx").collect()]
-    assert got == ["created", "created", "created", "exists_with_different_debit_account_id"]
+    moved = [Transfer(id=1, debit_account_id=1, credit_account_id=2, amount=3, ledger=1, code=1), Transfer(id=1), Transfer(id=2, debit_account_id=1, credit_account_id=2, amount=5, ledger=1, code=1, flags=2, timeout=1)]
+    log = [("account", 1000, [Account(id=i, ledger=1, code=1) for i in (1, 2)]), ("transfer", 2000, moved), ("tick", 10**10, []), ("transfer", 2 * 10**10, [Transfer(id=3, pending_id=2, amount=AMOUNT_MAX, flags=4), Transfer(id=1)])]
+    whole = engine.requests(spark, log).withColumn("component", F.lit(0))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for some in ("batch < 1", "batch = 1", "batch > 1"):
+            whole.where(some).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            q = answers(spark.readStream.schema(whole.schema).parquet(f"{tmp_path}/in")).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").option("path", f"{tmp_path}/out").start()
+            q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    got = sorted((r.batch, r.idx, r.timestamp, r.status) for r in out.where("what = 'result'").collect())
+    s = State()
+    want = [(0, i, *r) for i, r in enumerate(s.create_accounts(log[0][2], 1000))] + [(1, i, *r) for i, r in enumerate(s.create_transfers(moved, 2000))]
+    s.pulse(10**10)
+    want += [(3, i, *r) for i, r in enumerate(s.create_transfers(log[3][2], 2 * 10**10))]
+    assert got == want
+    assert sorted((r.timestamp, r.kind, r.transfer_key, r.dr_debits_pending) for r in out.where("what = 'event'").collect()) == [(e.timestamp, int(e.status), str((e.transfer or e.pending).id), str(e.debit.debits_pending)) for e in s.events]
 
 
 def test_statements():

@@ -91,7 +91,10 @@ class Journal:
         folder = f"{number}-{uuid.uuid4().hex}"
         for name, df in tables.items():
             rows = df if full else df.withColumn("step", F.lit(number).cast("long"))
-            rows.write.parquet(f"{self.root}/steps/{folder}/{name}")
+            writer = rows.write
+            if full and "id" in rows.columns:  # where most files don't hold the ids that are looked for
+                writer = writer.option("parquet.bloom.filter.enabled#id", "true")
+            writer.parquet(f"{self.root}/steps/{folder}/{name}")
         fs, marker = self._fs(f"{self.root}/published/{number}")
         stream = fs.create(marker, False)  # fails where another writer has been
         try:

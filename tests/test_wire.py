@@ -6,6 +6,7 @@ import struct
 
 import pytest
 
+from tallyframe.__main__ import main
 from tallyframe.aio import AsyncLedger
 from tallyframe.client import Ledger
 from tallyframe.functions.types import NS, U64_MAX, U128_MAX, Account, AccountFlags, Transfer, from_bytes, gathered, scattered
@@ -109,3 +110,12 @@ def test_requests_and_replies_as_bytes(spark, tmp_path):
     for operation, body in (("nothing", b""), ("create_accounts_unbatched", b"x"), ("query_accounts_unbatched", q + q)):
         with pytest.raises(ValueError):
             wire.answer(ledger, operation, body)
+
+
+def test_command_line(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
+    told = list(main(["repl", folder], spark, ["create_accounts id=1 code=1 ledger=1,\n", " id=2 code=1 ledger=1; lookup_accounts", " nothing=3; create_transfers id=1 debit_account_id=1 credit_account_id=2 amount=7 ledger=1 code=1;"]))
+    assert ['"status": "created"' in x for x in told] == [True, True, False, True] and told[2].startswith("Fail: ")
+    assert "transfers 1 1" in list(main(["inspect", folder], spark)) and list(main(["compact", folder], spark)) == ["step 3"]
+    assert all(x.endswith(" 0") for x in main(["check", folder], spark))
+    assert next(iter(main(["benchmark", f"{folder}2", "--accounts", "20", "--transfers", "50"], spark))).startswith("load accepted = ")

@@ -20,16 +20,26 @@ from .common import join_counted, map_arrow, slices
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def line_key(line: Column) -> Column:
-    """The line without blanks at its ends, A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(BLANKS)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def line_key(key: Column) -> tuple[Column, Column]:
+    """Two texts that are equal for two lines if and only if these are with A-Z in lower case.
+
+    Characters are put in lower case throughout, which is much cheaper than A-Z alone, and what isn't ASCII is
+    given once more as it is, with a blank for what lies between. That tells all lines apart but those with one of
+    the two characters that ASCII ones come from, the kelvin sign and the dotted I; these take the dear way.
+    """
+    odd = F.contains(key, F.lit("\u212a")) | F.contains(key, F.lit("\u0130"))
+    plain = F.octet_length(key) == F.length(key)
+    low = F.when(plain, F.lower(key)).when(odd, F.translate(key, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(key))
+    return low, F.when(plain, F.lit("")).otherwise(F.regexp_replace(key, r"[\x00-\x7f]+", " "))
 
 
 def keys_of(texts: DataFrame, min_chars: int) -> DataFrame:
     """id, row (the hash of its text), pos and the two hashes k0, k1 of each line that is long enough."""
     lines = texts.where("id is not null").select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= min_chars)
-    keyed = lines.select("id", "row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keyed.select("id", "row", "pos", F.xxhash64("key").alias("k0"), F.xxhash64("key", F.lit(1)).alias("k1"))
+    keyed = lines.select("id", "row", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.length("key") >= min_chars)
+    low, rest = line_key(F.col("key"))
+    keyed = keyed.select("id", "row", "pos", low.alias("low"), rest.alias("rest"))
+    return keyed.select("id", "row", "pos", F.xxhash64("low", "rest").alias("k0"), F.xxhash64("low", "rest", F.lit(1)).alias("k1"))
 
 
 def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:

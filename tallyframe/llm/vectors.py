@@ -1,92 +1,213 @@
-"""Searches over vectors: an exact one through M-trees, an approximate one through quantised tables."""
+"""Searches over vectors: an exact one through M-trees, an approximate one through quantised tables.
+
+Both deal rows by the nearest of some routing vectors into cells, and cells into blocks with an
+index each. A query first meets a block of its own cell. What it finds there is a bound: of the other cells it
+visits only those whose ball can hold something as good, and takes the bound along.
+"""
 
 from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .common import map_arrow
 
 PAGE = 256
 FAN = 16
+#: There are so many cells at most, whatever the data; their centres and balls go with each task.
+MOST_CELLS = 1024
 #: So many blocks of queries meet a block of candidates in a task.
-SHARE = 256
-MOST_TASKS = 50_000
+SHARE = 64
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id and vec (array of doubles) of the rows whose vectors hold finite numbers only, one at least."""
+    """vec_id and vec (array of doubles) of the rows whose vectors hold finite numbers only."""
     vec = F.col(vec_col).cast("array<double>")
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.coalesce(bad, F.lit(True)))
+    return df.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & ~F.coalesce(bad, F.lit(True)))
 
 
-def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+def matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of equal length: shorter ones are filled up with zeros, which changes no inner product."""
-    lists = vectors.combine_chunks()
+    lists = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = np.zeros((len(sizes), int(sizes.max())))
+    out = np.zeros((len(sizes), int(sizes.max()) if len(sizes) else 0))
     out[np.arange(out.shape[1]) < sizes[:, None]] = flat
     return out
 
 
-def in_blocks(df: DataFrame, rows: int, pack: Callable[[np.ndarray, np.ndarray], object], name: str, repeats: bool) -> tuple[DataFrame, int]:
-    """(block number, packed block) over all rows, about so many in each; and the number of blocks.
-
-    repeats: rows may repeat an id, and are dealt by their place as well. A place has to be the
-    same when a lost task is run again, so df is then read from a table, without a shuffle between.
+def fitted(v: np.ndarray, wide: int) -> np.ndarray:
+    """The rows cut or filled up to a width."""
+    return np.ascontiguousarray(v[:, :wide]) if v.shape[1] >= wide else np.pad(v, ((0, 0), (0, wide - v.shape[1])))
+
+
+class Cells:
+    """Routing vectors, and of each cell how far its rows lie from there, its longest row, and the numbers of its blocks."""
+
+    def __init__(self, sample: np.ndarray, cells: int, rounds: int = 4):
+        """Centres are means of a sample's rows, moved a few times."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            good = sample[np.isfinite((sample * sample).sum(1))] if len(sample) else sample
+        self.centres = good[np.linspace(0, len(good) - 1, min(cells, len(good))).astype(int)] if len(good) else np.zeros((1, max(1, sample.shape[1] if sample.ndim == 2 else 1)))
+        for _ in range(rounds if len(self.centres) > 1 else 0):
+            own = self.nearest(good)[0]
+            count = np.bincount(own, minlength=len(self.centres))
+            sums = np.zeros_like(self.centres)
+            np.add.at(sums, own, good)
+            self.centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], self.centres)
+        self.radius = self.longest = self.first = self.blocks = None
+
+    def nearest(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row its cell, the distance to the centre there (a little more, never less), and its length."""
+        wide = self.centres.shape[1]
+        x = fitted(v, wide)
+        with np.errstate(over="ignore", invalid="ignore"):
+            square = np.einsum("ij,ij->i", v, v)
+            gap = np.einsum("ij,ij->i", self.centres, self.centres) - 2.0 * (x @ self.centres.T)
+            own = np.where(np.isfinite(square), gap.argmin(1), 0)
+            least = square + gap[np.arange(len(v)), own]
+            far = np.sqrt(np.maximum(0.0, least)) + 1e-6 * (1.0 + np.sqrt(square))
+        return own, np.where(np.isfinite(far), far, np.inf), np.sqrt(square)
+
+    def most(self, v: np.ndarray) -> np.ndarray:
+        """The largest inner product that a row of each cell can have with each of the vectors."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+            ball = fitted(v, self.centres.shape[1]) @ self.centres.T + size * self.radius
+            out = np.minimum(ball, size * self.longest)
+            out = out + 1e-6 * (1.0 + np.abs(out)) + 1e-9 * size * self.longest
+        return np.where(np.isnan(out), np.inf, out)
+
+
+def dealt(base: DataFrame, block_rows: int, every: int) -> tuple[DataFrame, Cells, np.ndarray, np.ndarray]:
+    """(table of vec_id, vec, cell), its cells, and the rows and queries in each.
+
+    Routing vectors come from a sample of 16 rows a cell, those whose ids have the smallest hashes.
     """
-    blocks = max(1, -(-df.count() // rows))
-
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        blob = pickle.dumps(pack(ids[order], matrix(table.column("vec"))[order]), 5)
-        return pa.table({name: table.column(name).slice(0, 1), f"{name}_blob": pa.array([blob], pa.binary())})
-
-    place = [F.monotonically_increasing_id()] if repeats else []
-    key = F.pmod(F.xxhash64("vec_id", *place), F.lit(blocks)).alias(name)
-    return df.select("vec_id", "vec", key).groupBy(name).applyInArrow(run, f"{name} long, {name}_blob binary"), blocks
+    rows = base.count()
+    cells = min(MOST_CELLS, max(1, round(rows / block_rows)))
+    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(16 * cells).select("vec").toArrow()
+    routes = Cells(matrix(sample.column("vec")) if len(sample) else np.zeros((0, 1)), cells)
 
-
-def search(candidates: DataFrame, queries: DataFrame, k: int, build: Callable, find: Callable, score: str, block_rows: int, query_rows: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of every query.
-
-    Candidates are dealt into blocks, each of which builds its index once; every block of
-    queries meets every block of candidates, and sends on k rows a query, which are then ranked.
-    Blocks of queries, the smaller ones, are what is copied; an index only once for each SHARE
-    of them, so that the bytes of a task have a bound.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, far, size = routes.nearest(matrix(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int64()), pa.array(far, pa.float64()), pa.array(size, pa.float64())], ["vec_id", "vec", "cell", "far", "size"])
+
+    table = materialize(map_arrow(base.select("vec_id", "vec"), run, "vec_id long, vec array<double>, cell long, far double, size double"), "cells")
+    found = table.groupBy("cell").agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"), F.max("far").alias("far"), F.max("size").alias("size")).collect()
+    n = len(routes.centres)
+    counts, asked, routes.radius, routes.longest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    for r in found:
+        counts[r.cell], asked[r.cell], routes.radius[r.cell], routes.longest[r.cell] = r.n, r.q, r.far, r["size"] * (1 + 1e-12)
+    routes.blocks = -(-counts // block_rows)
+    routes.first = np.cumsum(routes.blocks) - routes.blocks
+    return table.select("vec_id", "vec", "cell"), routes, counts, asked
+
+
+def split(df: DataFrame, first: np.ndarray, parts: np.ndarray, name: str, place: bool) -> DataFrame:
+    """Rows with the number of their part of the cell, by a hash of the id, and of the place in the table, which is read as written."""
+    at = df.sparkSession.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(first, parts, strict=True)) if p], "cell long, first_ long, parts_ long")
+    hashed = F.xxhash64("vec_id", *([F.monotonically_increasing_id()] if place else []))
+    rows = df.withColumn("hash_", hashed).join(F.broadcast(at), "cell")  # MOST_CELLS rows at most
+    return rows.withColumn(name, F.col("first_") + F.pmod("hash_", "parts_")).drop("hash_", "first_", "parts_")
+
+
+def search(base: DataFrame, k: int, every: int, build: Callable, find: Callable, score: str, block_rows: int, query_rows: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of every query, a row whose id is divisible by every.
+
+    Each block builds its index once. Queries go in blocks of their own, each with what has been found
+    so far; a block of candidates meets SHARE of them in a task, and its index is copied for each SHARE, so that the
+    bytes of a task have a bound.
     """
-    indexes, blocks = in_blocks(candidates, block_rows, build, "block", True)
-    asked = queries.groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    packed, n = in_blocks(asked, query_rows, lambda ids, v: (ids, v), "asked", False)
-    shares = -(-n // SHARE)
-    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    parts = min(blocks * shares, MOST_TASKS)
-    left = packed.withColumn("share", F.expr(f"asked div {SHARE}")).withColumn("block", each(blocks)).repartition(parts, "block", "share")
-    right = indexes.withColumn("share", each(shares)).repartition(parts, "block", "share")
-    pairs = left.join(right, ["block", "share"])
+    table, cells, _, asked = dealt(base, block_rows, every)
     kind = pa.int64() if score == "long" else pa.float64()
 
-    def run(batches):
-        number, index = None, None
+    def index(rows: pa.Table) -> pa.Table:
+        ids = rows.column("vec_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        blob = pickle.dumps(build(ids[order], matrix(rows.column("vec"))[order]), 5)
+        return pa.table({"block": rows.column("block").slice(0, 1), "index": pa.array([blob], pa.binary())})
+
+    def pack(rows: pa.Table) -> pa.Table:
+        v = matrix(rows.column("vec"))
+        blob = pickle.dumps((rows.column("vec_id").to_numpy(), v, np.full(len(v), -np.inf)), 5)
+        home = int(rows.column("cell")[0].as_py())
+        number = int(rows.column("asked")[0].as_py())
+        block = int(cells.first[home] + number % cells.blocks[home])
+        return pa.table({"asked": [number], "block": [block], "share": [number // SHARE], "queries": pa.array([blob], pa.binary())})
+
+    indexes = materialize(split(table, cells.first, cells.blocks, "block", True).groupBy("block").applyInArrow(index, "block long, index binary"), "indexes")
+    parts = -(-asked // query_rows)
+    queries = table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vec", "cell")).alias("r")).select("vec_id", "r.*")
+    packed = split(queries, np.cumsum(parts) - parts, parts, "asked", False).groupBy("asked").applyInArrow(pack, "asked long, block long, share long, queries binary")
+    shares = -(-int(parts.sum()) // SHARE)
+
+    def meet(left: DataFrame, run: Callable, schema: str) -> DataFrame:
+        each = indexes.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, shares - 1)).cast("long"))))
+        each = each.join(left.select("block", "share").distinct(), ["block", "share"], "left_semi")
+        return left.groupBy("block", "share").cogroup(each.groupBy("block", "share")).applyInArrow(run, schema)
+
+    def begin(asking: pa.Table, held: pa.Table) -> pa.Table:
+        """Every query against a block of its own cell; it goes on with the last of its k best as its bound."""
+        own, out, found = pickle.loads(held.column("index")[0].as_py()), [], []
+        for blob in asking.column("queries"):
+            ids, v, bound = pickle.loads(blob.as_py())
+            q, x, s = find(own, ids, v, k, bound)
+            q, s = np.array(q, np.int64), np.array(s, object if score == "long" else np.float64)
+            at = {i: n for n, i in enumerate(ids.tolist())}
+            count = np.zeros(len(ids), np.int64)
+            least = np.full(len(ids), np.inf)
+            for i, y in zip(q.tolist(), s.tolist(), strict=True):
+                count[at[i]] += 1
+                least[at[i]] = min(least[at[i]], y)
+            out.append(pickle.dumps((ids, v, np.where(count >= k, least, -np.inf)), 5))
+            found.append(pickle.dumps((q.tolist(), x, s.tolist()), 5))
+        return pa.table({"block": asking.column("block"), "share": asking.column("share"), "queries": pa.array(out, pa.binary()), "found": pa.array(found, pa.binary())})
+
+    def rows_of(q: list, v: list, s: list) -> dict:
+        return {"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, kind)}
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0):
+                yield pa.RecordBatch.from_pydict(rows_of(*pickle.loads(blob.as_py())))
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each cell that can hold something as good, those queries of a block that it can."""
         for b in batches:
-            at, blobs, asked = (b.column(b.schema.get_field_index(c)) for c in ("block", "block_blob", "asked_blob"))
-            for i, block in enumerate(at.to_pylist()):
-                if block != number:
-                    number, index = block, pickle.loads(blobs[i].as_py())
-                ids, vectors = pickle.loads(asked[i].as_py())
-                q, v, s = find(index, ids, vectors, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, kind)], ["query_id", "vec_id", "score"])
-
-    found = map_arrow(pairs, run, f"query_id long, vec_id long, score {score}")
+            for block, share, blob in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                ids, v, bound = pickle.loads(blob.as_py())
+                open_ = (cells.most(v) >= bound[:, None]) & (cells.blocks > 0)
+                for c in np.flatnonzero(open_.any(0)).tolist():
+                    pick = open_[:, c]
+                    blocks = [n for n in range(int(cells.first[c]), int(cells.first[c] + cells.blocks[c])) if n != block.as_py()]
+                    if blocks:
+                        sent = pickle.dumps((ids[pick], v[pick], bound[pick]), 5)
+                        for n in blocks:
+                            yield pa.RecordBatch.from_pydict({"block": [n], "share": [share.as_py()], "queries": pa.array([sent], pa.binary())})
+
+    def end(asking: pa.Table, held: pa.Table) -> pa.Table:
+        own, q, v, s = pickle.loads(held.column("index")[0].as_py()), [], [], []
+        for blob in asking.column("queries"):
+            for all_, more in zip((q, v, s), find(own, *(x := pickle.loads(blob.as_py()))[:2], k, x[2]), strict=True):
+                all_ += more
+        return pa.table(rows_of(q, v, s))
+
+    shape = f"query_id long, vec_id long, score {score}"
+    started = materialize(meet(packed, begin, "block long, share long, queries binary, found binary"), "started")
+    found = map_arrow(started.select("found"), unpack, shape)
+    if int(cells.blocks.sum()) > 1:
+        visits = materialize(map_arrow(started.select("block", "share", "queries"), go_on, "block long, share long, queries binary"), "visits")
+        found = found.unionByName(meet(visits, end, shape))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -102,8 +223,10 @@ def widened(v: np.ndarray, norm2: float) -> np.ndarray:
 
 def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict:
     """An M-tree, loaded from the top: an inner page's entries are routing vectors with their covering radius, distance to the page's own vector and child page."""
-    norm2 = float(np.einsum("ij,ij->i", vectors, vectors).max())
-    points = widened(vectors, norm2)
+    with np.errstate(over="ignore"):
+        norm2 = float(np.einsum("ij,ij->i", vectors, vectors).max())
+    # lengths that overflow have no distances: every row then lies in one page after the other, without bounds
+    points = widened(vectors, norm2) if norm2 < 1e300 else np.zeros((len(vectors), 1))
     pages: list[dict] = []
     order: list[np.ndarray] = []  # rows, page by page
     placed = 0
@@ -139,63 +262,84 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict:
 
     grow(np.arange(len(ids)), None)
     rows = np.concatenate(order)
-    return {"ids": ids[rows], "vectors": vectors[rows], "norm2": norm2, "pages": pages}
+    return {"ids": ids[rows], "vectors": vectors[rows], "norm2": norm2, "pages": pages, "scored": 0}
+
 
+def scan_whole(tree: dict, q: int, row: np.ndarray, k: int, bound: float) -> list[tuple[int, int]]:
+    """(vec_id, score) of the k best of all rows, in Python's integers: for numbers whose sums floating point can't hold."""
+    scores = [(-sum(int(x) * int(y) for x, y in zip(v, row.tolist(), strict=True)), i) for v, i in zip(tree["vectors"].tolist(), tree["ids"].tolist(), strict=True) if i != q]
+    tree["scored"] += len(scores)
+    return [(i, -s) for s, i in heapq.nsmallest(k, scores) if -s >= bound]
 
-def search_tree(tree: dict, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
-    """Best first: pages wait in a queue by the least distance they can hold; stored distances to a page's vector rule out entries before theirs is computed.
 
-    Bounds are floating point and kept a little wide. Scores are whole numbers: floating point adds
-    them up exactly below 2 ** 53, and Python's integers do where a sum could come to more.
+def search_tree(tree: dict, ids: np.ndarray, vectors: np.ndarray, k: int, bounds: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Best first, for a block of queries at once: pages wait in a queue by the least distance that they can hold for any of the queries that still want them.
+
+    Distances to a page's own vector are stored with its entries and rule these out, for each query, before a distance or
+    product with them is computed; what is left of a page is computed for all its queries together.
+    bounds: the score that each query has k of already. Distances are floating point and their limits kept a little wide. Scores are
+    whole numbers, exact below 2 ** 53; where sums could come to more, all rows are scored in Python's integers.
     """
     pages, owner, data, norm2 = tree["pages"], tree["ids"], tree["vectors"], tree["norm2"]
-    wide = data.shape[1]
-    out_q, out_v, out_s = [], [], []
-    for q, raw in zip(ids.tolist(), vectors, strict=True):
-        row = np.zeros(wide)
-        row[: min(wide, len(raw))] = raw[:wide]
-        point = np.append(row, 0.0)
-        q2 = float(row @ row)
-        exact = norm2 < 2.0**52 and q2 < 2.0**52
-        best_s, best_v = np.zeros(0), np.zeros(0, np.int64)  # the best so far, in order
-        reach = np.inf
-        queue: list[tuple[float, int, float]] = [(0.0, 0, -1.0)]
-        while queue:
-            least, number, to_own = heapq.heappop(queue)
-            if least > reach:
-                break
-            page = pages[number]
-            near = np.abs(page["parent"] - to_own) if to_own >= 0 else None
-            if page["leaf"]:
-                rows = slice(page["first"], page["last"])
-                if near is not None and reach < np.inf:
-                    live = np.flatnonzero(near <= reach)
-                    if not len(live):
-                        continue
-                    if 4 * len(live) < len(near):
-                        rows = live + page["first"]
-                vs = owner[rows]
-                scores = data[rows] @ row if exact else np.array([sum(int(x) * int(y) for x, y in zip(v, row, strict=True)) for v in data[rows]], object)
-                kept = vs != q
-                if len(best_s) == k:
-                    kept &= scores >= best_s[-1]
-                if not kept.any():
-                    continue
-                best_s, best_v = np.concatenate((best_s, scores[kept])), np.concatenate((best_v, vs[kept]))
-                top = np.lexsort((best_v, -best_s))[:k]
-                best_s, best_v = best_s[top], best_v[top]
-                if len(best_s) == k:
-                    reach = np.sqrt(max(0.0, q2 + norm2 - 2.0 * float(best_s[-1]))) + 1e-6 * (1.0 + np.sqrt(q2 + norm2))
+    rows = fitted(vectors, data.shape[1])
+    with np.errstate(over="ignore"):
+        q2 = np.einsum("ij,ij->i", rows, rows)
+    exact = (q2 < 2.0**52) & (norm2 < 2.0**52)
+    best_s, best_v = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+    least = bounds.copy()  # what a row has to score to matter
+
+    def limit(at: np.ndarray) -> np.ndarray:
+        wide = np.sqrt(np.maximum(0.0, q2[at] + norm2 - 2.0 * np.maximum(least[at], -1e300))) + 1e-6 * (1.0 + np.sqrt(q2[at] + norm2))
+        return np.where(least[at] > -np.inf, wide, np.inf)
+
+    live = np.flatnonzero(exact)
+    reach = np.full(len(ids), np.inf)
+    reach[live] = limit(live)
+    points = np.hstack((rows, np.zeros((len(rows), 1))))
+    queue: list[tuple] = [(0.0, 0, live, np.zeros(len(live)), None)] if len(live) else []
+    while queue:
+        _, number, at, low, to_own = heapq.heappop(queue)
+        wanted = low <= reach[at]
+        if not wanted.any():
+            continue
+        at, page = at[wanted], pages[number]
+        near = np.abs(page["parent"][None] - to_own[wanted][:, None]) if to_own is not None else None
+        if page["leaf"]:
+            span = np.arange(page["first"], page["last"])
+            if near is not None:
+                alive = (near <= reach[at][:, None]).any(0)
+                if 2 * alive.sum() < len(span):  # else the whole page costs less than picking rows
+                    span = span[alive]
+            if not len(span):
                 continue
-            live = np.arange(len(page["child"])) if near is None else np.flatnonzero(near - page["radius"] <= reach)
-            if len(live):
-                d = np.sqrt(((page["route"][live] - point) ** 2).sum(1))
-                for j, x, low in zip(live.tolist(), d.tolist(), (d - page["radius"][live]).tolist(), strict=True):
-                    if low <= reach:
-                        heapq.heappush(queue, (max(0.0, low), page["child"][j], x))
-        out_q += [q] * len(best_v)
-        out_v += best_v.tolist()
-        out_s += [int(x) for x in best_s]
+            tree["scored"] += len(span) * len(at)
+            scores = rows[at] @ data[span].T
+            kept = (scores >= least[at][:, None]) & (owner[span][None] != ids[at][:, None])
+            for i in np.flatnonzero(kept.any(1)).tolist():
+                q, hit = at[i], kept[i]
+                s, v = np.concatenate((best_s[q], scores[i, hit])), np.concatenate((best_v[q], owner[span[hit]]))
+                top = np.lexsort((v, -s))[:k]
+                best_s[q], best_v[q] = s[top], v[top]
+                least[q] = max(least[q], best_s[q, -1])
+            reach[at] = limit(at)
+            continue
+        open_ = np.ones((len(at), len(page["child"])), bool) if near is None else near - page["radius"] <= reach[at][:, None]
+        for j in np.flatnonzero(open_.any(0)).tolist():
+            some = at[open_[:, j]]
+            d = np.sqrt(((points[some] - page["route"][j]) ** 2).sum(1))
+            low = np.maximum(0.0, d - page["radius"][j])
+            wanted = low <= reach[some]
+            if wanted.any():
+                heapq.heappush(queue, (float(low[wanted].min()), page["child"][j], some[wanted], low[wanted], d[wanted]))
+    out_q, out_v, out_s = [], [], []
+    for i, q in enumerate(ids.tolist()):
+        if exact[i]:
+            found = [(int(v), int(s)) for v, s in zip(best_v[i].tolist(), best_s[i].tolist(), strict=True) if s > -np.inf]
+        else:
+            found = scan_whole(tree, q, rows[i], k, float(bounds[i]))
+        out_q += [q] * len(found)
+        out_v += [v for v, _ in found]
+        out_s += [max(-(2**63), min(2**63 - 1, s)) for _, s in found]
     return out_q, out_v, out_s
 
 
@@ -203,12 +347,13 @@ def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, bl
     """query_id, rank, vec_id, score (long) for the rows whose id is divisible by every.
 
     Components become floor(scale * x); the score is the integer inner product, ties go to the
-    smaller vec_id. Null vectors, empty ones and those with null or non-finite components take
-    no part, nor do rows without an id. Shorter vectors count as filled up with zeros. All rows
+    smaller vec_id. Scores beyond 64 bits are given as the nearest number that fits, and tie there. Null vectors and those with null or non-finite components take
+    no part, nor do those that the scale makes infinite, or rows without an id. Shorter vectors count as filled up with zeros; one without components scores 0. All rows
     of a query's id are its own; of a query id's different vectors the smallest asks.
     """
-    base = usable(df, id_col, vec_col).select("vec_id", F.transform("vec", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("vec"))
-    return search(base, base.where(F.col("vec_id") % every == 0), k, build_tree, search_tree, "long", block_rows, query_rows)
+    scaled = F.transform("vec", lambda x: F.when(F.abs(x) < 2.0**52 / scale, F.floor(x * F.lit(float(scale))).cast("double")).otherwise(x * F.lit(float(scale))))
+    base = usable(df, id_col, vec_col).select("vec_id", scaled.alias("vec")).where(~F.exists("vec", lambda x: F.abs(x) == float("inf")))
+    return search(base, k, every, build_tree, search_tree, "long", block_rows, query_rows)
 
 
 # --- approximate: score-aware quantisation
@@ -302,9 +447,9 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rer
 
     Centres are fitted on a sample of rows, those whose ids have the smallest hashes; every row is
     coded, at four bits for two dimensions. A query's tables for pairs of codes are added up over the
-    codes of a block, and the best rerank rows of each block are scored exactly on the original vectors
-    in double precision, as is every other row that by the bound on its quantisation error can still
-    reach the k-th of these scores, so that none of the block's k best is lost. Null, empty and zero vectors, those with null or non-finite components and rows
+    codes of a block, and of the block that a query meets first the best rerank rows are scored exactly on the original vectors
+    in double precision, as is every other row, there and in the blocks that follow, that by the bound on its quantisation error can still
+    reach the k-th of these scores, so that none of the k best is lost. Null, empty and zero vectors, those with null or non-finite components and rows
     without an id take no part. Shorter vectors count as filled up with zeros. All rows of a query's id are its own.
     """
     base = usable(df, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
@@ -321,7 +466,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rer
         coded = books[np.arange(len(books)), codes].reshape(len(x), wide)
         return {"ids": ids, "vectors": vectors, "codes": np.ascontiguousarray((codes[:, 0::2] << 4 | codes[:, 1::2]).T), **angles(vectors, coded)}
 
-    def find(index: dict, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[list[int], list[int], list[float]]:
+    def find(index: dict, ids: np.ndarray, vectors: np.ndarray, k: int, bounds: np.ndarray) -> tuple[list[int], list[int], list[float]]:
         owner, own, codes = index["ids"], index["vectors"], index["codes"]
         n = min(wide, vectors.shape[1])
         size = np.linalg.norm(vectors, axis=1)
@@ -332,29 +477,32 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rer
         same = min(own.shape[1], vectors.shape[1])
         own = own[:, :same]
         out_q, out_v, out_s = [], [], []
-        for q, table, raw, long in zip(ids.tolist(), tables, vectors[:, :same], size.tolist(), strict=True):
+        for q, table, raw, long, bound in zip(ids.tolist(), tables, vectors[:, :same], size.tolist(), bounds.tolist(), strict=True):
             guess = np.zeros(len(owner), np.float32)
             for t, c in zip(table, codes, strict=True):
                 guess += t[c]
             mine = owner == q
             most = reach(index, guess, len(books)) * long
-            guess[mine] = -np.inf
+            open_ = ~((most < bound) | mine)
+            if bound > -np.inf and not open_.any():
+                continue
+            guess[~open_] = -np.inf
             take = leading(guess, rerank)
-            take = take[owner[take] != q]
+            take = take[open_[take]]
             exact = (own[take] * raw).sum(1)
-            if len(guess) > rerank:
-                least = -np.partition(-exact, k - 1)[k - 1] if len(exact) >= k else -np.inf
-                open_ = ~((most < least) | mine)
-                open_[take] = False
-                more = np.flatnonzero(open_)
-                if 8 * len(more) > len(guess):  # many: a product over the block, a little wide, rules out most
-                    more = more[~((own @ raw)[more] < least - 1e-9 * (abs(least) + long * index["norm"][more]))]
-                take = np.concatenate((take, more))
-                exact = np.concatenate((exact, (own[more] * raw).sum(1)))
+            least = max(bound, -np.partition(-exact, k - 1)[k - 1] if len(exact) >= k else -np.inf)
+            open_ &= ~(most < least)
+            open_[take] = False
+            more = np.flatnonzero(open_)
+            if 8 * len(more) > len(guess):  # many: a product over the block, a little wide, rules out most
+                more = more[~((own @ raw)[more] < least - 1e-9 * (abs(least) + long * index["norm"][more]))]
+            take = np.concatenate((take, more))
+            exact = np.concatenate((exact, (own[more] * raw).sum(1)))
             best = np.lexsort((owner[take], -exact))[:k]
+            best = best[exact[best] >= bound]
             out_q += [q] * len(best)
             out_v += owner[take[best]].tolist()
             out_s += exact[best].tolist()
         return out_q, out_v, out_s
 
-    return search(base, base.where(F.col("vec_id") % every == 0), k, build, find, "double", block_rows, query_rows)
+    return search(base, k, every, build, find, "double", block_rows, query_rows)

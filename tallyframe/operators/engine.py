@@ -23,6 +23,8 @@ OUT = (
     + ", ".join(f"{s}_{b} {{w}}" for s in ("dr", "cr") for b in BALANCES)
 )
 RESOLVES = T.POST_PENDING_TRANSFER | T.VOID_PENDING_TRANSFER
+#: In logs of more events than this an account's legs are summed up by stretches of time.
+MANY, SLICE_NS = 10_000_000, 3600 * NS
 #: Times of ticks are cut into so many stretches to find the one that follows a time.
 STRETCHES = 1024
 
@@ -106,7 +108,7 @@ def survey(events: DataFrame) -> dict:
     narrow = dict(events.dtypes)["amount"] == "bigint"
     some = lambda test: F.coalesce(F.max(test), F.lit(False))
     return events.agg(
-        some(F.col("what") == "tick").alias("ticks"), some(F.col("flags").bitwiseAND(1) != 0).alias("linked"), some(imported).alias("imported"),
+        F.count("*").alias("n"), some(F.col("what") == "tick").alias("ticks"), some(F.col("flags").bitwiseAND(1) != 0).alias("linked"), some(imported).alias("imported"),
         F.max(F.when(imported, F.col("batch"))).alias("last_import"), F.min(F.when(imported, F.col("timestamp"))).alias("first_time"),
         F.min(F.expr("nullif(ledger, 0)")).alias("least"), F.max("ledger").alias("most"), some(is_a("transfer", RESOLVES)).alias("resolves"), some(F.col("timeout") > 0).alias("timeouts"),
         some(in_order(False)).alias("ordered"), (some(moves & (F.col("amount") < 0)) if narrow else F.lit(True)).alias("all_there_is"),
@@ -212,13 +214,13 @@ def released(out: DataFrame, ticks: DataFrame) -> DataFrame:
     return out.where(~gone).unionByName(late.select(*out.columns))
 
 
-def plan(events: DataFrame) -> DataFrame:
-    """What fold() gives for a log in which nothing hangs on order, as a plan."""
+def plan(events: DataFrame, slice_ns: int | None = None) -> DataFrame:
+    """What fold() gives for a log in which nothing hangs on order, as a plan. slice_ns: see fast.running()."""
     accounts = accept_accounts(events.where("what = 'account'"))
     made = accounts.where("status = 'created'").select("id", "ledger", "at", "flags")
     moved = accept(events.where("what = 'transfer'"), made)
     answer = lambda rows: rows.select(F.lit("result").alias("what"), "batch", "idx", F.col("stamped").alias("timestamp"), "status")
-    log = fast.event_log(fast.as_kept(moved)).withColumns({"what": F.lit("event"), "idx": F.lit(None).cast("long"), "status": F.lit(None).cast("string")})
+    log = fast.event_log(fast.as_kept(moved), slice_ns=slice_ns).withColumns({"what": F.lit("event"), "idx": F.lit(None).cast("long"), "status": F.lit(None).cast("string")})
     both = answer(accounts).unionByName(answer(moved)).unionByName(log, allowMissingColumns=True)
     return both.select(*[F.col(n).cast(t) for n, t in (c.split() for c in OUT.format(w="long").split(", "))])
 
@@ -229,12 +231,13 @@ def execute(events: DataFrame, exact: bool = False) -> DataFrame:
     events = placed(events)
     hard = exact or found["all_there_is"] or (found["moved"] or 0) >= 2**62
     waits = found["ticks"] and found["timeouts"]
+    slices = SLICE_NS if found["n"] > MANY else None
     if not hard:
         knots = materialize(tangled(events.where("what = 'transfer'")), "tangled") if found["resolves"] else None
         if knots is not None and knots.isEmpty():
             knots = None
         if not found["ordered"] and not waits and knots is None:
-            return plan(events)
+            return plan(events, slices)
     events = materialize(events, "log")  # read several times from here on
     ticks = events.where("what = 'tick'") if found["ticks"] else None
     rows = grouped(events, exact, found)
@@ -247,7 +250,7 @@ def execute(events: DataFrame, exact: bool = False) -> DataFrame:
     marked = materialize(marked.distinct(), "ordered")
     rest = rows.join(marked, "component", "left_anti")
     ordered = run_groups(rows.join(marked, "component", "left_semi"), ticks, exact)
-    return ordered if rest.isEmpty() else ordered.unionByName(plan(rest))
+    return ordered if rest.isEmpty() else ordered.unionByName(plan(rest, slices))
 
 
 def requests(spark, batches: list[tuple[str, int, list]], exact: bool = False) -> DataFrame:

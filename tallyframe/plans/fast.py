@@ -77,24 +77,38 @@ def legs(resolved: DataFrame, expired: DataFrame | None = None) -> DataFrame:
     return in_legs(effects(resolved, expired)).drop("debit", "transfer_key")
 
 
-def running(legs_: DataFrame, *kept: str) -> DataFrame:
-    """Balances of each account after each of its legs."""
-    w = Window.partitionBy("account_id").orderBy("timestamp", "seq", *(["transfer_key"] if "transfer_key" in kept else [])).rowsBetween(Window.unboundedPreceding, 0)
-    return legs_.select("account_id", "timestamp", "seq", "kind", *[F.sum(b).over(w).alias(b) for b in BALANCES], *kept)
+def running(legs_: DataFrame, *kept: str, slice_ns: int | None = None) -> DataFrame:
+    """Balances of each account after each of its legs.
+
+    With slice_ns an account's legs are dealt by such stretches of time, summed up within each, and the sums of the stretches before
+    are added, so that an account with a good part of all legs is no single task.
+    """
+    keys = ["account_id"]
+    if slice_ns:
+        keys.append("slice")
+        legs_ = legs_.withColumn("slice", F.expr(f"timestamp div {slice_ns}")).repartition(*keys)
+    w = Window.partitionBy(*keys).orderBy("timestamp", "seq", *(["transfer_key"] if "transfer_key" in kept else [])).rowsBetween(Window.unboundedPreceding, 0)
+    out = legs_.select(*keys, "timestamp", "seq", "kind", *[F.sum(b).over(w).alias(b) for b in BALANCES], *kept)
+    if not slice_ns:
+        return out
+    before = Window.partitionBy("account_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = legs_.groupBy(*keys).agg(*[F.sum(b).alias(b) for b in BALANCES])
+    totals = totals.select(*keys, *[F.coalesce(F.sum(b).over(before), F.lit(0)).alias(f"{b}_0") for b in BALANCES])
+    return out.join(totals, keys).select("account_id", "timestamp", "seq", "kind", *[(F.col(b) + F.col(f"{b}_0")).alias(b) for b in BALANCES], *kept)
 
 
 def final(legs_: DataFrame) -> DataFrame:
     return legs_.groupBy("account_id").agg(*[F.sum(b).alias(b) for b in BALANCES])
 
 
-def event_log(resolved: DataFrame, expired: DataFrame | None = None) -> DataFrame:
+def event_log(resolved: DataFrame, expired: DataFrame | None = None, slice_ns: int | None = None) -> DataFrame:
     """A row for each effect with both accounts' balances after it, and their flags where resolved has them.
 
     One window by account over the legs, which carry the effect with the debit, and one aggregation that puts two legs together.
     """
     rows = effects(resolved, expired)
     carried = [c for c in rows.columns if c not in ("timestamp", "seq", "kind", "transfer_key", "freed", "debit_account_id", "credit_account_id")]
-    after = running(in_legs(rows, *carried), "debit", "transfer_key", *carried)
+    after = running(in_legs(rows, *carried), "debit", "transfer_key", *carried, slice_ns=slice_ns)
     of = lambda mine, c, name: F.max(F.when(F.col("debit") == mine, F.col(c))).alias(name)
     sides = [(True, "dr"), (False, "cr")]
     out = after.groupBy("timestamp", "seq", "kind", "transfer_key").agg(

@@ -798,6 +798,19 @@ def q70_pulses(spark, d):
     return engine.execute(log).where("what = 'event' and kind = 4").select("transfer_key", "timestamp")
 
 
+PAGE = 2000
+
+
+@query(f"WITH {L_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY timestamp DESC) AS k FROM l WHERE user_data_32 = 3) SELECT id, timestamp, ((k - 1) // {PAGE})::INTEGER AS page FROM n")
+def q71_paging_to_the_end(spark, d):
+    """All pages of a scan, newest first, down to the short last one."""
+    out = None
+    for i, page in enumerate(reads.pages(mapping.line_transfers(spark, d), QueryFilter(user_data_32=3, flags=1), PAGE)):
+        page = page.select("id", "timestamp", F.lit(i).alias("page"))
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balance history of an account that keeps it: validation, event log, filter, order, limit."""
     t = transfers(spark, sf_dir).withColumn("status", F.coalesce(fast.static_status(), F.lit("created")))

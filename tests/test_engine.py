@@ -117,6 +117,7 @@ def test_plan_alone_meets_the_statuses_of_two_phases(spark):
         want = in_one_state(log)
         seen |= {r[3] for r in want[0]}
         assert on_spark(engine.plan(engine.placed(frame))) == want
+        assert on_spark(engine.plan(engine.placed(frame), slice_ns=3 * 10**9)) == want
     assert {s for s in TRANSFER_STATUS if "pending_transfer" in s} - {"timeout_reserved_for_pending_transfer"} <= seen
 
 

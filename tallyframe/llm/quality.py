@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from .common import map_arrow, slices, worker_cache
+from .common import give_back, map_arrow, slices, worker_cache
 
 WORD = re.compile(r"\w+|[^\w\s]+")
 SECOND = np.uint64(0x9E3779B97F4A7C15)
@@ -25,7 +26,7 @@ class Settings:
     bits: int = 18
     #: The model is fitted on so many labelled documents at most: those whose ids have the smallest hashes.
     sample: int = 6_000
-    #: So many bytes of features come to the driver at most: further documents of the sample are left out, none is cut.
+    #: So many bytes of compressed features come to the driver at most: further documents of the sample are left out, none is cut.
     sample_bytes: int = 64 << 20
     epochs: int = 3
     alpha: float = 0.5
@@ -58,23 +59,26 @@ def features(text: str, bits: int) -> np.ndarray:
     return (np.concatenate((ids, pairs, again)) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def counted(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct features and how often each occurs."""
+def counted(text: str, bits: int) -> bytes:
+    """The distinct features, by their differences, and how often each occurs, compressed."""
     at, count = np.unique(features(text, bits), return_counts=True)
-    return at.astype("<u4"), count.astype("<u4")
+    return zlib.compress(np.concatenate((np.diff(at, prepend=at[:1] * 0), count)).astype("<u4").tobytes(), 1)
 
 
-def fit_leader(examples: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> np.ndarray:
-    """Weights by follow-the-regularised-leader (proximal, a rate for each coordinate) from (features, counts, label); the last one is the bias."""
+def uncounted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, count = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1)
+    return np.cumsum(gaps, dtype=np.int64), count.astype(np.float64)
+
+
+def fit_leader(examples: list[tuple[bytes, int]], s: Settings) -> np.ndarray:
+    """Weights by follow-the-regularised-leader (proximal, a rate for each coordinate) from counted features and labels; the last one is the bias."""
     size = (1 << s.bits) + 1
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
-    packed = []
-    for at, count, y in examples:
-        count = count.astype(np.int64)
-        x = np.append(count / np.sqrt(max(1.0, float((count * count).sum()))), 1.0)
-        packed.append((np.append(at.astype(np.int64), size - 1), x, y))
     for _ in range(s.epochs):
-        for at, x, y in packed:
+        for data, y in examples:
+            at, count = uncounted(data)
+            x = np.append(count / np.sqrt(max(1.0, float((count * count).sum()))), 1.0)
+            at = np.append(at, size - 1)
             zi, ni = z[at], n[at]
             wi = np.where(np.abs(zi) <= s.l1, 0.0, -(zi - np.sign(zi) * s.l1) / ((s.beta + np.sqrt(ni)) / s.alpha + s.l2))
             p = 1 / (1 + np.exp(-np.clip(wi @ x, -35, 35)))
@@ -108,15 +112,18 @@ def train_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            found = [b"".join(x.tobytes() for x in counted(t, bits)) for t in b.column(1).to_pylist()]
+            found = [counted(t, bits) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], ["id", "y", "features"])
 
     rows = map_arrow(picked, run, "id long, y int, features binary").groupBy("id").agg(F.min(F.struct(F.xxhash64("features").alias("h"), "features", "y")).alias("r"))
     # settings.sample rows at most
     held = F.sum(F.length("r.features")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
     rows = materialize(rows.withColumn("held", held).where(F.col("held") <= settings.sample_bytes).select("id", "r.y", "r.features"), "sample").collect()
-    rows = sorted(rows, key=lambda r: xxhash.xxh3_64_intdigest(str(r.id).encode()))
-    return fit_leader([(*np.frombuffer(r.features, "<u4").reshape(2, -1), int(r.y > 0)) for r in rows], settings)
+    rows.sort(key=lambda r: xxhash.xxh3_64_intdigest(str(r.id).encode()))
+    weights = fit_leader([(bytes(r.features), int(r.y > 0)) for r in rows], settings)
+    del rows
+    give_back()
+    return weights
 
 
 def score_quality(df: DataFrame, weights: np.ndarray, settings: Settings = Settings(), text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

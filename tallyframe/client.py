@@ -54,6 +54,10 @@ def latest(df: DataFrame, key: str = "id") -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*columns), "step").alias("r")).select(*[key if c == key else f"r.{c}" for c in df.columns if c != "step"])
 
 
+def failures(results: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    return [(i, status) for i, (_, status) in enumerate(results) if status != "created"]
+
+
 class Ledger:
     """Accounts and transfers under a folder. clock gives nanoseconds; a batch never goes back behind the one before."""
 
@@ -89,6 +93,14 @@ class Ledger:
         """(timestamp, status) for each transfer, in order."""
         return self._create(batch, "create_transfers")
 
+    def create_accounts_sparse(self, batch: list[Account]) -> list[tuple[int, str]]:
+        """(place, status) of those accounts only that weren't made."""
+        return failures(self.create_accounts(batch))
+
+    def create_transfers_sparse(self, batch: list[Transfer]) -> list[tuple[int, str]]:
+        """(place, status) of those transfers only that weren't made."""
+        return failures(self.create_transfers(batch))
+
     def create_many(self, batches: list[list], operation: str | None = None) -> list[list[tuple[int, str]]]:
         """Several batches of one kind in a request: each its own, with timestamps that follow on."""
         if sum(map(len, batches)) > BATCH_MAX:

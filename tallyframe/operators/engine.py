@@ -267,11 +267,6 @@ def requests(spark, batches: list[tuple[str, int, list]], exact: bool = False) -
     return spark.createDataFrame(rows, f"what string, batch long, idx long, size long, batch_time long, {shape}")
 
 
-def sparse(results: DataFrame) -> DataFrame:
-    """Only what failed."""
-    return results.where("what = 'result' and status <> 'created'").select("batch", "idx", "status")
-
-
 def observed(out: DataFrame, name: str = "requests") -> tuple[DataFrame, Observation]:
     """The rows of execute(), and an observation that holds, once they have been computed, how many events came, failed and moved balances, by kind."""
     seen = Observation(name)

@@ -68,6 +68,12 @@ def test_console_output(spark, tmp_path):
     assert '"id": "5"' in shown and '"flags": ["credits_must_not_exceed_debits","history"]' in shown and "reserved" not in shown
 
 
+def test_sparse_results(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger", lambda: 1000 * NS)
+    assert ledger.create_accounts_sparse([Account(id=1, ledger=1, code=1), Account(id=0), Account(id=1, ledger=1, code=1)]) == [(1, "id_must_not_be_zero"), (2, "exists")]
+    assert ledger.create_transfers_sparse([Transfer(id=1, debit_account_id=1, credit_account_id=2, ledger=1, code=1)]) == [(0, "credit_account_not_found")]
+
+
 def test_metrics(spark):
     log = engine.requests(spark, [("account", 1000, [Account(id=i, ledger=1, code=1) for i in (1, 2)]), ("transfer", 2000, [Transfer(id=i, debit_account_id=1, credit_account_id=2 + i % 2, ledger=1, code=1, flags=2) for i in range(1, 6)])])
     out, seen = engine.observed(engine.execute(log))

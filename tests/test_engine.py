@@ -165,3 +165,10 @@ def test_imports_leave_other_ledgers_alone(spark):
     assert on_spark(engine.fold(frame)) == in_one_state(log) and on_spark(engine.execute(frame)) == in_one_state(log)
     groups = engine.grouped(engine.placed(frame), False, engine.survey(frame))
     assert groups.select("component").distinct().count() == 2
+
+
+def test_logs_without_events(spark):
+    log = engine.requests(spark, [("account", 1000, [Account(id=1, ledger=1, code=1)]), ("tick", 2000, [])])
+    for some in (log.limit(0), log.where("what = 'tick'")):
+        assert engine.execute(some).count() == engine.fold(some).count() == 0
+    assert [r.status for r in engine.execute(log).collect()] == ["created"]

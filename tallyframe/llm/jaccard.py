@@ -182,7 +182,7 @@ def labels(spark: SparkSession, n: int) -> DataFrame:
 
 def spread_out(df: DataFrame, part: Column, n: int, name: str) -> DataFrame:
     """df in n partitions, one for each number that part gives, with the number's label."""
-    known = F.broadcast(materialize(labels(df.sparkSession, n), "labels"))
+    known = F.broadcast(labels(df.sparkSession, n))
     return df.withColumn("part", part.cast("long")).join(known, "part").drop("part").withColumnRenamed("label", name).repartition(n, name)
 
 

@@ -8,6 +8,7 @@ visits only those whose ball can hold something as good, and takes the bound alo
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -149,11 +150,11 @@ def search(base: DataFrame, k: int, every: int, build: Callable, find: Callable,
     parts = -(-asked // query_rows)
     queries = table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vec", "cell")).alias("r")).select("vec_id", "r.*")
     packed = split(queries, np.cumsum(parts) - parts, parts, "asked", False).groupBy("asked").applyInArrow(pack, "asked long, block long, share long, queries binary")
-    shares = -(-int(parts.sum()) // SHARE)
+    packed = materialize(packed, "asked")
 
     def meet(left: DataFrame, run: Callable, schema: str) -> DataFrame:
-        each = indexes.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, shares - 1)).cast("long"))))
-        each = each.join(left.select("block", "share").distinct(), ["block", "share"], "left_semi")
+        wanted = left.select(F.col("block").alias("block_"), F.col("share").alias("share_")).distinct()
+        each = wanted.join(indexes, F.col("block_") == F.col("block")).select(F.col("block_").alias("block"), F.col("share_").alias("share"), "index")
         return left.groupBy("block", "share").cogroup(each.groupBy("block", "share")).applyInArrow(run, schema)
 
     def begin(asking: pa.Table, held: pa.Table) -> pa.Table:
@@ -168,6 +169,7 @@ def search(base: DataFrame, k: int, every: int, build: Callable, find: Callable,
             least = np.full(len(ids), np.inf)
             for i, y in zip(q.tolist(), s.tolist(), strict=True):
                 count[at[i]] += 1
+                y = float(y) if abs(y) < 2**53 else math.nextafter(float(y), -math.inf)  # never above the score
                 least[at[i]] = min(least[at[i]], y)
             out.append(pickle.dumps((ids, v, np.where(count >= k, least, -np.inf)), 5))
             found.append(pickle.dumps((q.tolist(), x, s.tolist()), 5))

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from dataclasses import fields
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.types import AMOUNT_MAX, BATCH_MAX, EVENT_TYPES, NS, U63_MAX, WIDE, Account, AccountFlags, PendingStatus, Transfer, TransferFlags, from_bytes, to_bytes
+from ..functions.types import AMOUNT_MAX, BATCH_MAX, EVENT_TYPES, NS, U63_MAX, WIDE, Account, AccountFlags, PendingStatus, Transfer, TransferFlags, to_bytes
 from ..plans import fast
 from ..plans.accept import BALANCES, accept, accept_accounts
 from ..plans.links import connected
 from ..sources.scratch import materialize
-from .kernel import Part, State
+from .folding import Fold
 
 A, T = AccountFlags, TransferFlags
 NAMES = list(dict.fromkeys([f.name for f in fields(Account)] + [f.name for f in fields(Transfer)]))
@@ -109,7 +108,8 @@ def survey(events: DataFrame) -> dict:
     some = lambda test: F.coalesce(F.max(test), F.lit(False))
     return events.agg(
         F.count("*").alias("n"), some(F.col("what") == "tick").alias("ticks"), some(F.col("flags").bitwiseAND(1) != 0).alias("linked"), some(imported).alias("imported"),
-        F.max(F.when(imported, F.col("batch"))).alias("last_import"), F.min(F.when(imported, F.col("timestamp"))).alias("first_time"),
+        F.max(F.when(imported, F.col("batch"))).alias("last_import"), *[F.max(F.when(is_a(k, f), F.col("batch"))).alias(f"last_{k}_import") for k, f in (("account", A.IMPORTED), ("transfer", T.IMPORTED))],
+        F.min(F.when(imported, F.col("timestamp"))).alias("first_time"),
         F.min(F.expr("nullif(ledger, 0)")).alias("least"), F.max("ledger").alias("most"), some(is_a("transfer", RESOLVES)).alias("resolves"), some(F.col("timeout") > 0).alias("timeouts"),
         some(in_order(False)).alias("ordered"), (some(moves & (F.col("amount") < 0)) if narrow else F.lit(True)).alias("all_there_is"),
         F.sum(F.when(moves, F.col("amount").cast("decimal(38,0)"))).alias("moved") if narrow else F.lit(0).alias("moved"),
@@ -157,61 +157,47 @@ def fold(events: DataFrame, exact: bool = False) -> DataFrame:
     """
     found = survey(events)
     events = placed(events)
-    return run_groups(grouped(events, exact, found), events.where("what = 'tick'") if found["ticks"] else None, exact)
-
-
-def run_groups(rows: DataFrame, ticks: DataFrame | None, exact: bool) -> DataFrame:
-    """The kernel over each component of rows, with the ticks that matter to it."""
-    first = F.min(F.struct("idx", "flags")).over(Window.partitionBy("batch", "what"))["flags"]
-    imports = first.bitwiseAND(F.when(F.col("what") == "account", int(A.IMPORTED)).otherwise(int(T.IMPORTED))) != 0
-    rows = rows.withColumn("imports", imports)
+    return run_groups(grouped(events, exact, found), events, found, exact)
+
+
+def named_again(rows: DataFrame, events: DataFrame, exact: bool) -> DataFrame:
+    """The rows with again: whether an id is given to several of the log's transfers, or named as pending. Only such transfers are looked up once more."""
+    t = events.where("what = 'transfer'")
+    names = t.select("id").unionByName(t.where(given("pending_id", exact)).select(F.col("pending_id").alias("id")))
+    several = names.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("again"))
+    return rows.join(several, "id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+
+
+def run_groups(rows: DataFrame, events: DataFrame, found: dict, exact: bool) -> DataFrame:
+    """The kernel over each component of rows, some of events, with the ticks that matter to it. The events of a component come sorted, and are not gathered."""
+    rows = named_again(rows, events, exact)
+    if found["imported"]:  # as the first event of each batch says
+        flag = F.when(F.col("what") == "account", int(A.IMPORTED)).otherwise(int(T.IMPORTED))
+        firsts = events.where("what <> 'tick'").groupBy("batch", "what").agg(F.min(F.struct("idx", "flags"))["flags"].alias("first"))
+        rows = rows.join(firsts.select("batch", "what", (F.col("first").bitwiseAND(flag) != 0).alias("imports")), ["batch", "what"], "left")
+    else:
+        rows = rows.withColumn("imports", F.lit(False))
+    ticks = events.where("what = 'tick'") if found["ticks"] else None
     if ticks is not None:
-        rows = rows.unionByName(next_ticks(rows, ticks).withColumn("imports", F.lit(False)), allowMissingColumns=True)
-    names = [c.split()[0] for c in OUT.format(w="long").split(", ")]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state, rows = State(), []
-        frame = frame.sort_values(["batch", "idx"], kind="stable")
-        number = (lambda x: from_bytes(bytes(x))) if exact else int
-        wide = to_bytes if exact else (lambda x: x)
-        blank = (None,) * (len(names) - 3)
-
-        def records(kind: type, part: pd.DataFrame) -> list:
-            columns = []
-            for f in fields(kind):
-                read = number if f.name in WIDE else int
-                columns.append([0 if v is None or v != v else AMOUNT_MAX if f.name == "amount" and not exact and v == -1 else read(v) for v in part[f.name].tolist()])
-            return [kind(*values) for values in zip(*columns, strict=True)]
-
-        for (batch, what), part in frame.groupby(["batch", "what"], sort=False):
-            time = int(part.batch_time.iloc[0])
-            seen = len(state.events)
-            if what == "tick":
-                state.pulse(time)
-            else:
-                places = part.idx.astype(int).tolist()
-                own = Part(places, int(part["size"].iloc[0]), bool(part.imports.iloc[0]))
-                results = state.create_accounts(records(Account, part), time, own) if what == "account" else state.create_transfers(records(Transfer, part), time, own)
-                rows += [("result", batch, i, at, status, *blank) for i, (at, status) in zip(places, results, strict=True)]
-            for e in state.events[seen:]:
-                src = e.transfer or e.pending
-                balances = [wide(getattr(a, b)) for a in (e.debit, e.credit) for b in BALANCES]
-                rows.append(("event", batch, None, e.timestamp, None, int(e.status), wide(src.id), wide(e.debit.id), wide(e.credit.id), wide(e.amount), wide(e.amount_requested) if exact or e.amount_requested <= U63_MAX else -1, e.debit.ledger, src.flags, e.debit.flags, e.credit.flags, *balances, src.expires_at(), src.timestamp))
-        return pd.DataFrame(rows, columns=[*names, "due", "made"]).astype(object)
-
-    out = rows.groupBy("component").applyInPandas(run, OUT.format(w="binary" if exact else "long") + ", due long, made long")
+        rows = rows.unionByName(next_ticks(rows, ticks).withColumns({"imports": F.lit(False), "again": F.lit(False)}), allowMissingColumns=True)
+    shape = OUT.format(w="binary" if exact else "long") + ", due long, made long"
+    last = found["last_account_import"], found["last_transfer_import"]
+    sorted_ = rows.select("component", "batch", "idx", "what", "size", "batch_time", "imports", "again", *NAMES).repartition("component").sortWithinPartitions("component", "batch", "idx", "what")
+    out = sorted_.mapInArrow(lambda batches: Fold(shape, exact, last)(batches), shape)
     return (out if ticks is None else released(out, ticks)).drop("due", "made")
 
 
 def released(out: DataFrame, ticks: DataFrame) -> DataFrame:
     """The rows with the times of a tick's expiries given out over all components: in order of expiry and then creation, a request's worth at a time."""
+    out = materialize(out, "released")  # read twice
     gone = F.coalesce(F.col("kind") == int(PendingStatus.EXPIRED), F.lit(False))
     tick = Window.partitionBy("batch")
     rank = F.row_number().over(tick.orderBy("due", "made")) - 1
     held = F.least(F.lit(BATCH_MAX), F.count("*").over(tick) - F.expr(f"rank_ div {BATCH_MAX}") * BATCH_MAX)
     times = ticks.select("batch", "batch_time").distinct()
     late = out.where(gone).join(times, "batch").withColumn("rank_", rank).withColumn("timestamp", F.col("batch_time") - held + F.col("rank_") % BATCH_MAX + 1)
-    return out.where(~gone).unionByName(late.select(*out.columns))
+    known = {"what": F.lit("event"), "idx": F.lit(None).cast("long"), "status": F.lit(None).cast("string")}  # so that they fall out of the plan where results are asked for
+    return out.where(~gone).unionByName(late.withColumns(known).select(*out.columns))
 
 
 def plan(events: DataFrame, slice_ns: int | None = None) -> DataFrame:
@@ -239,17 +225,16 @@ def execute(events: DataFrame, exact: bool = False) -> DataFrame:
         if not found["ordered"] and not waits and knots is None:
             return plan(events, slices)
     events = materialize(events, "log")  # read several times from here on
-    ticks = events.where("what = 'tick'") if found["ticks"] else None
     rows = grouped(events, exact, found)
     if hard:
-        return run_groups(rows, ticks, exact)
+        return run_groups(rows, events, found, exact)
     marked = rows.where(in_order(waits)).select("component")
     if knots is not None:
         t = rows.where("what = 'transfer'")
         marked = marked.unionByName(t.join(knots, t["id"] == knots["key"], "left_semi").select("component")).unionByName(t.join(knots, t["pending_id"] == knots["key"], "left_semi").select("component"))
     marked = materialize(marked.distinct(), "ordered")
     rest = rows.join(marked, "component", "left_anti")
-    ordered = run_groups(rows.join(marked, "component", "left_semi"), ticks, exact)
+    ordered = run_groups(rows.join(marked, "component", "left_semi"), events, found, exact)
     return ordered if rest.isEmpty() else ordered.unionByName(plan(rest, slices))
 
 

@@ -7,7 +7,8 @@ old values; ids of transfers that failed for a passing reason stay taken.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Sequence
+import marshal
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from types import SimpleNamespace
 
@@ -49,6 +50,38 @@ class Part:
     imported: bool
 
 
+class Packed(dict):
+    """Records by id. settle() packs those that were set since into bytes, which are read again where they are asked for."""
+
+    #: So many records stay as they are.
+    FEW = 20_000
+
+    def __init__(self, kind: type):
+        super().__init__()
+        self.kind, self.fresh = kind, set()
+
+    def __getitem__(self, key):
+        found = dict.__getitem__(self, key)
+        return self.kind(*marshal.loads(found)) if type(found) is bytes else found
+
+    def get(self, key, default=None):
+        found = dict.get(self, key)
+        return default if found is None else self.kind(*marshal.loads(found)) if type(found) is bytes else found
+
+    def __setitem__(self, key, value) -> None:
+        self.fresh.add(key)
+        dict.__setitem__(self, key, value)
+
+    def settle(self) -> None:
+        if len(self.fresh) < self.FEW:
+            return
+        for key in self.fresh:
+            found = dict.get(self, key)
+            if found is not None and type(found) is not bytes:
+                dict.__setitem__(self, key, marshal.dumps(tuple(vars(found).values())))
+        self.fresh.clear()
+
+
 @dataclass
 class State:
     accounts: dict[int, Account] = field(default_factory=dict)
@@ -82,7 +115,7 @@ class State:
             is_linked = bool(e.flags & linked)
             if is_linked and chain is None:
                 chain, broken, undo = i, False, []
-            log: list[Callable[[], None]] = undo if chain is not None else []
+            log: list[Callable[[], None]] | None = undo if chain is not None else None  # nothing is taken back outside of a chain
             if is_linked and place == part.size - 1:
                 status = "linked_event_chain_open"
             elif broken:
@@ -119,15 +152,16 @@ class State:
             return "timestamp_must_be_zero"
         return None
 
-    def _set(self, log: list, d: dict, key, value) -> None:
-        missing = key not in d
-        old = d.get(key)
-        log.append(lambda: d.pop(key) if missing else d.__setitem__(key, old))
+    def _set(self, log: list | None, d: dict, key, value) -> None:
+        if log is not None:
+            missing = key not in d
+            old = d.get(key)
+            log.append(lambda: d.pop(key) if missing else d.__setitem__(key, old))
         d[key] = value
 
     # --- accounts
 
-    def _account(self, a: Account, at: int, log: list) -> tuple[str, int]:
+    def _account(self, a: Account, at: int, log: list | None) -> tuple[str, int]:
         if a.reserved:
             return "reserved_field", at
         if a.flags >> 6:
@@ -156,7 +190,7 @@ class State:
         self._stamp(log, "account", at)
         return "created", at
 
-    def _stamp(self, log: list, kind: str, at: int) -> None:
+    def _stamp(self, log: list | None, kind: str, at: int) -> None:
         times, name = getattr(self, f"{kind}_times"), f"last_{kind}"
         old = getattr(self, name)
 
@@ -164,13 +198,14 @@ class State:
             times.discard(at)
             setattr(self, name, old)
 
-        log.append(back)
+        if log is not None:
+            log.append(back)
         times.add(at)
         setattr(self, name, max(old, at))
 
     # --- transfers
 
-    def _transfer(self, t: Transfer, at: int, log: list) -> tuple[str, int]:
+    def _transfer(self, t: Transfer, at: int, log: list | None) -> tuple[str, int]:
         if t.flags >> 9:
             return "reserved_flag", at
         if t.id in (0, U128_MAX):
@@ -217,7 +252,7 @@ class State:
                 return different + name, at
         return "exists", e.timestamp
 
-    def _move(self, t: Transfer, at: int, log: list) -> str:
+    def _move(self, t: Transfer, at: int, log: list | None) -> str:
         for side in ("debit", "credit"):
             i = getattr(t, f"{side}_account_id")
             if i in (0, U128_MAX):
@@ -290,15 +325,16 @@ class State:
                 heapq.heappush(self.due, (kept.expires_at(), at, t.id))
         return "created"
 
-    def _book(self, log: list, t: Transfer, dr: Account, cr: Account, status: PendingStatus, p: Transfer | None, requested: int) -> None:
+    def _book(self, log: list | None, t: Transfer, dr: Account, cr: Account, status: PendingStatus, p: Transfer | None, requested: int) -> None:
         self._set(log, self.transfers, t.id, t)
         self._set(log, self.accounts, dr.id, dr)
         self._set(log, self.accounts, cr.id, cr)
         self._stamp(log, "transfer", t.timestamp)
         self.events.append(Event(t.timestamp, status, t, p, t.amount, requested, dr, cr))
-        log.append(lambda: self.events.pop())
+        if log is not None:
+            log.append(lambda: self.events.pop())
 
-    def _resolve(self, t: Transfer, at: int, log: list) -> str:
+    def _resolve(self, t: Transfer, at: int, log: list | None) -> str:
         post, void = t.has(T.POST_PENDING_TRANSFER), t.has(T.VOID_PENDING_TRANSFER)
         if post and void or t.flags & (T.PENDING | T.BALANCING_DEBIT | T.BALANCING_CREDIT | T.CLOSING_DEBIT | T.CLOSING_CREDIT):
             return "flags_are_mutually_exclusive"
@@ -387,7 +423,10 @@ class State:
 
     def pulse(self, timestamp: int, most: int = BATCH_MAX) -> int:
         """Expire what is due, in order of expiry and then creation, most at a time; the number of expired transfers."""
-        total = 0
+        return sum(self.pulses(timestamp, most))
+
+    def pulses(self, timestamp: int, most: int = BATCH_MAX) -> Iterator[int]:
+        """pulse(), and the number after each so many."""
         while True:
             keys = []
             while len(keys) < most and self._waiting() and self.due[0][0] <= timestamp:
@@ -398,9 +437,9 @@ class State:
                 self.accounts[dr.id], self.accounts[cr.id] = dr, cr
                 self.pending[key] = PendingStatus.EXPIRED
                 self.events.append(Event(timestamp - len(keys) + i + 1, PendingStatus.EXPIRED, None, p, p.amount, 0, dr, cr))
-            total += len(keys)
+            yield len(keys)
             if len(keys) < most:
-                return total
+                return
 
     def integrity(self) -> list[str]:
         """What is wrong with the books, if anything."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import fields
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.types import AMOUNT_MAX, BATCH_MAX, EVENT_TYPES, NS, U63_MAX, WIDE, Account, AccountFlags, PendingStatus, Transfer, TransferFlags, to_bytes
 from ..plans import fast
 from ..plans.accept import BALANCES, accept, accept_accounts
-from ..plans.links import connected
+from ..plans.links import around, connected, members, settled
 from ..sources.scratch import materialize
 from .folding import Fold
 
@@ -26,6 +27,14 @@ RESOLVES = T.POST_PENDING_TRANSFER | T.VOID_PENDING_TRANSFER
 MANY, SLICE_NS = 10_000_000, 3600 * NS
 #: Times of ticks are cut into so many stretches to find the one that follows a time.
 STRETCHES = 1024
+#: Logs that make more accounts than this are grouped by accounts that depend on each other instead of by ledgers.
+CLOSE = 100_000
+#: Groups by accounts have to be found in so many rounds: where accounts form long paths, ledgers are the groups.
+ROUNDS = 5
+#: A stretch of places in a batch holds some so many events, to find what follows a linked one.
+STRETCH = 4096
+#: What is to be released is dealt out so many ways to find its tick.
+WAYS = 16
 
 
 def given(name: str, exact: bool) -> Column:
@@ -83,6 +92,64 @@ def ties(rows: DataFrame, exact: bool, linked: bool, imports: tuple[int, int] |
     return out.where("a <> b").distinct()
 
 
+def node(kind: int, name: str) -> Column:
+    """An account (0) or a transfer (1) among those that may depend on each other. Where hashes meet, groups become one, which changes no result."""
+    return F.xxhash64(F.lit(kind), F.col(name))
+
+
+def at_account(events: DataFrame, exact: bool) -> DataFrame:
+    """The events that aren't ticks with home: the node of an account they name, else of the pending transfer, else their own."""
+    own = F.when(F.col("what") == "account", node(0, "id"))
+    for name, kind in (("debit_account_id", 0), ("credit_account_id", 0), ("pending_id", 1)):
+        own = own.when(given(name, exact), node(kind, name))
+    return events.where("what <> 'tick'").withColumn("home", own.otherwise(node(1, "id")))
+
+
+def follows(rows: DataFrame, found: dict) -> DataFrame:
+    """(a, b): the homes of linked events and of those after them. Stretches of a batch are looked through apart, then what lies at their ends."""
+    wide = max(1, (found["high"] - found["low"]) * STRETCH // max(1, found["n"]))
+    stretch = F.expr(f"(idx - {found['low']}) div {wide}").alias("stretch")
+    some = rows.select("batch", "what", stretch, "idx", (F.col("flags").bitwiseAND(1) != 0).alias("linked"), F.col("home").alias("a"))
+    inside = some.withColumn("b", F.lead("a").over(Window.partitionBy("batch", "what", "stretch").orderBy("idx"))).where("linked and b is not null")
+    last = F.max(F.struct("idx", "linked", "a"))
+    ends = some.groupBy("batch", "what", "stretch").agg(F.min(F.struct("idx", "a"))["a"].alias("first"), last["linked"].alias("linked"), last["a"].alias("a"))
+    across = ends.withColumn("b", F.lead("first").over(Window.partitionBy("batch", "what").orderBy("stretch"))).where("linked and b is not null")
+    return inside.select("a", "b").unionByName(across.select("a", "b"))
+
+
+def close_ties(rows: DataFrame, exact: bool, found: dict, several: DataFrame) -> DataFrame:
+    """Pairs of nodes (a, b) that depend on each other, by homes of at_account(): as ties(), but for accounts. several: ids that come again."""
+    t, a = rows.where("what = 'transfer'"), F.col("home").alias("a")
+    out = t.where(given("debit_account_id", exact) & given("credit_account_id", exact)).select(a, node(0, "credit_account_id").alias("b"))
+    out = out.unionByName(t.where(given("pending_id", exact)).select(a, node(1, "pending_id").alias("b")))
+    out = out.unionByName(t.join(several, "id", "left_semi").select(a, node(1, "id").alias("b")))
+    if found["linked"]:
+        out = out.unionByName(follows(rows, found))
+    if found["imported"]:
+        early = (F.col("batch") <= found["last_import"]) & (F.col("batch_time") >= found["first_time"])
+        out = out.unionByName(rows.where(is_a("account", A.IMPORTED) | is_a("transfer", T.IMPORTED) | early).select(a, F.lit(0).cast("long").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def closely(events: DataFrame, exact: bool, found: dict, several: DataFrame, marks: Callable[[DataFrame], DataFrame] | None) -> DataFrame | None:
+    """As grouped(), with components of accounts, or None where they are not found in ROUNDS.
+
+    marks gives the homes that have to run in order; without it all have. Of components without
+    any, which run as a plan, not all need be found.
+    """
+    rows = at_account(events, exact)
+    links, done = settled(materialize(close_ties(rows, exact, found, several), "ties"), ROUNDS)
+    if not done:
+        some = marks and around(links, marks(rows).select(F.col("home").alias("node")), ROUNDS)
+        if not some:
+            return None
+        links, done = settled(some, ROUNDS)
+        if not done:
+            return None
+    parts = members(links).withColumnRenamed("node", "home")
+    return rows.join(parts, "home", "left").withColumn("component", F.coalesce("component", "home")).drop("home")
+
+
 def next_ticks(rows: DataFrame, ticks: DataFrame) -> DataFrame:
     """The ticks that can release something, for each component: the first at or after a pending transfer runs out."""
     low, high = ticks.agg(F.min("batch_time"), F.max("batch_time")).first()
@@ -90,8 +157,9 @@ def next_ticks(rows: DataFrame, ticks: DataFrame) -> DataFrame:
     stretch = lambda t: F.greatest(F.lit(0).cast("long"), F.expr(f"({t} - {low}) div {wide}"))
     waits = rows.where(is_a("transfer", T.PENDING) & (F.col("timeout") > 0) & (F.col("timeout") <= F.expr(f"({U63_MAX} - at) div {NS}"))).withColumn("t", F.col("at") + F.col("timeout") * NS).where(F.col("t") <= high)
     known = ticks.select(stretch("batch_time").alias("k"), F.col("batch_time").alias("t"), F.col("batch_time").alias("tick"), F.lit(None).cast("long").alias("component"))
-    both = known.unionByName(waits.select(stretch("t").alias("k"), "t", F.lit(None).cast("long").alias("tick"), "component"))
-    found = both.withColumn("tick", F.last("tick", True).over(Window.partitionBy("k").orderBy(F.desc("t"), F.col("tick").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))).where("component is not null")
+    dealt = known.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+    both = dealt.unionByName(waits.select(stretch("t").alias("k"), "t", F.lit(None).cast("long").alias("tick"), "component", F.pmod(F.xxhash64("t", "component"), F.lit(WAYS)).cast("int").alias("way")))
+    found = both.withColumn("tick", F.last("tick", True).over(Window.partitionBy("k", "way").orderBy(F.desc("t"), F.col("tick").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))).where("component is not null")
     # STRETCHES rows at most: the first tick of each stretch, for those before it
     firsts = known.groupBy("k").agg(F.min("t").alias("first"))
     every = rows.sparkSession.range(STRETCHES + 1).select(F.col("id").alias("k")).join(firsts, "k", "left")
@@ -107,7 +175,7 @@ def survey(events: DataFrame) -> dict:
     narrow = dict(events.dtypes)["amount"] == "bigint"
     some = lambda test: F.coalesce(F.max(test), F.lit(False))
     return events.agg(
-        F.count("*").alias("n"), some(F.col("what") == "tick").alias("ticks"), some(F.col("flags").bitwiseAND(1) != 0).alias("linked"), some(imported).alias("imported"),
+        F.count("*").alias("n"), F.count(F.when(F.col("what") == "account", 1)).alias("accounts"), F.coalesce(F.min("idx"), F.lit(0)).alias("low"), F.coalesce(F.max("idx"), F.lit(0)).alias("high"), some(F.col("what") == "tick").alias("ticks"), some(F.col("flags").bitwiseAND(1) != 0).alias("linked"), some(imported).alias("imported"),
         F.max(F.when(imported, F.col("batch"))).alias("last_import"), *[F.max(F.when(is_a(k, f), F.col("batch"))).alias(f"last_{k}_import") for k, f in (("account", A.IMPORTED), ("transfer", T.IMPORTED))],
         F.min(F.when(imported, F.col("timestamp"))).alias("first_time"),
         F.min(F.expr("nullif(ledger, 0)")).alias("least"), F.max("ledger").alias("most"), some(is_a("transfer", RESOLVES)).alias("resolves"), some(F.col("timeout") > 0).alias("timeouts"),
@@ -157,20 +225,25 @@ def fold(events: DataFrame, exact: bool = False) -> DataFrame:
     """
     found = survey(events)
     events = placed(events)
-    return run_groups(grouped(events, exact, found), events, found, exact)
+    several, rows = named_again(events, exact), None
+    if found["accounts"] > CLOSE:
+        events = materialize(events, "log")
+        several = materialize(named_again(events, exact), "again")
+        rows = closely(events, exact, found, several, None)
+    return run_groups(grouped(events, exact, found) if rows is None else rows, events, found, several)
 
 
-def named_again(rows: DataFrame, events: DataFrame, exact: bool) -> DataFrame:
-    """The rows with again: whether an id is given to several of the log's transfers, or named as pending. Only such transfers are looked up once more."""
+def named_again(events: DataFrame, exact: bool) -> DataFrame:
+    """(id, again) of the ids that are given to several of the log's transfers, or named as pending. Only such transfers are looked up once more."""
     t = events.where("what = 'transfer'")
     names = t.select("id").unionByName(t.where(given("pending_id", exact)).select(F.col("pending_id").alias("id")))
-    several = names.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("again"))
-    return rows.join(several, "id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    return names.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("again"))
 
 
-def run_groups(rows: DataFrame, events: DataFrame, found: dict, exact: bool) -> DataFrame:
-    """The kernel over each component of rows, some of events, with the ticks that matter to it. The events of a component come sorted, and are not gathered."""
-    rows = named_again(rows, events, exact)
+def run_groups(rows: DataFrame, events: DataFrame, found: dict, several: DataFrame) -> DataFrame:
+    """The kernel over each component of rows, some of events, with the ticks that matter to it. The events of a component come sorted, and are not gathered. several: see named_again()."""
+    exact = dict(events.dtypes)["id"] == "binary"
+    rows = rows.join(several, "id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
     if found["imported"]:  # as the first event of each batch says
         flag = F.when(F.col("what") == "account", int(A.IMPORTED)).otherwise(int(T.IMPORTED))
         firsts = events.where("what <> 'tick'").groupBy("batch", "what").agg(F.min(F.struct("idx", "flags"))["flags"].alias("first"))
@@ -225,17 +298,26 @@ def execute(events: DataFrame, exact: bool = False) -> DataFrame:
         if not found["ordered"] and not waits and knots is None:
             return plan(events, slices)
     events = materialize(events, "log")  # read several times from here on
-    rows = grouped(events, exact, found)
+
+    def marks(rows: DataFrame, key: str = "home") -> DataFrame:
+        out = rows.where(in_order(waits)).select(key)
+        if knots is not None:
+            t = rows.where("what = 'transfer'")
+            out = out.unionByName(t.join(knots, t["id"] == knots["key"], "left_semi").select(key)).unionByName(t.join(knots, t["pending_id"] == knots["key"], "left_semi").select(key))
+        return out.distinct()
+
+    several, rows = named_again(events, exact), None
+    if found["accounts"] > CLOSE:
+        several = materialize(several, "again")
+        rows = closely(events, exact, found, several, None if hard else marks)
+    rows = grouped(events, exact, found) if rows is None else rows
     if hard:
-        return run_groups(rows, events, found, exact)
-    marked = rows.where(in_order(waits)).select("component")
-    if knots is not None:
-        t = rows.where("what = 'transfer'")
-        marked = marked.unionByName(t.join(knots, t["id"] == knots["key"], "left_semi").select("component")).unionByName(t.join(knots, t["pending_id"] == knots["key"], "left_semi").select("component"))
-    marked = materialize(marked.distinct(), "ordered")
+        return run_groups(rows, events, found, several)
+    marked = materialize(marks(rows, "component"), "ordered")
     rest = rows.join(marked, "component", "left_anti")
-    ordered = run_groups(rows.join(marked, "component", "left_semi"), events, found, exact)
-    return ordered if rest.isEmpty() else ordered.unionByName(plan(rest, slices))
+    if rest.isEmpty():
+        return run_groups(rows, events, found, several)
+    return run_groups(rows.join(marked, "component", "left_semi"), events, found, several).unionByName(plan(rest, slices))
 
 
 def requests(spark, batches: list[tuple[str, int, list]], exact: bool = False) -> DataFrame:

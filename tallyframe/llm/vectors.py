@@ -24,6 +24,8 @@ PAGE = 256
 FAN = 16
 #: There are so many cells at most, whatever the data; their centres and balls go with each task.
 MOST_CELLS = 1024
+#: So many rows are compared with all cells, or coded, at a time.
+ROWS = 512
 #: So many blocks of queries meet a block of candidates in a task.
 SHARE = 64
 
@@ -67,7 +69,9 @@ class Cells:
         self.radius = self.longest = self.first = self.blocks = None
 
     def nearest(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each row its cell, the distance to the centre there (a little more, never less), and its length."""
+        """Of each row its cell, the distance to the centre there (a little more, never less), and its length. ROWS at a time, so that memory hangs on the cells alone."""
+        if len(v) > ROWS:
+            return tuple(map(np.concatenate, zip(*[self.nearest(v[i : i + ROWS]) for i in range(0, len(v), ROWS)], strict=True)))
         wide = self.centres.shape[1]
         x = fitted(v, wide)
         with np.errstate(over="ignore", invalid="ignore"):
@@ -188,7 +192,8 @@ def search(base: DataFrame, k: int, every: int, build: Callable, find: Callable,
         for b in batches:
             for block, share, blob in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 ids, v, bound = pickle.loads(blob.as_py())
-                open_ = (cells.most(v) >= bound[:, None]) & (cells.blocks > 0)
+                parts = [cells.most(v[i : i + ROWS]) >= bound[i : i + ROWS, None] for i in range(0, len(v), ROWS)]
+                open_ = np.concatenate(parts) & (cells.blocks > 0)
                 for c in np.flatnonzero(open_.any(0)).tolist():
                     pick = open_[:, c]
                     blocks = [n for n in range(int(cells.first[c]), int(cells.first[c] + cells.blocks[c])) if n != block.as_py()]
@@ -464,7 +469,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rer
         x = np.zeros((len(vectors), wide))
         n = min(wide, vectors.shape[1])
         x[:, :n] = vectors[:, :n]
-        codes = choose(x, books, extra).astype(np.uint8)
+        codes = np.concatenate([choose(x[i : i + ROWS], books, extra).astype(np.uint8) for i in range(0, len(x), ROWS)])  # rows are coded each for itself
         coded = books[np.arange(len(books)), codes].reshape(len(x), wide)
         return {"ids": ids, "vectors": vectors, "codes": np.ascontiguousarray((codes[:, 0::2] << 4 | codes[:, 1::2]).T), **angles(vectors, coded)}
 

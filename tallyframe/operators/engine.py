@@ -31,6 +31,8 @@ STRETCHES = 1024
 CLOSE = 100_000
 #: Groups by accounts have to be found in so many rounds: where accounts form long paths, ledgers are the groups.
 ROUNDS = 5
+#: After so many, only groups are looked for that run in order.
+FIRST = 2
 #: A stretch of places in a batch holds some so many events, to find what follows a linked one.
 STRETCH = 4096
 #: What is to be released is dealt out so many ways to find its tick.
@@ -138,12 +140,10 @@ def closely(events: DataFrame, exact: bool, found: dict, several: DataFrame, mar
     any, which run as a plan, not all need be found.
     """
     rows = at_account(events, exact)
-    links, done = settled(materialize(close_ties(rows, exact, found, several), "ties"), ROUNDS)
+    links, done = settled(materialize(close_ties(rows, exact, found, several), "ties"), FIRST)
     if not done:
-        some = marks and around(links, marks(rows).select(F.col("home").alias("node")), ROUNDS)
-        if not some:
-            return None
-        links, done = settled(some, ROUNDS)
+        some = around(links, marks(rows).select(F.col("home").alias("node")), ROUNDS) if marks else None
+        links, done = settled(links if some is None else some, ROUNDS)
         if not done:
             return None
     parts = members(links).withColumnRenamed("node", "home")

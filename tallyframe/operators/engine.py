@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.types import AMOUNT_MAX, BATCH_MAX, EVENT_TYPES, NS, U63_MAX, WIDE, Account, AccountFlags, PendingStatus, Transfer, TransferFlags, to_bytes
 from ..plans import fast
 from ..plans.accept import BALANCES, accept, accept_accounts
+from ..plans.imports import accept_imports
 from ..plans.links import around, connected, members, settled
 from ..sources.scratch import materialize
 from .folding import Fold
@@ -179,16 +180,16 @@ def survey(events: DataFrame) -> dict:
         F.max(F.when(imported, F.col("batch"))).alias("last_import"), *[F.max(F.when(is_a(k, f), F.col("batch"))).alias(f"last_{k}_import") for k, f in (("account", A.IMPORTED), ("transfer", T.IMPORTED))],
         F.min(F.when(imported, F.col("timestamp"))).alias("first_time"),
         F.min(F.expr("nullif(ledger, 0)")).alias("least"), F.max("ledger").alias("most"), some(is_a("transfer", RESOLVES)).alias("resolves"), some(F.col("timeout") > 0).alias("timeouts"),
-        some(in_order(False)).alias("ordered"), (some(moves & (F.col("amount") < 0)) if narrow else F.lit(True)).alias("all_there_is"),
+        some(in_order(False)).alias("ordered"), some(in_order(False, False)).alias("ordered_but_imports"), F.min(F.when(F.col("what") == "transfer", F.col("batch"))).alias("first_transfer"), F.count(F.when(F.col("what") == "transfer", 1)).alias("transfers"), (some(moves & (F.col("amount") < 0)) if narrow else F.lit(True)).alias("all_there_is"),
         F.sum(F.when(moves, F.col("amount").cast("decimal(38,0)"))).alias("moved") if narrow else F.lit(0).alias("moved"),
     ).first().asDict()
 
 
-def in_order(ticks: bool) -> Column:
-    """Whether an event's outcome can hang on a balance, or on what came before it other than its accounts and its id."""
+def in_order(ticks: bool, imports: bool = True) -> Column:
+    """Whether an event's outcome can hang on a balance, or on what came before it other than its accounts and its id. imports: or on the times before it."""
     limits = A.DEBITS_MUST_NOT_EXCEED_CREDITS | A.CREDITS_MUST_NOT_EXCEED_DEBITS
-    test = is_a("account", A.LINKED | A.IMPORTED | A.CLOSED) | is_a("account", limits) & (F.col("flags").bitwiseAND(int(limits)) != int(limits))  # both at once are refused
-    test |= is_a("transfer", T.LINKED | T.BALANCING_DEBIT | T.BALANCING_CREDIT | T.CLOSING_DEBIT | T.CLOSING_CREDIT | T.IMPORTED)
+    test = is_a("account", A.LINKED | A.CLOSED | (A.IMPORTED if imports else 0)) | is_a("account", limits) & (F.col("flags").bitwiseAND(int(limits)) != int(limits))  # both at once are refused
+    test |= is_a("transfer", T.LINKED | T.BALANCING_DEBIT | T.BALANCING_CREDIT | T.CLOSING_DEBIT | T.CLOSING_CREDIT | (T.IMPORTED if imports else 0))
     return F.coalesce(test | (F.col("timeout") > 0) if ticks else test, F.lit(False))
 
 
@@ -277,7 +278,11 @@ def plan(events: DataFrame, slice_ns: int | None = None) -> DataFrame:
     """What fold() gives for a log in which nothing hangs on order, as a plan. slice_ns: see fast.running()."""
     accounts = accept_accounts(events.where("what = 'account'"))
     made = accounts.where("status = 'created'").select("id", "ledger", "at", "flags")
-    moved = accept(events.where("what = 'transfer'"), made)
+    return answers(accounts, accept(events.where("what = 'transfer'"), made), slice_ns)
+
+
+def answers(accounts: DataFrame, moved: DataFrame, slice_ns: int | None) -> DataFrame:
+    """Results and account events out of accounts and transfers with their statuses."""
     answer = lambda rows: rows.select(F.lit("result").alias("what"), "batch", "idx", F.col("stamped").alias("timestamp"), "status")
     log = fast.event_log(fast.as_kept(moved), slice_ns=slice_ns).withColumns({"what": F.lit("event"), "idx": F.lit(None).cast("long"), "status": F.lit(None).cast("string")})
     both = answer(accounts).unionByName(answer(moved)).unionByName(log, allowMissingColumns=True)
@@ -307,6 +312,11 @@ def execute(events: DataFrame, exact: bool = False) -> DataFrame:
         return out.distinct()
 
     several, rows = named_again(events, exact), None
+    before = found["last_account_import"] is None or found["first_transfer"] is None or found["last_account_import"] < found["first_transfer"]
+    if found["imported"] and before and not (hard or waits or found["resolves"] or found["ordered_but_imports"]):
+        several = materialize(several, "again")
+        if several.isEmpty() and events.where("what = 'account'").groupBy("id").count().where("count > 1").isEmpty():
+            return answers(*accept_imports(events.where("what <> 'tick'"), (found["accounts"], found["transfers"])), slices)
     if found["accounts"] > CLOSE:
         several = materialize(several, "again")
         rows = closely(events, exact, found, several, None if hard else marks)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterator
 from dataclasses import fields
+from itertools import starmap
 
 import pyarrow as pa
 
@@ -48,6 +49,7 @@ class Fold:
         for b in batches:
             columns = {n: self._values(n, b.column(i)) for i, n in enumerate(b.schema.names)}
             component, batch, what, n = columns["component"], columns["batch"], columns["what"], b.num_rows
+            made = {w: list(zip(*[columns[f] for f in FIELDS[kind]], strict=True)) for w, kind in KINDS.items()}
             i = 0
             while i < n:
                 run, j = (component[i], batch[i], what[i]), i + 1
@@ -61,8 +63,7 @@ class Fold:
                 if run[2] == "tick":
                     yield from self._pulse(columns["batch_time"][i])
                 else:
-                    kind = KINDS[run[2]]
-                    rows = columns["idx"][i:j], list(map(kind, *[columns[f][i:j] for f in FIELDS[kind]])), columns["again"][i:j]
+                    rows = columns["idx"][i:j], list(starmap(KINDS[run[2]], made[run[2]][i:j])), columns["again"][i:j]
                     yield from self._take(run[2], rows, (columns["batch_time"][i], columns["size"][i], columns["imports"][i]))
                 i = j
         yield from self._finish()
@@ -122,7 +123,8 @@ class Fold:
         self._drain()
         s.accounts.settle()
         s.transfers.settle()
-        yield from self._sent(ROWS)
+        if len(self.results) > ROWS or len(self.events) > ROWS:
+            yield from self._sent(ROWS)
 
     def _pulse(self, time: int) -> Iterator[pa.RecordBatch]:
         for _ in self.state.pulses(time):

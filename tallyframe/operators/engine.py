@@ -8,7 +8,7 @@ from dataclasses import fields
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.types import AMOUNT_MAX, BATCH_MAX, EVENT_TYPES, NS, U63_MAX, WIDE, Account, AccountFlags, PendingStatus, Transfer, TransferFlags, to_bytes
+from ..functions.types import AMOUNT_MAX, EVENT_TYPES, NS, U63_MAX, WIDE, Account, AccountFlags, PendingStatus, Transfer, TransferFlags, to_bytes
 from ..plans import fast
 from ..plans.accept import BALANCES, accept, accept_accounts
 from ..plans.imports import accept_imports
@@ -153,20 +153,25 @@ def closely(events: DataFrame, exact: bool, found: dict, several: DataFrame, mar
 
 def next_ticks(rows: DataFrame, ticks: DataFrame) -> DataFrame:
     """The ticks that can release something, for each component: the first at or after a pending transfer runs out."""
+    waits = rows.where(is_a("transfer", T.PENDING) & (F.col("timeout") > 0) & (F.col("timeout") <= F.expr(f"({U63_MAX} - at) div {NS}"))).withColumn("t", F.col("at") + F.col("timeout") * NS)
+    found = ticks_after(waits.select("t", "component"), ticks).select("component", F.col("tick").alias("batch_time")).distinct()
+    return ticks.join(found, "batch_time")
+
+
+def ticks_after(waits: DataFrame, ticks: DataFrame) -> DataFrame:
+    """The rows of waits with tick, the first time of a tick at or after t; those without any are left out."""
     low, high = ticks.agg(F.min("batch_time"), F.max("batch_time")).first()
     wide = (high - low) // STRETCHES + 1
     stretch = lambda t: F.greatest(F.lit(0).cast("long"), F.expr(f"({t} - {low}) div {wide}"))
-    waits = rows.where(is_a("transfer", T.PENDING) & (F.col("timeout") > 0) & (F.col("timeout") <= F.expr(f"({U63_MAX} - at) div {NS}"))).withColumn("t", F.col("at") + F.col("timeout") * NS).where(F.col("t") <= high)
-    known = ticks.select(stretch("batch_time").alias("k"), F.col("batch_time").alias("t"), F.col("batch_time").alias("tick"), F.lit(None).cast("long").alias("component"))
+    known = ticks.select(stretch("batch_time").alias("k"), F.col("batch_time").alias("t"), F.col("batch_time").alias("tick"), F.lit(False).alias("waits"))
     dealt = known.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
-    both = dealt.unionByName(waits.select(stretch("t").alias("k"), "t", F.lit(None).cast("long").alias("tick"), "component", F.pmod(F.xxhash64("t", "component"), F.lit(WAYS)).cast("int").alias("way")))
-    found = both.withColumn("tick", F.last("tick", True).over(Window.partitionBy("k", "way").orderBy(F.desc("t"), F.col("tick").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))).where("component is not null")
+    both = waits.where(F.col("t") <= high).withColumns({"k": stretch("t"), "tick": F.lit(None).cast("long"), "waits": F.lit(True), "way": F.pmod(F.xxhash64(*waits.columns), F.lit(WAYS)).cast("int")}).unionByName(dealt, allowMissingColumns=True)
+    found = both.withColumn("tick", F.last("tick", True).over(Window.partitionBy("k", "way").orderBy(F.desc("t"), F.col("tick").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))).where("waits")
     # STRETCHES rows at most: the first tick of each stretch, for those before it
     firsts = known.groupBy("k").agg(F.min("t").alias("first"))
-    every = rows.sparkSession.range(STRETCHES + 1).select(F.col("id").alias("k")).join(firsts, "k", "left")
+    every = ticks.sparkSession.range(STRETCHES + 1).select(F.col("id").alias("k")).join(firsts, "k", "left")
     after = every.withColumn("after", F.min("first").over(Window.orderBy("k").rowsBetween(1, Window.unboundedFollowing))).select("k", "after")
-    found = found.join(F.broadcast(after), "k").select("component", F.coalesce("tick", "after").alias("batch_time")).distinct()
-    return ticks.join(found, "batch_time")
+    return found.join(F.broadcast(after), "k").withColumn("tick", F.coalesce("tick", "after")).select(*waits.columns, "tick")
 
 
 def survey(events: DataFrame) -> dict:
@@ -262,35 +267,48 @@ def run_groups(rows: DataFrame, events: DataFrame, found: dict, several: DataFra
 
 
 def released(out: DataFrame, ticks: DataFrame) -> DataFrame:
-    """The rows with the times of a tick's expiries given out over all components: in order of expiry and then creation, a request's worth at a time."""
+    """The rows with the times of a tick's expiries given out over all components: in order of expiry and then creation, up to the tick's own."""
     out = materialize(out, "released")  # read twice
     gone = F.coalesce(F.col("kind") == int(PendingStatus.EXPIRED), F.lit(False))
     tick = Window.partitionBy("batch")
     rank = F.row_number().over(tick.orderBy("due", "made")) - 1
-    held = F.least(F.lit(BATCH_MAX), F.count("*").over(tick) - F.expr(f"rank_ div {BATCH_MAX}") * BATCH_MAX)
+    held = F.count("*").over(tick)
     times = ticks.select("batch", "batch_time").distinct()
-    late = out.where(gone).join(times, "batch").withColumn("rank_", rank).withColumn("timestamp", F.col("batch_time") - held + F.col("rank_") % BATCH_MAX + 1)
+    late = out.where(gone).join(times, "batch").withColumn("rank_", rank).withColumn("timestamp", F.col("batch_time") - held + F.col("rank_") + 1)
     known = {"what": F.lit("event"), "idx": F.lit(None).cast("long"), "status": F.lit(None).cast("string")}  # so that they fall out of the plan where results are asked for
     return out.where(~gone).unionByName(late.withColumns(known).select(*out.columns))
 
 
-def plan(events: DataFrame, slice_ns: int | None = None) -> DataFrame:
-    """What fold() gives for a log in which nothing hangs on order, as a plan. slice_ns: see fast.running()."""
+def plan(events: DataFrame, slice_ns: int | None = None, ticks: DataFrame | None = None) -> DataFrame:
+    """What fold() gives for a log in which nothing hangs on order, as a plan. slice_ns: see fast.running(). ticks: those that release what ran out."""
     accounts = accept_accounts(events.where("what = 'account'"))
     made = accounts.where("status = 'created'").select("id", "ledger", "at", "flags")
-    return answers(accounts, accept(events.where("what = 'transfer'"), made), slice_ns)
+    moved = accept(events.where("what = 'transfer'"), made)
+    if ticks is None:
+        return answers(accounts, moved, slice_ns)
+    moved = materialize(moved, "moved")  # read twice
+    return answers(accounts, moved, slice_ns, pulsed(fast.expiries(fast.as_kept(moved)), ticks))
+
+
+def pulsed(gone: DataFrame, ticks: DataFrame) -> DataFrame:
+    """The rows of fast.expiries() that a tick releases, due at its time and in its batch, with seq, from the first (the lowest) to -1."""
+    named = ticks.groupBy("batch_time").agg(F.min("batch").alias("batch"))
+    found = ticks_after(gone.withColumnRenamed("due", "t"), ticks).drop("batch", "batch_time").join(named, F.col("tick") == F.col("batch_time"))
+    tick = Window.partitionBy("tick")
+    seq = F.row_number().over(tick.orderBy("t", "timestamp", "id")) - F.count("*").over(tick) - 1
+    return found.withColumns({"seq": seq, "due": F.col("tick"), "amount_requested": F.lit(0).cast("long")})
 
 
-def answers(accounts: DataFrame, moved: DataFrame, slice_ns: int | None) -> DataFrame:
-    """Results and account events out of accounts and transfers with their statuses."""
+def answers(accounts: DataFrame, moved: DataFrame, slice_ns: int | None, gone: DataFrame | None = None) -> DataFrame:
+    """Results and account events out of accounts and transfers with their statuses. gone: see pulsed()."""
     answer = lambda rows: rows.select(F.lit("result").alias("what"), "batch", "idx", F.col("stamped").alias("timestamp"), "status")
-    log = fast.event_log(fast.as_kept(moved), slice_ns=slice_ns).withColumns({"what": F.lit("event"), "idx": F.lit(None).cast("long"), "status": F.lit(None).cast("string")})
+    log = fast.event_log(fast.as_kept(moved), gone, slice_ns=slice_ns).withColumns({"what": F.lit("event"), "idx": F.lit(None).cast("long"), "status": F.lit(None).cast("string")})
     both = answer(accounts).unionByName(answer(moved)).unionByName(log, allowMissingColumns=True)
     return both.select(*[F.col(n).cast(t) for n, t in (c.split() for c in OUT.format(w="long").split(", "))])
 
 
 def execute(events: DataFrame, exact: bool = False) -> DataFrame:
-    """fold(), but as a plan where that gives the same: in a log, or in groups of its ledgers, without chains, limits, balancing, closing, imports, and timeouts that ticks release."""
+    """fold(), but as a plan where that gives the same: in a log, or in groups of its ledgers, without chains, limits, balancing, closing, imports, and, where any of that is there, timeouts that ticks release."""
     found = survey(events)
     events = placed(events)
     hard = exact or found["all_there_is"] or (found["moved"] or 0) >= 2**62
@@ -300,8 +318,8 @@ def execute(events: DataFrame, exact: bool = False) -> DataFrame:
         knots = materialize(tangled(events.where("what = 'transfer'")), "tangled") if found["resolves"] else None
         if knots is not None and knots.isEmpty():
             knots = None
-        if not found["ordered"] and not waits and knots is None:
-            return plan(events, slices)
+        if not found["ordered"] and knots is None:  # whether a tick has come or not, what ran out is found expired
+            return plan(events, slices, events.where("what = 'tick'") if waits else None)
     events = materialize(events, "log")  # read several times from here on
 
     def marks(rows: DataFrame, key: str = "home") -> DataFrame:

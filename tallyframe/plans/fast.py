@@ -43,7 +43,7 @@ def expiries(resolved: DataFrame, now: int | None = None) -> DataFrame:
 
 
 def effects(resolved: DataFrame, expired: DataFrame | None = None) -> DataFrame:
-    """A row for each thing that moved balances: its accounts, what it moved, what it freed, and the transfer's fields."""
+    """A row for each thing that moved balances: its accounts, what it moved, what it freed, and the transfer's fields. Where expired has seq, see event_log()."""
     whole = "p_id" in resolved.columns
     sides = [F.col(n) for n in ("debit_flags", "credit_flags") if n in resolved.columns]
     rest = ["user_data_128", "user_data_64", "user_data_32", *[F.col(n).alias(f"transfer_{n}") if n == "flags" else n for n in ("amount_requested", "flags", "batch") if n in resolved.columns]]
@@ -55,7 +55,7 @@ def effects(resolved: DataFrame, expired: DataFrame | None = None) -> DataFrame:
     if expired is None:
         return rows
     gone = expired.select(
-        F.col("due").alias("timestamp"), F.lit(1).alias("seq"), F.lit(4).alias("kind"), "amount", F.col("amount").alias("freed"),
+        F.col("due").alias("timestamp"), (F.col("seq") if "seq" in expired.columns else F.lit(1)).alias("seq"), F.lit(4).alias("kind"), "amount", F.col("amount").alias("freed"),
         "debit_account_id", "credit_account_id", "ledger", "code", *rest, F.col("id").alias("transfer_key"), *sides,
     )
     return rows.unionByName(gone)
@@ -105,6 +105,7 @@ def event_log(resolved: DataFrame, expired: DataFrame | None = None, slice_ns: i
     """A row for each effect with both accounts' balances after it, and their flags where resolved has them.
 
     One window by account over the legs, which carry the effect with the debit, and one aggregation that puts two legs together.
+    Expiries with a seq below 0 come before all else of their time, and are given times that count back from it, up to it at -1.
     """
     rows = effects(resolved, expired)
     carried = [c for c in rows.columns if c not in ("timestamp", "seq", "kind", "transfer_key", "freed", "debit_account_id", "credit_account_id")]
@@ -114,6 +115,7 @@ def event_log(resolved: DataFrame, expired: DataFrame | None = None, slice_ns: i
     out = after.groupBy("timestamp", "seq", "kind", "transfer_key").agg(
         of(True, "account_id", "debit_account_id"), of(False, "account_id", "credit_account_id"), *[F.max(c).alias(c) for c in carried], *[of(m, b, f"{s}_{b}") for m, s in sides for b in BALANCES],
     )
+    out = out.withColumn("timestamp", F.col("timestamp") + F.least(F.col("seq") + 1, F.lit(0)))
     return out.drop("seq").withColumnsRenamed({"debit_flags": "dr_flags", "credit_flags": "cr_flags"})
 
 

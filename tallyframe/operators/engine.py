@@ -36,6 +36,8 @@ ROUNDS = 5
 FIRST = 2
 #: A stretch of places in a batch holds some so many events, to find what follows a linked one.
 STRETCH = 4096
+#: A task of the kernel takes some so many events of a large log, as far as groups allow.
+EVENTS = 400_000
 #: What is to be released is dealt out so many ways to find its tick.
 WAYS = 16
 
@@ -175,12 +177,14 @@ def ticks_after(waits: DataFrame, ticks: DataFrame) -> DataFrame:
 
 
 def survey(events: DataFrame) -> dict:
-    """What a log holds, in one pass."""
+    """What a log holds, in one pass. names: the fields that aren't zero or null everywhere."""
     imported = is_a("account", A.IMPORTED) | is_a("transfer", T.IMPORTED)
     moves = (F.col("what") == "transfer") & ~is_a("transfer", RESOLVES)
     narrow = dict(events.dtypes)["amount"] == "bigint"
     some = lambda test: F.coalesce(F.max(test), F.lit(False))
-    return events.agg(
+    whole = [n for n, kind in events.dtypes if n in NAMES and kind == "bigint"]
+    found = events.agg(
+        *[F.bit_or(n).alias(f"any_{n}") for n in whole],
         F.count("*").alias("n"), F.count(F.when(F.col("what") == "account", 1)).alias("accounts"), F.coalesce(F.min("idx"), F.lit(0)).alias("low"), F.coalesce(F.max("idx"), F.lit(0)).alias("high"), some(F.col("what") == "tick").alias("ticks"), some(F.col("flags").bitwiseAND(1) != 0).alias("linked"), some(imported).alias("imported"),
         F.max(F.when(imported, F.col("batch"))).alias("last_import"), *[F.max(F.when(is_a(k, f), F.col("batch"))).alias(f"last_{k}_import") for k, f in (("account", A.IMPORTED), ("transfer", T.IMPORTED))],
         F.min(F.when(imported, F.col("timestamp"))).alias("first_time"),
@@ -188,6 +192,7 @@ def survey(events: DataFrame) -> dict:
         some(in_order(False)).alias("ordered"), some(in_order(False, False)).alias("ordered_but_imports"), F.min(F.when(F.col("what") == "transfer", F.col("batch"))).alias("first_transfer"), F.count(F.when(F.col("what") == "transfer", 1)).alias("transfers"), (some(moves & (F.col("amount") < 0)) if narrow else F.lit(True)).alias("all_there_is"),
         F.sum(F.when(moves, F.col("amount").cast("decimal(38,0)"))).alias("moved") if narrow else F.lit(0).alias("moved"),
     ).first().asDict()
+    return found | {"names": [n for n in NAMES if n not in whole or found[f"any_{n}"]]}
 
 
 def in_order(ticks: bool, imports: bool = True) -> Column:
@@ -220,7 +225,7 @@ def grouped(events: DataFrame, exact: bool, found: dict) -> DataFrame:
     return rows.join(parts, "home", "left").withColumn("component", F.coalesce("component", "home")).drop("home")
 
 
-def fold(events: DataFrame, exact: bool = False) -> DataFrame:
+def fold(events: DataFrame, exact: bool = False, by: str | None = None, only: str | None = None) -> DataFrame:
     """Results and account events of a log of requests, oldest first, all of it in order.
 
     events: what ('account', 'transfer' or 'tick'), batch (also its order, and that of batch_time), idx, batch_time, and the
@@ -228,15 +233,21 @@ def fold(events: DataFrame, exact: bool = False) -> DataFrame:
     stands for all there is; in the exact one wide numbers are 16 bytes. Returned: a row for each
     event with what = 'result', and one for each transfer made or expired with what = 'event'. Ledgers
     that depend on each other run in one group, however many there are. Output doesn't depend on how rows are partitioned.
+    by: a column of small groups that the caller knows to have nothing to do with each other: no account, id or chain in common, nor imports;
+    they aren't looked for then, and all transfers of a group are held. only: 'result' or 'event', if the other rows aren't wanted.
     """
     found = survey(events)
     events = placed(events)
+    if by is not None:
+        if found["imported"]:
+            raise ValueError("imported times are compared over all groups")
+        return run_groups(events.where("what <> 'tick'").withColumn("component", F.col(by)), events, found, None, only)
     several, rows = named_again(events, exact), None
     if found["accounts"] > CLOSE:
         events = materialize(events, "log")
         several = materialize(named_again(events, exact), "again")
         rows = closely(events, exact, found, several, None)
-    return run_groups(grouped(events, exact, found) if rows is None else rows, events, found, several)
+    return run_groups(grouped(events, exact, found) if rows is None else rows, events, found, several, only)
 
 
 def named_again(events: DataFrame, exact: bool) -> DataFrame:
@@ -246,10 +257,10 @@ def named_again(events: DataFrame, exact: bool) -> DataFrame:
     return names.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("again"))
 
 
-def run_groups(rows: DataFrame, events: DataFrame, found: dict, several: DataFrame) -> DataFrame:
-    """The kernel over each component of rows, some of events, with the ticks that matter to it. The events of a component come sorted, and are not gathered. several: see named_again()."""
+def run_groups(rows: DataFrame, events: DataFrame, found: dict, several: DataFrame | None, only: str | None = None) -> DataFrame:
+    """The kernel over each component of rows, some of events, with the ticks that matter to it. The events of a component come sorted, and are not gathered. several: see named_again(); without it all transfers are held until their component ends. only: see fold()."""
     exact = dict(events.dtypes)["id"] == "binary"
-    rows = rows.join(several, "id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    rows = rows.withColumn("again", F.lit(True)) if several is None else rows.join(several, "id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
     if found["imported"]:  # as the first event of each batch says
         flag = F.when(F.col("what") == "account", int(A.IMPORTED)).otherwise(int(T.IMPORTED))
         firsts = events.where("what <> 'tick'").groupBy("batch", "what").agg(F.min(F.struct("idx", "flags"))["flags"].alias("first"))
@@ -261,8 +272,11 @@ def run_groups(rows: DataFrame, events: DataFrame, found: dict, several: DataFra
         rows = rows.unionByName(next_ticks(rows, ticks).withColumns({"imports": F.lit(False), "again": F.lit(False)}), allowMissingColumns=True)
     shape = OUT.format(w="binary" if exact else "long") + ", due long, made long"
     last = found["last_account_import"], found["last_transfer_import"]
-    sorted_ = rows.select("component", "batch", "idx", "what", "size", "batch_time", "imports", "again", *NAMES).repartition("component").sortWithinPartitions("component", "batch", "idx", "what")
-    out = sorted_.mapInArrow(lambda batches: Fold(shape, exact, last)(batches), shape)
+    tasks = found["n"] // EVENTS
+    dealt = rows.select("component", "batch", "idx", "what", "size", "batch_time", "imports", "again", *found["names"])
+    dealt = dealt.repartition(tasks, "component") if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else dealt.repartition("component")
+    sorted_ = dealt.sortWithinPartitions("component", "batch", "idx", "what")
+    out = sorted_.mapInArrow(lambda batches: Fold(shape, exact, last, only)(batches), shape)
     return (out if ticks is None else released(out, ticks)).drop("due", "made")
 
 

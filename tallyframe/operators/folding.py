@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterator
 from dataclasses import fields
-from itertools import starmap
+from itertools import repeat, starmap
 
 import pyarrow as pa
 
@@ -24,12 +24,13 @@ class Fold:
     """The answer to a log that comes sorted by component, batch, idx and what.
 
     shape: the columns of the answer, in Spark's words. last_imports: the last batches that import
-    accounts and transfers; times are held only as long as imports are compared with them.
+    accounts and transfers; times are held only as long as imports are compared with them. only: the
+    rows wanted, 'result' or 'event', or both. Fields that the log's columns lack are zero.
     """
 
-    def __init__(self, shape: str, exact: bool, last_imports: tuple[int | None, int | None]):
+    def __init__(self, shape: str, exact: bool, last_imports: tuple[int | None, int | None], only: str | None = None):
         self.schema = pa.schema([(n, TYPES[t]) for n, t in (c.split() for c in shape.split(", "))])
-        self.exact, self.last_imports = exact, last_imports
+        self.exact, self.last_imports, self.only = exact, last_imports, only
         self.state, self.key, self.what, self.part = State(), None, None, (0, 0, False)
         self.held: tuple[list, list, list] = ([], [], [])  # places, records and whether their ids come again: of a chain that may go on
         self.later: dict[str, tuple[tuple, tuple]] = {}  # what a batch holds of the other kind
@@ -49,7 +50,8 @@ class Fold:
         for b in batches:
             columns = {n: self._values(n, b.column(i)) for i, n in enumerate(b.schema.names)}
             component, batch, what, n = columns["component"], columns["batch"], columns["what"], b.num_rows
-            made = {w: list(zip(*[columns[f] for f in FIELDS[kind]], strict=True)) for w, kind in KINDS.items()}
+            seen = set(what)
+            made = {w: list(zip(*[columns.get(f) or repeat(0, n) for f in FIELDS[kind]], strict=True)) for w, kind in KINDS.items() if w in seen}
             i = 0
             while i < n:
                 run, j = (component[i], batch[i], what[i]), i + 1
@@ -108,7 +110,9 @@ class Fold:
         places, records, again = rows
         s, batch = self.state, self.key[1]
         run = s.create_accounts if what == "account" else s.create_transfers
-        self.results += [("result", batch, place, *r) for place, r in zip(places, run(records, time, Part(places, size, imports)), strict=True)]
+        answers = run(records, time, Part(places, size, imports))
+        if self.only != "event":
+            self.results += [("result", batch, place, *r) for place, r in zip(places, answers, strict=True)]
         if what == "transfer":
             for r, more in zip(records, again, strict=True):
                 if not more and not (r.timeout and r.flags & PENDING):  # nothing asks for it any more
@@ -133,6 +137,9 @@ class Fold:
             yield from self._sent(ROWS)
 
     def _drain(self) -> None:
+        if self.only == "result":
+            self.state.events.clear()
+            return
         wide, batch = to_bytes if self.exact else (lambda x: x), self.key[1]
         for e in self.state.events:
             src, a, b = e.transfer or e.pending, e.debit, e.credit

@@ -177,9 +177,8 @@ class State:
             return "exists", e.timestamp
         if a.has(A.DEBITS_MUST_NOT_EXCEED_CREDITS) and a.has(A.CREDITS_MUST_NOT_EXCEED_DEBITS):
             return "flags_are_mutually_exclusive", at
-        for name in SIDES:
-            if getattr(a, name):
-                return f"{name}_must_be_zero", at
+        if a.debits_pending or a.debits_posted or a.credits_pending or a.credits_posted:
+            return f"{next(name for name in SIDES if getattr(a, name))}_must_be_zero", at
         if not a.ledger:
             return "ledger_must_not_be_zero", at
         if not a.code:
@@ -253,18 +252,18 @@ class State:
         return "exists", e.timestamp
 
     def _move(self, t: Transfer, at: int, log: list | None) -> str:
-        for side in ("debit", "credit"):
-            i = getattr(t, f"{side}_account_id")
-            if i in (0, U128_MAX):
+        for side, i in (("debit", t.debit_account_id), ("credit", t.credit_account_id)):
+            if i == 0 or i == U128_MAX:
                 return f"{side}_account_id_must_not_be_{'zero' if i == 0 else 'int_max'}"
-        pending = t.has(T.PENDING)
+        flags = t.flags
+        pending = bool(flags & T.PENDING)
         if t.debit_account_id == t.credit_account_id:
             return "accounts_must_be_different"
         if t.pending_id:
             return "pending_id_must_be_zero"
         if t.timeout and not pending:
             return "timeout_reserved_for_pending_transfer"
-        if t.flags & (T.CLOSING_DEBIT | T.CLOSING_CREDIT) and not pending:
+        if flags & (T.CLOSING_DEBIT | T.CLOSING_CREDIT) and not pending:
             return "closing_transfer_must_be_pending"
         if not t.ledger:
             return "ledger_must_not_be_zero"
@@ -297,26 +296,28 @@ class State:
             amount = min(amount, max(0, dr.credits_posted - dr.debits_posted - dr.debits_pending))
         if t.has(T.BALANCING_CREDIT):
             amount = min(amount, max(0, cr.debits_posted - cr.credits_posted - cr.credits_pending))
-        sums = [("debits_posted", dr.debits_posted), ("credits_posted", cr.credits_posted)]
-        if pending:
-            sums = [("debits_pending", dr.debits_pending), ("credits_pending", cr.credits_pending), *sums]
-        sums += [("debits", dr.debits_pending + dr.debits_posted), ("credits", cr.credits_pending + cr.credits_posted)]
-        for name, s in sums:
-            if s + amount > U128_MAX:
-                return f"overflows_{name}"
+        debits, credits = dr.debits_pending + dr.debits_posted, cr.credits_pending + cr.credits_posted
+        if debits + amount > U128_MAX or credits + amount > U128_MAX:  # else no part of them overflows
+            sums = [("debits_posted", dr.debits_posted), ("credits_posted", cr.credits_posted)]
+            if pending:
+                sums = [("debits_pending", dr.debits_pending), ("credits_pending", cr.credits_pending), *sums]
+            for name, s in [*sums, ("debits", debits), ("credits", credits)]:
+                if s + amount > U128_MAX:
+                    return f"overflows_{name}"
         if at + t.timeout * NS > U63_MAX:
             return "overflows_timeout"
-        if dr.has(A.DEBITS_MUST_NOT_EXCEED_CREDITS) and dr.debits_pending + dr.debits_posted + amount > dr.credits_posted:
+        if dr.flags & A.DEBITS_MUST_NOT_EXCEED_CREDITS and debits + amount > dr.credits_posted:
             return "exceeds_credits"
-        if cr.has(A.CREDITS_MUST_NOT_EXCEED_DEBITS) and cr.credits_pending + cr.credits_posted + amount > cr.debits_posted:
+        if cr.flags & A.CREDITS_MUST_NOT_EXCEED_DEBITS and credits + amount > cr.debits_posted:
             return "exceeds_debits"
         kept = replace(t, amount=amount, timestamp=at)
-        kind = "pending" if pending else "posted"
-        dr = replace(dr, **{f"debits_{kind}": getattr(dr, f"debits_{kind}") + amount})
-        cr = replace(cr, **{f"credits_{kind}": getattr(cr, f"credits_{kind}") + amount})
-        if t.has(T.CLOSING_DEBIT):
+        if pending:
+            dr, cr = replace(dr, debits_pending=dr.debits_pending + amount), replace(cr, credits_pending=cr.credits_pending + amount)
+        else:
+            dr, cr = replace(dr, debits_posted=dr.debits_posted + amount), replace(cr, credits_posted=cr.credits_posted + amount)
+        if flags & T.CLOSING_DEBIT:
             dr = replace(dr, flags=dr.flags | A.CLOSED)
-        if t.has(T.CLOSING_CREDIT):
+        if flags & T.CLOSING_CREDIT:
             cr = replace(cr, flags=cr.flags | A.CLOSED)
         self._book(log, kept, dr, cr, PendingStatus.PENDING if pending else PendingStatus.NONE, None, t.amount)
         if pending:

@@ -2,19 +2,19 @@
 
 Both deal rows by the nearest of some routing vectors into cells, and cells into blocks with an
 index each. A query first meets a block of its own cell. What it finds there is a bound: of the other cells it
-visits only those whose ball can hold something as good, and takes the bound along.
+visits only those whose ball can hold something as good, and takes the bound along. Blocks lie together in
+regions: a query goes to a region once, whatever it meets there.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
@@ -26,8 +26,14 @@ FAN = 16
 MOST_CELLS = 1024
 #: So many rows are compared with all cells, or coded, at a time.
 ROWS = 512
-#: So many blocks of queries meet a block of candidates in a task.
+#: Queries of so many full blocks meet a region in a task.
 SHARE = 64
+#: Blocks of a region at most, and tasks below which regions are made smaller.
+REGION, TASKS = 16, 32
+#: Rows of a row group where each holds an index or a block of queries.
+BLOBS = 16
+#: So many queries have their tables added up together, and so many pairs of a query and a row are scored together.
+ASKED, PAIRS = 64, 8192
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -82,21 +88,54 @@ class Cells:
             far = np.sqrt(np.maximum(0.0, least)) + 1e-6 * (1.0 + np.sqrt(square))
         return own, np.where(np.isfinite(far), far, np.inf), np.sqrt(square)
 
-    def most(self, v: np.ndarray) -> np.ndarray:
-        """The largest inner product that a row of each cell can have with each of the vectors."""
+    def most(self, v: np.ndarray, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The largest inner product that a row of each cell, or of some, can have with each of the vectors."""
+        longest = self.longest[some]
         with np.errstate(over="ignore", invalid="ignore"):
             size = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
-            ball = fitted(v, self.centres.shape[1]) @ self.centres.T + size * self.radius
-            out = np.minimum(ball, size * self.longest)
-            out = out + 1e-6 * (1.0 + np.abs(out)) + 1e-9 * size * self.longest
+            ball = fitted(v, self.centres.shape[1]) @ self.centres[some].T + size * self.radius[some]
+            out = np.minimum(ball, size * longest)
+            out = out + 1e-6 * (1.0 + np.abs(out)) + 1e-9 * size * longest
         return np.where(np.isnan(out), np.inf, out)
 
+    def of(self, blocks: np.ndarray) -> np.ndarray:
+        """The cells of blocks; cells without blocks have the first of the next one."""
+        return np.searchsorted(self.first, blocks, side="right") - 1
 
-def dealt(base: DataFrame, block_rows: int, every: int) -> tuple[DataFrame, Cells, np.ndarray, np.ndarray]:
+
+def slim(v: np.ndarray) -> np.ndarray:
+    """The same numbers in single precision, if it holds them."""
+    with np.errstate(over="ignore"):
+        short = v.astype(np.float32)
+    return short if (short == v).all() else v
+
+
+def best_of(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vec_id, score, place from 0) of the k best of each query, ties to the smaller vec_id."""
+    order = np.lexsort((v, ~s if s.dtype == np.int64 else -s, q))
+    q, v, s = q[order], v[order], s[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(q)), bool), q[1:] != q[:-1])))
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    keep = place < k
+    return q[keep], v[keep], s[keep], place[keep]
+
+
+def raised(ids: np.ndarray, bounds: np.ndarray, q: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The bounds of queries, raised where q has a score, though never above the score itself."""
+    y = s.astype(np.float64)
+    y = np.where(np.abs(y) < 2**53, y, np.nextafter(y, -np.inf)) if s.dtype == np.int64 else y
+    order = np.argsort(ids)
+    out, at = bounds.copy(), order[np.searchsorted(ids, q, sorter=order)]
+    out[at] = np.fmax(out[at], y)
+    return out
+
+
+def dealt(base: DataFrame, block_rows: int, every: int, width: str) -> tuple[DataFrame, Cells, np.ndarray, np.ndarray]:
     """(table of vec_id, vec, cell), its cells, and the rows and queries in each.
 
-    Routing vectors come from a sample of 16 rows a cell, those whose ids have the smallest hashes.
+    Routing vectors come from a sample of 16 rows a cell, those whose ids have the smallest hashes. width: float, if it holds all components, or double.
     """
+    kind = pa.list_(pa.float32() if width == "float" else pa.float64())
     rows = base.count()
     cells = min(MOST_CELLS, max(1, round(rows / block_rows)))
     sample = base.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(16 * cells).select("vec").toArrow()
@@ -105,9 +144,9 @@ def dealt(base: DataFrame, block_rows: int, every: int) -> tuple[DataFrame, Cell
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own, far, size = routes.nearest(matrix(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int64()), pa.array(far, pa.float64()), pa.array(size, pa.float64())], ["vec_id", "vec", "cell", "far", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(kind), pa.array(own, pa.int64()), pa.array(far, pa.float64()), pa.array(size, pa.float64())], ["vec_id", "vec", "cell", "far", "size"])
 
-    table = materialize(map_arrow(base.select("vec_id", "vec"), run, "vec_id long, vec array<double>, cell long, far double, size double"), "cells")
+    table = materialize(map_arrow(base.select("vec_id", "vec"), run, f"vec_id long, vec array<{width}>, cell long, far double, size double"), "cells")
     found = table.groupBy("cell").agg(F.count("*").alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q"), F.max("far").alias("far"), F.max("size").alias("size")).collect()
     n = len(routes.centres)
     counts, asked, routes.radius, routes.longest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
@@ -126,60 +165,68 @@ def split(df: DataFrame, first: np.ndarray, parts: np.ndarray, name: str, place:
     return rows.withColumn(name, F.col("first_") + F.pmod("hash_", "parts_")).drop("hash_", "first_", "parts_")
 
 
-def search(base: DataFrame, k: int, every: int, build: Callable, find: Callable, score: str, block_rows: int, query_rows: int) -> DataFrame:
+def search(base: DataFrame, k: int, every: int, build: Callable, find: Callable, score: str, block_rows: int, query_rows: int, width: str = "double") -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every query, a row whose id is divisible by every.
 
     Each block builds its index once. Queries go in blocks of their own, each with what has been found
-    so far; a block of candidates meets SHARE of them in a task, and its index is copied for each SHARE, so that the
-    bytes of a task have a bound.
+    so far. They meet a region, up to REGION blocks of candidates, in shares of SHARE * query_rows, and its indexes are copied for each
+    share, so that the bytes of a task have a bound; what a query finds in a block of the region bounds what it looks for in the next.
+    The queries that go to a region are made while they are shuffled there, and not stored before.
     """
-    table, cells, _, asked = dealt(base, block_rows, every)
-    kind = pa.int64() if score == "long" else pa.float64()
+    table, cells, _, asked = dealt(base, block_rows, every, width)
+    kind, number = (pa.int64(), np.int64) if score == "long" else (pa.float64(), np.float64)
+    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, number))
+    parts = -(-asked // query_rows)
+    blocks = int(cells.blocks.sum())
+    # shares: by the queries that blocks of them have on average
+    shares = np.cumsum(np.repeat(asked / np.maximum(parts, 1), parts)) // (SHARE * query_rows)
+    region = max(1, min(REGION, blocks * (1 + int(shares[-1]) if len(shares) else 1) // TASKS))
 
     def index(rows: pa.Table) -> pa.Table:
         ids = rows.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        blob = pickle.dumps(build(ids[order], matrix(rows.column("vec"))[order]), 5)
+        made = build(ids[order], matrix(rows.column("vec"))[order])
+        blob = pickle.dumps(made | {"vectors": slim(made["vectors"])}, 5)
         return pa.table({"block": rows.column("block").slice(0, 1), "index": pa.array([blob], pa.binary())})
 
+    def opened(blob: pa.Scalar) -> dict:
+        made = pickle.loads(blob.as_py())
+        return made | {"vectors": made["vectors"].astype(np.float64)}
+
     def pack(rows: pa.Table) -> pa.Table:
         v = matrix(rows.column("vec"))
-        blob = pickle.dumps((rows.column("vec_id").to_numpy(), v, np.full(len(v), -np.inf)), 5)
         home = int(rows.column("cell")[0].as_py())
         number = int(rows.column("asked")[0].as_py())
         block = int(cells.first[home] + number % cells.blocks[home])
-        return pa.table({"asked": [number], "block": [block], "share": [number // SHARE], "queries": pa.array([blob], pa.binary())})
+        blob = pickle.dumps((rows.column("vec_id").to_numpy(), slim(v), np.full(len(v), -np.inf), block), 5)
+        return pa.table({"place": [block], "share": [int(shares[number])], "queries": pa.array([blob], pa.binary())})
 
-    indexes = materialize(split(table, cells.first, cells.blocks, "block", True).groupBy("block").applyInArrow(index, "block long, index binary"), "indexes")
-    parts = -(-asked // query_rows)
+    indexes = materialize(split(table, cells.first, cells.blocks, "block", True).groupBy("block").applyInArrow(index, "block long, index binary"), "indexes", group_rows=BLOBS)
     queries = table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vec", "cell")).alias("r")).select("vec_id", "r.*")
-    packed = split(queries, np.cumsum(parts) - parts, parts, "asked", False).groupBy("asked").applyInArrow(pack, "asked long, block long, share long, queries binary")
-    packed = materialize(packed, "asked")
+    packed = split(queries, np.cumsum(parts) - parts, parts, "asked", False).groupBy("asked").applyInArrow(pack, "place long, share long, queries binary")
+    packed = materialize(packed, "asked", group_rows=BLOBS)
+
+    def meet(left: DataFrame, wanted: DataFrame, place: Column, run: Callable, schema: str) -> DataFrame:
+        """Queries with the indexes of their place, a block or region. wanted: place_ and share_ of all of them, few numbers."""
+        each = indexes.withColumn("place", place).join(F.broadcast(wanted.distinct()), F.col("place") == F.col("place_")).select("place", F.col("share_").alias("share"), "block", "index")
+        return left.groupBy("place", "share").cogroup(each.groupBy("place", "share")).applyInArrow(run, schema)
 
-    def meet(left: DataFrame, run: Callable, schema: str) -> DataFrame:
-        wanted = left.select(F.col("block").alias("block_"), F.col("share").alias("share_")).distinct()
-        each = wanted.join(indexes, F.col("block_") == F.col("block")).select(F.col("block_").alias("block"), F.col("share_").alias("share"), "index")
-        return left.groupBy("block", "share").cogroup(each.groupBy("block", "share")).applyInArrow(run, schema)
+    def looked(own: dict, ids: np.ndarray, v: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, x, s = find(own, ids, v, k, bound)
+        return np.array(q, np.int64), np.array(x, np.int64), np.array(s, number)
 
     def begin(asking: pa.Table, held: pa.Table) -> pa.Table:
         """Every query against a block of its own cell; it goes on with the last of its k best as its bound."""
-        own, out, found = pickle.loads(held.column("index")[0].as_py()), [], []
+        own, out, found = [opened(x) for x in held.column("index")], [], []  # none if the hashes left the block empty
         for blob in asking.column("queries"):
-            ids, v, bound = pickle.loads(blob.as_py())
-            q, x, s = find(own, ids, v, k, bound)
-            q, s = np.array(q, np.int64), np.array(s, object if score == "long" else np.float64)
-            at = {i: n for n, i in enumerate(ids.tolist())}
-            count = np.zeros(len(ids), np.int64)
-            least = np.full(len(ids), np.inf)
-            for i, y in zip(q.tolist(), s.tolist(), strict=True):
-                count[at[i]] += 1
-                y = float(y) if abs(y) < 2**53 else math.nextafter(float(y), -math.inf)  # never above the score
-                least[at[i]] = min(least[at[i]], y)
-            out.append(pickle.dumps((ids, v, np.where(count >= k, least, -np.inf)), 5))
-            found.append(pickle.dumps((q.tolist(), x, s.tolist()), 5))
-        return pa.table({"block": asking.column("block"), "share": asking.column("share"), "queries": pa.array(out, pa.binary()), "found": pa.array(found, pa.binary())})
-
-    def rows_of(q: list, v: list, s: list) -> dict:
+            ids, v, bound, block = pickle.loads(blob.as_py())
+            q, x, s, place = best_of(*(looked(own[0], ids, v.astype(np.float64), bound) if own else nothing), k)
+            last = place == k - 1
+            out.append(pickle.dumps((ids, v, raised(ids, bound, q[last], s[last]), block), 5))
+            found.append(pickle.dumps((q, x, s), 5))
+        return pa.table({"share": asking.column("share"), "queries": pa.array(out, pa.binary()), "found": pa.array(found, pa.binary())})
+
+    def rows_of(q: np.ndarray, v: np.ndarray, s: np.ndarray) -> dict:
         return {"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, kind)}
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,34 +234,58 @@ def search(base: DataFrame, k: int, every: int, build: Callable, find: Callable,
             for blob in b.column(0):
                 yield pa.RecordBatch.from_pydict(rows_of(*pickle.loads(blob.as_py())))
 
+    def going(blob: pa.Scalar) -> Iterator[tuple[int, tuple, np.ndarray]]:
+        """Each region with a block, other than the first, that can hold something as good, and those queries that it can."""
+        ids, v, bound, block = held = pickle.loads(blob.as_py())
+        wide = v.astype(np.float64)
+        open_ = np.concatenate([cells.most(wide[i : i + ROWS]) >= bound[i : i + ROWS, None] for i in range(0, len(v), ROWS)])
+        for r in range(-(-blocks // region)):
+            there = np.arange(r * region, min(blocks, (r + 1) * region))
+            pick = open_[:, np.unique(cells.of(there[there != block]))].any(1)
+            if pick.any():
+                yield r, held, pick
+
+    def where_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for share, blob in zip(b.column(0), b.column(1), strict=True):
+                to = [r for r, _, _ in going(blob)]
+                yield pa.RecordBatch.from_pydict({"place_": pa.array(to, pa.int64()), "share_": pa.array([share.as_py()] * len(to), pa.int64())})
+
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each cell that can hold something as good, those queries of a block that it can."""
         for b in batches:
-            for block, share, blob in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                ids, v, bound = pickle.loads(blob.as_py())
-                parts = [cells.most(v[i : i + ROWS]) >= bound[i : i + ROWS, None] for i in range(0, len(v), ROWS)]
-                open_ = np.concatenate(parts) & (cells.blocks > 0)
-                for c in np.flatnonzero(open_.any(0)).tolist():
-                    pick = open_[:, c]
-                    blocks = [n for n in range(int(cells.first[c]), int(cells.first[c] + cells.blocks[c])) if n != block.as_py()]
-                    if blocks:
-                        sent = pickle.dumps((ids[pick], v[pick], bound[pick]), 5)
-                        for n in blocks:
-                            yield pa.RecordBatch.from_pydict({"block": [n], "share": [share.as_py()], "queries": pa.array([sent], pa.binary())})
+            for share, blob in zip(b.column(0), b.column(1), strict=True):
+                for r, (ids, v, bound, block), pick in going(blob):
+                    sent = pickle.dumps((ids[pick], v[pick], bound[pick], block), 5)
+                    yield pa.RecordBatch.from_pydict({"place": [r], "share": [share.as_py()], "queries": pa.array([sent], pa.binary())})
 
     def end(asking: pa.Table, held: pa.Table) -> pa.Table:
-        own, q, v, s = pickle.loads(held.column("index")[0].as_py()), [], [], []
+        """The blocks of a region one after the other, with the bounds that the k best of those before them give."""
+        there = held.column("block").to_numpy()
+        own, out = [opened(x) for x in held.column("index")], []
+        of = cells.of(there)
         for blob in asking.column("queries"):
-            for all_, more in zip((q, v, s), find(own, *(x := pickle.loads(blob.as_py()))[:2], k, x[2]), strict=True):
-                all_ += more
-        return pa.table(rows_of(q, v, s))
+            ids, v, bound, block = pickle.loads(blob.as_py())
+            v = v.astype(np.float64)
+            most = np.concatenate([cells.most(v[i : i + ROWS], of) for i in range(0, len(v), ROWS)])
+            best = nothing
+            for n in np.argsort(there).tolist():
+                at = np.flatnonzero(most[:, n] >= bound)
+                if there[n] == block or not len(at):
+                    continue
+                *best, place = best_of(*map(np.concatenate, zip(best, looked(own[n], ids[at], v[at], bound[at]), strict=True)), k)
+                last = place == k - 1
+                bound = raised(ids, bound, best[0][last], best[2][last])
+            out.append(best)
+        return pa.table(rows_of(*map(np.concatenate, zip(*out, strict=True))) if out else rows_of([], [], []))
 
     shape = f"query_id long, vec_id long, score {score}"
-    started = materialize(meet(packed, begin, "block long, share long, queries binary, found binary"), "started")
+    first = packed.select(F.col("place").alias("place_"), F.col("share").alias("share_"))
+    started = materialize(meet(packed, first, F.col("block"), begin, "share long, queries binary, found binary"), "started", group_rows=BLOBS)
     found = map_arrow(started.select("found"), unpack, shape)
-    if int(cells.blocks.sum()) > 1:
-        visits = materialize(map_arrow(started.select("block", "share", "queries"), go_on, "block long, share long, queries binary"), "visits")
-        found = found.unionByName(meet(visits, end, shape))
+    if blocks > 1:
+        left = started.select("share", "queries")
+        visits = map_arrow(left, go_on, "place long, share long, queries binary")
+        found = found.unionByName(meet(visits, map_arrow(left, where_to, "place_ long, share_ long"), F.expr(f"block div {region}"), end, shape))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -440,13 +511,14 @@ def angles(vectors: np.ndarray, coded: np.ndarray) -> dict:
 def reach(index: dict, guess: np.ndarray, parts: int) -> np.ndarray:
     """The most that the inner product of each row with a query of length 1 can be.
 
-    guess is the query's with the coded rows, in single precision. The angle between query and row is
+    guess is the query's with the coded rows, in single precision, or has a column for each of some queries. The angle between query and row is
     no less than that between query and coded row less that between row and coded row.
     """
-    a = np.minimum(1.0, guess * index["inverse"] + (parts + 4) * 2.0**-22)
+    inverse, cos, sin, norm = (index[name] if guess.ndim == 1 else index[name][:, None] for name in ("inverse", "cos", "sin", "norm"))
+    a = np.minimum(1.0, guess * inverse + (parts + 4) * 2.0**-22)
     a = np.maximum(-1.0, a)
-    bound = np.where(a >= index["cos"], 1.0, a * index["cos"] + np.sqrt(1.0 - a * a) * index["sin"])
-    return index["norm"] * (bound + 1e-9)
+    bound = np.where(a >= cos, 1.0, a * cos + np.sqrt(1.0 - a * a) * sin)
+    return norm * (bound + 1e-9)
 
 
 def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rerank: int = 200, block_rows: int = 4096, query_rows: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -460,6 +532,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rer
     without an id take no part. Shorter vectors count as filled up with zeros. All rows of a query's id are its own.
     """
     base = usable(df, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
+    width = "float" if dict(df.dtypes)[vec_col] == "array<float>" else "double"
     some = base.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample).select("vec").toArrow()
     found = matrix(some.column("vec")) if len(some) else np.zeros((1, 4))
     wide = -(-found.shape[1] // 4) * 4
@@ -483,8 +556,27 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rer
         tables = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(x), len(books) // 2, 256).astype(np.float32)
         same = min(own.shape[1], vectors.shape[1])
         own = own[:, :same]
+        raws = np.ascontiguousarray(vectors[:, :same])
         out_q, out_v, out_s = [], [], []
-        for q, table, raw, long, bound in zip(ids.tolist(), tables, vectors[:, :same], size.tolist(), bounds.tolist(), strict=True):
+        bounded = np.flatnonzero(bounds > -np.inf)
+        for i in range(0, len(bounded), ASKED):  # those with a bound don't need the leading rows for one
+            at = bounded[i : i + ASKED]
+            asking, raw, long, least = ids[at], raws[at], size[at], bounds[at]
+            guess = np.zeros((len(owner), len(at)), np.float32)
+            for t, c in zip(np.ascontiguousarray(tables[at].transpose(1, 2, 0)), codes, strict=True):
+                guess += t.take(c, axis=0)
+            open_ = ~((reach(index, guess, len(books)) * long < least) | (owner[:, None] == asking))
+            if 32 * np.count_nonzero(open_) > open_.size:  # many: a product over the block, a little wide, rules out most
+                open_ &= ~(own @ raw.T < least - 1e-9 * (np.abs(least) + long * index["norm"][:, None]))
+            rows, columns = np.nonzero(open_)
+            exact = np.concatenate([np.zeros(0)] + [(own[rows[j : j + PAIRS]] * raw[columns[j : j + PAIRS]]).sum(1) for j in range(0, len(rows), PAIRS)])
+            kept = exact >= least[columns]
+            q, v, s, _ = best_of(asking[columns[kept]], owner[rows[kept]], exact[kept], k)
+            out_q += q.tolist()
+            out_v += v.tolist()
+            out_s += s.tolist()
+        free = np.flatnonzero(~(bounds > -np.inf))
+        for q, table, raw, long, bound in zip(ids[free].tolist(), tables[free], raws[free], size[free].tolist(), bounds[free].tolist(), strict=True):
             guess = np.zeros(len(owner), np.float32)
             for t, c in zip(table, codes, strict=True):
                 guess += t[c]
@@ -512,4 +604,4 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rer
             out_s += exact[best].tolist()
         return out_q, out_v, out_s
 
-    return search(base, k, every, build, find, "double", block_rows, query_rows)
+    return search(base, k, every, build, find, "double", block_rows, query_rows, width)

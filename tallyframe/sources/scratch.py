@@ -27,16 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False, group_rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again, which cuts its lineage.
 
-    The tables outlive lost executors. keep: also beyond the scope that is open.
+    The tables outlive lost executors. keep: also beyond the scope that is open. group_rows: the most rows of a row group, for
+    large values; a reader holds 4,096 rows at a time, or those of a row group.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex[:12]}"
     if _open and not keep:
         _open[-1].append(path)
-    df.write.parquet(f"{path}/{name}")
+    writer = df.write if group_rows is None else df.write.option("parquet.block.row.count.limit", group_rows)
+    writer.parquet(f"{path}/{name}")
     return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
 

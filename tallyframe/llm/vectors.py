@@ -32,8 +32,8 @@ SHARE = 64
 REGION, TASKS = 16, 32
 #: Rows of a row group where each holds an index or a block of queries.
 BLOBS = 16
-#: So many queries have their tables added up together, and so many pairs of a query and a row are scored together.
-ASKED, PAIRS = 64, 8192
+#: So many queries have their tables added up together, over so many rows at a time; so many pairs of the two are scored together.
+ASKED, PIECE, PAIRS = 128, 1024, 8192
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -511,14 +511,62 @@ def angles(vectors: np.ndarray, coded: np.ndarray) -> dict:
 def reach(index: dict, guess: np.ndarray, parts: int) -> np.ndarray:
     """The most that the inner product of each row with a query of length 1 can be.
 
-    guess is the query's with the coded rows, in single precision, or has a column for each of some queries. The angle between query and row is
+    guess is the query's with the coded rows, in single precision. The angle between query and row is
     no less than that between query and coded row less that between row and coded row.
     """
-    inverse, cos, sin, norm = (index[name] if guess.ndim == 1 else index[name][:, None] for name in ("inverse", "cos", "sin", "norm"))
-    a = np.minimum(1.0, guess * inverse + (parts + 4) * 2.0**-22)
+    a = np.minimum(1.0, guess * index["inverse"] + (parts + 4) * 2.0**-22)
     a = np.maximum(-1.0, a)
-    bound = np.where(a >= cos, 1.0, a * cos + np.sqrt(1.0 - a * a) * sin)
-    return norm * (bound + 1e-9)
+    bound = np.where(a >= index["cos"], 1.0, a * index["cos"] + np.sqrt(1.0 - a * a) * index["sin"])
+    return index["norm"] * (bound + 1e-9)
+
+
+def possible(index: dict, books: np.ndarray, units: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, queries) of the pairs whose inner product can come to the query's bound, by tables added up over the codes.
+
+    units: the queries at length 1, as wide as the books; size: their lengths. It is the bound of reach(), for some queries at once and in
+    single precision, so a little wider. Where it leaves many pairs of a piece of the block, a product with the rows at length 1, a
+    little wide too, rules out most of them. What isn't a number there rules nothing out.
+    """
+    norm = index["norm"]
+    with np.errstate(all="ignore"):
+        if "single" not in index:  # once a block and task
+            sure = (norm > 1e-140) & (norm < 1e140)
+            longest = norm[sure].max(initial=1e-140)
+            columns = (index["inverse"], index["cos"], index["sin"], np.where(sure, longest / norm, np.nan))
+            index["single"] = (*(x[:, None].astype(np.float32) for x in columns), (index["vectors"] / norm[:, None]).astype(np.float32), longest)
+        inverse, cos, sin, short, rows, longest = index["single"]
+        sure = (size > 1e-140) & (size < 1e140) & (np.abs(bounds) < 1e280)
+        goal = np.where(sure, np.clip(bounds / size / longest, -1e6, 1e6), np.nan).astype(np.float32)
+        # the tables of a query: its products with the centres of a subspace, added for pairs of subspaces
+        each = np.einsum("mcw,qmw->mcq", books, units.reshape(len(units), len(books), books.shape[2])).astype(np.float32)
+        tables = (each[0::2, :, None] + each[1::2, None]).reshape(len(books) // 2, 256, len(units))
+        same = min(rows.shape[1], units.shape[1])
+        to = np.ascontiguousarray(units[:, :same].T, np.float32)
+        wide = np.float32((max(rows.shape[1], units.shape[1]) + len(books) + 32) * 2.0**-22)
+        room, found = np.empty((3, min(PIECE, len(rows)), len(units)), np.float32), []
+        for i in range(0, len(rows), PIECE):
+            piece = slice(i, i + PIECE)
+            a, most, least = room[:, : len(rows[piece])]
+            codes = index["codes"][:, piece]
+            tables[0].take(codes[0], axis=0, out=a, mode="clip")
+            for t, c in zip(tables[1:], codes[1:], strict=True):
+                a += t.take(c, axis=0, out=most, mode="clip")
+            a *= inverse[piece]
+            a += wide
+            np.multiply(short[piece], goal, out=least)
+            least -= wide
+            np.multiply(a, a, out=most)
+            np.subtract(1.0, most, out=most)
+            np.sqrt(most, out=most)
+            most *= sin[piece]
+            closed = a < cos[piece]
+            a *= cos[piece]
+            most += a
+            closed &= most < least
+            if 32 * (closed.size - np.count_nonzero(closed)) > closed.size:
+                closed |= np.matmul(rows[piece, :same], to, out=a) < least
+            found.append(np.flatnonzero(~closed) + i * len(units))
+    return np.divmod(np.concatenate(found), len(units))
 
 
 def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rerank: int = 200, block_rows: int = 4096, query_rows: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -552,8 +600,6 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rer
         size = np.linalg.norm(vectors, axis=1)
         x = np.zeros((len(vectors), wide))
         x[:, :n] = vectors[:, :n] / size[:, None]
-        tables = np.einsum("qmw,mcw->qmc", x.reshape(len(x), len(books), -1), books)
-        tables = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(x), len(books) // 2, 256).astype(np.float32)
         same = min(own.shape[1], vectors.shape[1])
         own = own[:, :same]
         raws = np.ascontiguousarray(vectors[:, :same])
@@ -561,22 +607,19 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, sample: int = 8192, rer
         bounded = np.flatnonzero(bounds > -np.inf)
         for i in range(0, len(bounded), ASKED):  # those with a bound don't need the leading rows for one
             at = bounded[i : i + ASKED]
-            asking, raw, long, least = ids[at], raws[at], size[at], bounds[at]
-            guess = np.zeros((len(owner), len(at)), np.float32)
-            for t, c in zip(np.ascontiguousarray(tables[at].transpose(1, 2, 0)), codes, strict=True):
-                guess += t.take(c, axis=0)
-            open_ = ~((reach(index, guess, len(books)) * long < least) | (owner[:, None] == asking))
-            if 32 * np.count_nonzero(open_) > open_.size:  # many: a product over the block, a little wide, rules out most
-                open_ &= ~(own @ raw.T < least - 1e-9 * (np.abs(least) + long * index["norm"][:, None]))
-            rows, columns = np.nonzero(open_)
-            exact = np.concatenate([np.zeros(0)] + [(own[rows[j : j + PAIRS]] * raw[columns[j : j + PAIRS]]).sum(1) for j in range(0, len(rows), PAIRS)])
-            kept = exact >= least[columns]
-            q, v, s, _ = best_of(asking[columns[kept]], owner[rows[kept]], exact[kept], k)
+            rows, columns = possible(index, books, x[at], size[at], bounds[at])
+            other = owner[rows] != ids[at][columns]
+            rows, columns = rows[other], columns[other]
+            exact = np.concatenate([np.zeros(0)] + [(own[rows[j : j + PAIRS]] * raws[at[columns[j : j + PAIRS]]]).sum(1) for j in range(0, len(rows), PAIRS)])
+            kept = exact >= bounds[at][columns]
+            q, v, s, _ = best_of(ids[at][columns[kept]], owner[rows[kept]], exact[kept], k)
             out_q += q.tolist()
             out_v += v.tolist()
             out_s += s.tolist()
         free = np.flatnonzero(~(bounds > -np.inf))
-        for q, table, raw, long, bound in zip(ids[free].tolist(), tables[free], raws[free], size[free].tolist(), bounds[free].tolist(), strict=True):
+        tables = np.einsum("qmw,mcw->qmc", x[free].reshape(len(free), len(books), books.shape[2]), books)
+        tables = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(free), len(books) // 2, 256).astype(np.float32)
+        for q, table, raw, long, bound in zip(ids[free].tolist(), tables, raws[free], size[free].tolist(), bounds[free].tolist(), strict=True):
             guess = np.zeros(len(owner), np.float32)
             for t, c in zip(table, codes, strict=True):
                 guess += t[c]

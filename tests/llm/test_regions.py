@@ -50,3 +50,24 @@ def test_results_over_regions_and_shares(spark, monkeypatch, region, share):
     scaled = np.floor(256 * v)
     got = [tuple(r) for r in vectors.exact_top_k(frame, block_rows=60, query_rows=20).collect()]
     assert sorted(got) == [(q, n, i, int(s)) for q, n, i, s in brute(scaled, 50, 5)]
+
+
+@pytest.mark.parametrize("powers", [(0, 0), (-30, 30), (-170, 150), (-60, -45)])
+def test_no_pair_that_comes_to_the_bound_is_ruled_out(powers):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(3000, 16)) * 10.0 ** rng.uniform(*powers, (3000, 1))
+    v[5:400] = v[5] * (1 + 1e-3 * rng.normal(size=(395, 16)))
+    books, extra = vectors.fit_books(v[::4])
+    codes = vectors.choose(v, books, extra).astype(np.uint8)
+    coded = books[np.arange(len(books)), codes].reshape(v.shape)
+    index = {"vectors": v, "codes": np.ascontiguousarray((codes[:, 0::2] << 4 | codes[:, 1::2]).T), **vectors.angles(v, coded)}
+    asking = v[::100]
+    size = np.linalg.norm(asking, axis=1)
+    product = np.stack([(v * x).sum(1) for x in asking], 1)
+    bounds = np.sort(product, axis=0)[-20]
+    rows, columns = vectors.possible(index, books, asking / size[:, None], size, bounds)
+    got = np.zeros(product.shape, bool)
+    got[rows, columns] = True
+    assert got[product >= bounds].all()
+    if powers == (0, 0):
+        assert got.mean() < 0.1

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
@@ -29,7 +29,7 @@ ROWS = 512
 #: Queries of so many full blocks meet a region in a task.
 SHARE = 64
 #: Blocks of a region at most, and tasks below which regions are made smaller.
-REGION, TASKS = 16, 32
+REGION, TASKS = 16, 24
 #: Rows of a row group where each holds an index or a block of queries.
 BLOBS = 16
 #: So many queries have their tables added up together, over so many rows at a time; so many pairs of the two are scored together.
@@ -168,8 +168,8 @@ def split(df: DataFrame, first: np.ndarray, parts: np.ndarray, name: str, place:
 def search(base: DataFrame, k: int, every: int, build: Callable, find: Callable, score: str, block_rows: int, query_rows: int, width: str = "double") -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every query, a row whose id is divisible by every.
 
-    Each block builds its index once. Queries go in blocks of their own, each with what has been found
-    so far. They meet a region, up to REGION blocks of candidates, in shares of SHARE * query_rows, and its indexes are copied for each
+    Each block builds its index once, and meets at once the queries that begin there. Queries go in blocks of their own, each with what has been found
+    so far. Then they meet a region, up to REGION blocks of candidates, in shares of SHARE * query_rows, and its indexes are copied for each
     share, so that the bytes of a task have a bound; what a query finds in a block of the region bounds what it looks for in the next.
     The queries that go to a region are made while they are shuffled there, and not stored before.
     """
@@ -182,13 +182,6 @@ def search(base: DataFrame, k: int, every: int, build: Callable, find: Callable,
     shares = np.cumsum(np.repeat(asked / np.maximum(parts, 1), parts)) // (SHARE * query_rows)
     region = max(1, min(REGION, blocks * (1 + int(shares[-1]) if len(shares) else 1) // TASKS))
 
-    def index(rows: pa.Table) -> pa.Table:
-        ids = rows.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        made = build(ids[order], matrix(rows.column("vec"))[order])
-        blob = pickle.dumps(made | {"vectors": slim(made["vectors"])}, 5)
-        return pa.table({"block": rows.column("block").slice(0, 1), "index": pa.array([blob], pa.binary())})
-
     def opened(blob: pa.Scalar) -> dict:
         made = pickle.loads(blob.as_py())
         return made | {"vectors": made["vectors"].astype(np.float64)}
@@ -201,30 +194,31 @@ def search(base: DataFrame, k: int, every: int, build: Callable, find: Callable,
         blob = pickle.dumps((rows.column("vec_id").to_numpy(), slim(v), np.full(len(v), -np.inf), block), 5)
         return pa.table({"place": [block], "share": [int(shares[number])], "queries": pa.array([blob], pa.binary())})
 
-    indexes = materialize(split(table, cells.first, cells.blocks, "block", True).groupBy("block").applyInArrow(index, "block long, index binary"), "indexes", group_rows=BLOBS)
     queries = table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vec", "cell")).alias("r")).select("vec_id", "r.*")
     packed = split(queries, np.cumsum(parts) - parts, parts, "asked", False).groupBy("asked").applyInArrow(pack, "place long, share long, queries binary")
-    packed = materialize(packed, "asked", group_rows=BLOBS)
-
-    def meet(left: DataFrame, wanted: DataFrame, place: Column, run: Callable, schema: str) -> DataFrame:
-        """Queries with the indexes of their place, a block or region. wanted: place_ and share_ of all of them, few numbers."""
-        each = indexes.withColumn("place", place).join(F.broadcast(wanted.distinct()), F.col("place") == F.col("place_")).select("place", F.col("share_").alias("share"), "block", "index")
-        return left.groupBy("place", "share").cogroup(each.groupBy("place", "share")).applyInArrow(run, schema)
 
     def looked(own: dict, ids: np.ndarray, v: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, x, s = find(own, ids, v, k, bound)
         return np.array(q, np.int64), np.array(x, np.int64), np.array(s, number)
 
-    def begin(asking: pa.Table, held: pa.Table) -> pa.Table:
-        """Every query against a block of its own cell; it goes on with the last of its k best as its bound."""
-        own, out, found = [opened(x) for x in held.column("index")], [], []  # none if the hashes left the block empty
+    def begin(rows: pa.Table, asking: pa.Table) -> pa.Table:
+        """The index of a block, and every query that has its first block here; it goes on with the last of its k best as its bound."""
+        out, found, blobs, own = [], [], [], None
+        if len(rows):  # else the hashes left the block empty
+            ids = rows.column("vec_id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            own = build(ids[order], matrix(rows.column("vec"))[order])
+            blobs = [pickle.dumps(own | {"vectors": slim(own["vectors"])}, 5)]
         for blob in asking.column("queries"):
             ids, v, bound, block = pickle.loads(blob.as_py())
-            q, x, s, place = best_of(*(looked(own[0], ids, v.astype(np.float64), bound) if own else nothing), k)
+            q, x, s, place = best_of(*(looked(own, ids, v.astype(np.float64), bound) if own else nothing), k)
             last = place == k - 1
             out.append(pickle.dumps((ids, v, raised(ids, bound, q[last], s[last]), block), 5))
             found.append(pickle.dumps((q, x, s), 5))
-        return pa.table({"share": asking.column("share"), "queries": pa.array(out, pa.binary()), "found": pa.array(found, pa.binary())})
+        fill = lambda x, y, kind: pa.array((x or [None] * len(blobs)) + (y or [None] * len(out)), kind)
+        at, share = rows.column("block").slice(0, 1).to_pylist(), asking.column("share").to_pylist()
+        binary = {"index": fill(blobs, [], pa.binary()), "queries": fill([], out, pa.binary()), "found": fill([], found, pa.binary())}
+        return pa.table({"block": fill(at, [], pa.int64()), "share": fill([], share, pa.int64()), **binary})
 
     def rows_of(q: np.ndarray, v: np.ndarray, s: np.ndarray) -> dict:
         return {"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, kind)}
@@ -279,13 +273,16 @@ def search(base: DataFrame, k: int, every: int, build: Callable, find: Callable,
         return pa.table(rows_of(*map(np.concatenate, zip(*out, strict=True))) if out else rows_of([], [], []))
 
     shape = f"query_id long, vec_id long, score {score}"
-    first = packed.select(F.col("place").alias("place_"), F.col("share").alias("share_"))
-    started = materialize(meet(packed, first, F.col("block"), begin, "share long, queries binary, found binary"), "started", group_rows=BLOBS)
-    found = map_arrow(started.select("found"), unpack, shape)
+    begun = split(table, cells.first, cells.blocks, "block", True).groupBy("block").cogroup(packed.groupBy("place"))
+    begun = materialize(begun.applyInArrow(begin, "block long, share long, index binary, queries binary, found binary"), "indexes", group_rows=BLOBS)
+    found = map_arrow(begun.where("found is not null").select("found"), unpack, shape)
     if blocks > 1:
-        left = started.select("share", "queries")
+        left = begun.where("queries is not null").select("share", "queries")
         visits = map_arrow(left, go_on, "place long, share long, queries binary")
-        found = found.unionByName(meet(visits, map_arrow(left, where_to, "place_ long, share_ long"), F.expr(f"block div {region}"), end, shape))
+        wanted = map_arrow(left, where_to, "place_ long, share_ long").distinct()  # few numbers
+        held = begun.where("index is not null").withColumn("place", F.expr(f"block div {region}")).join(F.broadcast(wanted), F.col("place") == F.col("place_"))
+        held = held.select("place", F.col("share_").alias("share"), "block", "index")
+        found = found.unionByName(visits.groupBy("place", "share").cogroup(held.groupBy("place", "share")).applyInArrow(end, shape))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
